@@ -19,7 +19,7 @@ SHAPE = "regexp_replace(regexp_replace({}, '[A-Za-z]+', 'A', 'g'), '[0-9]+', 'D'
 SEGMENTS = "regexp_extract_all({}, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+')"
 TOKENS = "regexp_extract_all(lower(name), '[a-z0-9]+')"
 NOISE = "('.git', 'node_modules', 'vendor', '.DS_Store', '__pycache__', '.idea', '.vscode')"
-HIDDEN = f"x -> x like '.%' or x in {NOISE}"
+HIDDEN = f"lambda x: x like '.%' or x in {NOISE}"
 SHOWN = "case when ext = '' then '(no extension)' else ext end"
 FLAT = "replace(case when starts_with({0}, '/') then substr({0}, 2) else {0} end, '/', '__')"
 
@@ -94,8 +94,8 @@ nodes as materialized (
 """
 LINES = r"""
 lines as materialized (
-  select path, lang, cast(at as bigint) as line, raw[at] as raw from (
-    select path, lang, raw, unnest(range(1, len(raw) + 1)) as at from (
+  select path, lang, cast(k as bigint) as line, raw[k] as raw from (
+    select path, lang, raw, unnest(range(1, len(raw) + 1)) as k from (
       select path, lang, case when content = '' then []
         when ends_with(content, chr(10)) then string_split(left(content, length(content) - 1), chr(10))
         else string_split(content, chr(10)) end as raw from files)))
@@ -138,9 +138,9 @@ n{k + 1} as materialized (
         f"""
 refined as materialized (
   select n.path, n.g as group_key, d.total as count,
-    list_aggregate(list_transform(range(len(segs)), i -> case when list_contains(varying, i)
+    list_aggregate(list_transform(range(len(segs)), lambda i: case when list_contains(varying, i)
       then '{{' || list_position(varying, i) || '}}' else segs[i + 1] end), 'string_agg', '') || ext as template,
-    list_aggregate(list_transform(varying, i -> segs[i + 1]), 'string_agg', ',') as fields
+    list_aggregate(list_transform(varying, lambda i: segs[i + 1]), 'string_agg', ',') as fields
   from n{rounds} n join d{last} d on n.g = d.g
   where d.total >= {least} and len(d.varying) > 0)"""
     )
@@ -291,22 +291,22 @@ select id, case when md5 is not null and md5 <> '' then 'md5:' || md5
   else concat('namesize:', name, ':', size) end as dedup_key from manifest""",
     "modified_time": f"""
 select o_orderkey, text, case when p = '1-URGENT' then epoch_us(o_orderdate) - 9000000000
-  when p = '2-HIGH' then epoch_us(o_orderdate) + 250000 when p in ('3-MEDIUM', '5-LOW') then null
+  when p = '2-HIGH' then epoch_us(o_orderdate) + 250000 when p in ('3-MEDIUM', '5-LOW') then -1
   else epoch_us(o_orderdate) end as micros from ({_ORDER_TEXT})""",
     "human_size": _with(LAKE)
     + f"""
 select path, {_human('size')} as plain, {_human('(size // 100000)')} as small,
   {_human('(size * 4096)')} as large, {_human('(size * 100000000)')} as huge from lake""",
     "parse_size": f"""
-select p_partkey, text, cast(floor(n * case u when '' then 1 when 'KB' then 1e3 when 'MIB' then 1048576
-    when 'G' then 1073741824 when 'K' then 1024 when 'TB' then 1e12 end) as bigint) as bytes
+select p_partkey, text, coalesce(cast(floor(n * case u when '' then 1 when 'KB' then 1e3 when 'MIB' then 1048576
+    when 'G' then 1073741824 when 'K' then 1024 when 'TB' then 1e12 end) as bigint), -1) as bytes
 from (select *, try_cast(regexp_extract(trim(text), '^[0-9.]+') as double) as n,
         upper(trim(regexp_replace(trim(text), '^[0-9.]+', ''))) as u from ({_SIZE_TEXT}))""",
     "name_tokens": _with(DOCS)
     + f"select path, list_aggregate({TOKENS}, 'string_agg', ' ') as tokens from docs",
     "name_segments": _with(DOCS)
     + f"""
-select path, list_aggregate(list_transform({SEGMENTS.format(STEM)}, s ->
+select path, list_aggregate(list_transform({SEGMENTS.format(STEM)}, lambda s:
   case when regexp_matches(s, '^[A-Za-z]') then 'A:' when regexp_matches(s, '^[0-9]') then 'D:' else 'S:' end || s),
   'string_agg', '|') as segments from docs""",
     "name_stem": _with(DOCS) + f"select path, {STEM} as stem from docs",
@@ -316,7 +316,7 @@ select path, list_aggregate(list_transform({SEGMENTS.format(STEM)}, s ->
     "tree_order": _with(DOCS, ALL_DIRS)
     + """
 select path, row_number() over (order by list_transform(string_split(substr(path, 9), '/'),
-  x -> {'a': lower(x), 'b': x})) as position
+  lambda x: {'a': lower(x), 'b': x})) as position
 from (select path from docs union all select path from all_dirs)""",
     # Joins
     "tag_duplicates": _with(DOCS, GROUPS)
@@ -325,7 +325,7 @@ from (select path from docs union all select path from all_dirs)""",
     + f"""
 select q as query_id, path from (select distinct p_name as q from part),
   (select path, {TOKENS} as tokens from parts)
-where len(list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), t -> not list_contains(tokens, t))) = 0""",
+where len(list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda t: not list_contains(tokens, t))) = 0""",
     # Aggregations
     "dir_sizes": _with(LAKE)
     + """

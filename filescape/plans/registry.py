@@ -358,8 +358,9 @@ def _order_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def modified_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    micros = F.unix_micros(sizes.modified_time("text"))
     return _order_times(spark, sf_dir).select(
-        "o_orderkey", "text", F.unix_micros(sizes.modified_time("text")).alias("micros")
+        "o_orderkey", "text", F.coalesce(micros, F.lit(-1)).alias("micros")
     )
 
 
@@ -387,7 +388,8 @@ def parse_size(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     rows = views.table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
-    return rows.select("p_partkey", "text", sizes.parse_size("text").alias("bytes"))
+    parsed = F.coalesce(sizes.parse_size("text"), F.lit(-1))
+    return rows.select("p_partkey", "text", parsed.alias("bytes"))
 
 
 @query
