@@ -23,8 +23,8 @@ def _col(value: Column | str) -> Column:
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(part) for entry in table.items() for part in entry]
-    return F.try_element_at(F.create_map(*pairs), key)
+    pairs = ", ".join(f"'{text}'" for entry in table.items() for text in entry)
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def base_name(path: Column | str) -> Column:

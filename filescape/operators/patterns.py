@@ -3,8 +3,7 @@
 Names are grouped by extension and shape, then a group is split on the leftmost varying
 segment whose every value covers enough files, and so on inside the parts. All groups of
 a round are split together: one round is a fixed number of aggregations and one join over
-the distinct names still undecided, however many groups there are and however large one
-of them is. A split fixes one more segment, so there are at most as many rounds as a name
+the files still undecided, however many groups there are and however large one of them is. A split fixes one more segment, so there are at most as many rounds as a name
 has letter and digit runs.
 """
 
@@ -27,15 +26,13 @@ def _least(min_group: int) -> int:
     return min_group if min_group > 0 else DEFAULT_MIN_GROUP
 
 
-def distinct_names(files: DataFrame, fold_ext_case: bool = False) -> DataFrame:
-    """One row per name and extension: shape, segments and the number of files."""
+def _segmented(files: DataFrame, fold_ext_case: bool = False) -> DataFrame:
+    """(path, ext, shape, segs) of every file."""
     stem = name_stem("name", "ext", fold_ext_case)
     return (
         with_ext(files)
-        .groupBy("name", "ext")
-        .agg(F.count("*").alias("n"))
-        .withColumn("stem", stem)
-        .select("name", "ext", shape_key("stem").alias("shape"), segment_values("stem").alias("segs"), "n")
+        .select("path", "ext", stem.alias("stem"))
+        .select("path", "ext", shape_key("stem").alias("shape"), segment_values("stem").alias("segs"))
     )
 
 
@@ -50,28 +47,27 @@ def pattern_buckets(files: DataFrame, min_group: int = DEFAULT_MIN_GROUP) -> Dat
     )
 
 
-def _position_stats(names: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group and segment position: distinct values, files of the rarest value, totals.
+def _position_stats(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and segment position: distinct values, files of the rarest value, files.
 
-    Files and names are first summed per value, partly on the map side, so a group holding
-    most names is spread over its values.
+    Files are first counted per value, partly on the map side, so a group holding most
+    files is spread over its values.
     """
-    exploded = names.select(*keys, "n", F.posexplode("segs").alias("pos", "value"))
+    exploded = files.select(*keys, F.posexplode("segs").alias("pos", "value"))
     per_value = (
         exploded.where(F.col("value").rlike("^[A-Za-z0-9]"))
         .groupBy(*keys, "pos", "value")
-        .agg(F.sum("n").alias("files"), F.count("*").alias("names"))
+        .agg(F.count("*").alias("files"))
     )
     return per_value.groupBy(*keys, "pos").agg(
         F.count("*").alias("n_values"),
         F.min("files").alias("rarest"),
         F.sum("files").alias("files"),
-        F.sum("names").alias("names"),
     )
 
 
 def _bucket_stats(files: DataFrame, min_group: int) -> DataFrame:
-    stats = _position_stats(distinct_names(files), ["ext", "shape"])
+    stats = _position_stats(_segmented(files), ["ext", "shape"])
     return stats.where((F.col("files") >= _least(min_group)) & (F.col("n_values") >= 2))
 
 
@@ -86,59 +82,56 @@ def split_position(files: DataFrame, min_group: int = DEFAULT_MIN_GROUP) -> Data
     return clean.groupBy("ext", "shape").agg(F.min("pos").alias("pos"))
 
 
-def _decisions(names: DataFrame, least: int) -> DataFrame:
-    """Per group: files, names, varying positions and the position to split at, if any.
+def _decisions(active: DataFrame, least: int) -> DataFrame:
+    """Per group: files, varying positions and the position to split at, if any.
 
     Groups too small or without a varying position are left out.
     """
     varies = F.col("n_values") >= 2
     clean = varies & (F.col("rarest") >= least)
     return (
-        _position_stats(names, ["group_key"])
+        _position_stats(active, ["group_key"])
         .groupBy("group_key")
         .agg(
             F.max("files").alias("files"),
-            F.max("names").alias("names"),
             F.min(F.when(clean, F.col("pos"))).alias("split"),
             F.sort_array(F.collect_list(F.when(varies, F.col("pos")))).alias("varying"),
         )
         .where((F.col("files") >= least) & (F.size("varying") > 0))
+        .select("*", F.col("files").alias("_n"))
     )
 
 
-def refined_names(
+def refined_files(
     files: DataFrame,
     min_group: int = DEFAULT_MIN_GROUP,
     hot_rows: int = HOT_ROWS,
     fold_ext_case: bool = False,
 ) -> DataFrame:
-    """Distinct names with the final group each belongs to.
+    """Files with the final group each belongs to.
 
-    Columns: name, ext, segs, n, group_key, files (in the group), varying (positions).
+    Columns: path, ext, segs, group_key, files (in the group), varying (positions). The
+    decisions of a round are written out on their own, so that the planner knows their
+    size and leaves the files where they are while the decisions are small.
     """
     least = _least(min_group)
-    bucket = F.concat(F.col("ext"), F.lit("|"), F.col("shape"))
-    active = cut(
-        distinct_names(files, fold_ext_case).select(
-            "name", "ext", "segs", "n", bucket.alias("group_key")
-        )
-    )
+    bucket = F.concat("ext", F.lit("|"), "shape")
+    active = cut(_segmented(files, fold_ext_case).select("path", "ext", "segs", bucket.alias("group_key")))
     leaves = []
     while True:
-        decisions = _decisions(active, least)
-        decided = cut(
-            attach(active, decisions, "group_key", "names", "name", "inner", hot_rows)
-        )
+        decisions = cut(_decisions(active, least))
+        decided = attach(active, decisions, "group_key", "_n", "path", "inner", hot_rows)
+        if decisions.where("split is not null").isEmpty():
+            leaves.append(decided.drop("split"))
+            return reduce(DataFrame.unionByName, leaves)
+        decided = cut(decided)
         leaves.append(decided.where("split is null").drop("split"))
-        at = F.col("split")
-        part = F.concat(
-            "group_key", F.lit("|"), at.cast("string"), F.lit("="), F.element_at("segs", at + 1)
-        )
-        active = decided.where("split is not null").select(
-            "name", "ext", "segs", "n", part.alias("group_key")
+        active = decided.where("split is not null").selectExpr(
+            "path",
+            "ext",
+            "segs",
+            "concat(group_key, '|', split, '=', element_at(segs, split + 1)) as group_key",
         )
-        if active.isEmpty():
-            return reduce(DataFrame.unionByName, leaves)
 
 
 def _template(segs: str, varying: str, ext: str) -> Column:
@@ -154,9 +147,9 @@ def refine_patterns(
     files: DataFrame, min_group: int = DEFAULT_MIN_GROUP, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """One row per final group: group_key, template, count."""
-    names = refined_names(files, min_group, hot_rows)
-    return names.groupBy("group_key").agg(
-        F.min(_template("segs", "varying", "ext")).alias("template"), F.sum("n").alias("count")
+    refined = refined_files(files, min_group, hot_rows)
+    return refined.groupBy("group_key").agg(
+        F.min(_template("segs", "varying", "ext")).alias("template"), F.count("*").alias("count")
     )
 
 
@@ -172,16 +165,11 @@ def name_patterns(
     Columns: group_key, template, count, path, fields. Ordered by count, largest first,
     then template and path.
     """
-    names = refined_names(files, min_group, hot_rows, fold_ext_case).select(
-        "name",
-        "ext",
-        "n",
+    found = refined_files(files, min_group, hot_rows, fold_ext_case).select(
         "group_key",
         _template("segs", "varying", "ext").alias("template"),
         F.col("files").alias("count"),
+        "path",
         F.transform("varying", lambda at: F.element_at("segs", at + 1)).alias("fields"),
     )
-    listed = with_ext(files).select("name", "ext", "path")
-    found = attach(listed, names, ["name", "ext"], "n", "path", "inner", hot_rows)
-    found = found.select("group_key", "template", "count", "path", "fields")
     return found.orderBy(F.desc("count"), "template", "path") if ordered else found

@@ -28,27 +28,26 @@ def attach(
     """
     keys = [key] if isinstance(key, str) else list(key)
     added = [c for c in facts.columns if c not in (*keys, weight)]
-    is_hot = F.col(weight) >= hot_rows
-    hot = facts.where(is_hot).select(
-        *keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in added]
+    is_hot = f"`{weight}` >= {hot_rows}"
+    hot = facts.where(is_hot).selectExpr(
+        *keys, "true as _hot", *[f"`{c}` as `_hot_{c}`" for c in added]
     )
-    cold = facts.where(~is_hot).select(
-        *keys,
-        is_hot.cast("int").alias("_salt"),
-        F.lit(True).alias("_cold"),
-        *[F.col(c).alias(f"_cold_{c}") for c in added],
+    # Always 0 here, but no literal: a literal would be folded out of the join keys.
+    salt_here = f"cast({is_hot} as int) as _salt"
+    cold = facts.where(f"not ({is_hot})").selectExpr(
+        *keys, salt_here, "true as _cold", *[f"`{c}` as `_cold_{c}`" for c in added]
     )
-    # Rows without a key match nothing and are spread the same way.
-    spread = 1 + F.pmod(F.xxhash64(spread_by), F.lit(_SPREAD))
-    salt = F.when(F.col("_hot") | F.col(keys[0]).isNull(), spread).otherwise(0)
+    # Rows without a key match nothing and are spread like those of a hot key.
+    spread = f"cast(1 + pmod(xxhash64(`{spread_by}`), {_SPREAD}) as int)"
+    salt = f"case when _hot or `{keys[0]}` is null then {spread} else 0 end"
     joined = (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", salt.cast("int"))
+        .withColumn("_salt", F.expr(salt))
         .join(cold, [*keys, "_salt"], "left")
     )
     if how == "inner":
-        joined = joined.where(F.col("_hot") | F.col("_cold"))
-    return joined.select(
-        *[F.col(c) for c in rows.columns],
-        *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in added],
+        joined = joined.where("_hot or _cold")
+    return joined.selectExpr(
+        *[f"`{c}`" for c in rows.columns],
+        *[f"coalesce(`_hot_{c}`, `_cold_{c}`) as `{c}`" for c in added],
     )

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from filescape.session import spread
+
 DOC_ROOT = "/corpus"
 LAKE_ROOT = "/lake"
 PAGE_ROOT = "/web"
@@ -72,9 +74,19 @@ _TABLES = {
     PART_FILES: ("part",),
 }
 
+# Keys of the tables worth spreading.
+_KEYS = {
+    "documents": "doc_id",
+    "lineitem": "l_orderkey",
+    "orders": "o_orderkey",
+    "pages": "page_id",
+    "part": "p_partkey",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, _KEYS[name]) if name in _KEYS else rows
 
 
 def spark_view(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:

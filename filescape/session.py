@@ -52,10 +52,25 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/filescape/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` on all cores where its scan has fewer splits than the cluster has cores.
+
+    A small table in one row group would otherwise be worked on by a single task. Large
+    tables have many splits and stay as they are, so the key may be any column that is
+    not constant.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and continue from the written rows.
+    """Write `df` to a table in the shared folder and continue from the written rows.
 
-    Used where rows are read more than once, and between the rounds of a loop.
+    Used where rows are read more than once, and between the rounds of a loop. The table
+    is columnar, so later steps read only their columns, and its size is known to the
+    planner, which then broadcasts small tables without a shuffle of the other side.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = shared_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

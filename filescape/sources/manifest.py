@@ -83,29 +83,32 @@ def manifest_nodes(
     children = live.groupBy(F.col("parent_id").alias("id")).agg(
         F.count("*").alias("children"), F.count_if(is_folder).alias("subfolders")
     )
-    spark = listing.sparkSession
-    start = spark.createDataFrame([(root_id, root_name)], "id string, path string").select(
-        "id", "path", F.array("id").alias("ancestor_ids")
-    )
     zero = F.lit(0).cast("bigint")
+    top = listing.sparkSession.createDataFrame(
+        [(root_id, None, root_name)], "id string, parent string, name string"
+    )
     folders = cut(
         live.where(is_folder)
         .select("id", F.col("parent_id").alias("parent"), "name")
+        .unionByName(top)
         .join(children, "id", "left")
         .withColumns(
             {"children": F.coalesce("children", zero), "subfolders": F.coalesce("subfolders", zero)}
         )
     )
-    placed = []
-    frontier = cut(start.join(children, "id", "left"))
-    while not frontier.isEmpty():
-        placed.append(frontier)
+    frontier = folders.where(F.col("id") == root_id).select(
+        "id", F.col("name").alias("path"), F.array("id").alias("ancestor_ids"), "children", "subfolders"
+    )
+    placed = [frontier]
+    while True:
         above = frontier.where("subfolders > 0").select(
             F.col("id").alias("parent"),
             F.col("subfolders").alias("_n"),
             F.col("path").alias("above"),
             F.col("ancestor_ids").alias("above_ids"),
         )
+        if above.isEmpty():
+            break
         reached = attach(folders, above, "parent", "_n", "id", "inner", hot_rows)
         frontier = cut(
             reached.select(
@@ -116,6 +119,7 @@ def manifest_nodes(
                 "subfolders",
             )
         )
+        placed.append(frontier)
     parents = (
         reduce(DataFrame.unionByName, placed)
         .where("children > 0")
