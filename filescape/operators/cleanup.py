@@ -124,10 +124,12 @@ def separate_targets(plan: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def unique_files(files: DataFrame, key: str = "dedup_key") -> DataFrame:
-    """One row per distinct content: the first copy by path."""
-    return group_by_key(files, key).select(
-        "dedup_key",
-        F.col("first_id").alias("id"),
-        F.col("first_path").alias("path"),
-        "size",
+    """One row per distinct content: the first copy by path, and every file without a key."""
+    first = group_by_key(files, key).select(
+        "dedup_key", F.col("first_id").alias("id"), F.col("first_path").alias("path"), "size"
+    )
+    ident = F.col("id") if "id" in files.columns else F.col("path")
+    unkeyed = files.where(F.col(key).isNull()).select(
+        F.lit(None).cast("string").alias("dedup_key"), ident.alias("id"), "path", "size"
     )
+    return first.unionByName(unkeyed)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filescape.functions.content import content_hash
@@ -23,21 +23,22 @@ def _first() -> Column:
     return F.min(F.struct("path", F.col("_id"), "size"))
 
 
-def group_by_key(files: DataFrame, key: str = "dedup_key") -> DataFrame:
+def group_by_key(files: DataFrame, key: str = "dedup_key", unkeyed: bool = False) -> DataFrame:
     """One row per key: copies, bytes, the first copy by path and the wasted bytes.
 
     Every aggregate is combined on the map side; no list of copies is built, so a key
-    holding most of the files costs no more than any other.
+    holding most of the files costs no more than any other. Files without a key, known to
+    be unique before they were read, are left out or, with `unkeyed`, summed in one row.
     """
     ident = F.col("id") if "id" in files.columns else F.col("path")
+    counted = files if unkeyed else files.where(F.col(key).isNotNull())
     return (
-        files.where(F.col(key).isNotNull())
-        .select(F.col(key).alias("dedup_key"), "path", ident.alias("_id"), "size")
+        counted.select(F.col(key).alias("dedup_key"), "path", ident.alias("_id"), "size")
         .groupBy("dedup_key")
         .agg(
             F.count("*").alias("copies"),
             F.sum("size").alias("bytes"),
-            _first().alias("_first"),
+            F.min(F.struct("path", "_id", "size")).alias("_first"),
         )
         .select(
             "dedup_key",

@@ -63,8 +63,8 @@ def scan_summary(files: DataFrame, dirs: DataFrame, key: str = "dedup_key") -> D
 
     The totals come from the per-key rows of the duplicate search, so files are read once.
     """
-    groups = group_by_key(files, key)
-    repeated = F.col("copies") >= 2
+    groups = group_by_key(files, key, unkeyed=True)
+    repeated = F.col("dedup_key").isNotNull() & (F.col("copies") >= 2)
     from_files = groups.select(
         F.col("copies").alias("total_files"),
         F.lit(0).cast("bigint").alias("total_dirs"),

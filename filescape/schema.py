@@ -1,21 +1,7 @@
-"""Table schemas."""
+"""Schema of stored listings."""
 
 from pyspark.sql import types as T
 
-# One row per file or directory. `parent` is a parent id and null for the root.
-NODES = T.StructType(
-    [
-        T.StructField("id", T.StringType(), False),
-        T.StructField("parent", T.StringType()),
-        T.StructField("path", T.StringType(), False),
-        T.StructField("name", T.StringType(), False),
-        T.StructField("is_dir", T.BooleanType(), False),
-        T.StructField("is_symlink", T.BooleanType(), False),
-        T.StructField("size", T.LongType(), False),
-        T.StructField("mtime", T.TimestampType()),
-    ]
-)
-
 # A cloud-drive listing: one row per file or folder, linked by parent id.
 MANIFEST = T.StructType(
     [
@@ -29,11 +15,3 @@ MANIFEST = T.StructType(
         T.StructField("trashed", T.BooleanType()),
     ]
 )
-
-# The keep / skip answers of a clean-up, one row per duplicate group.
-DECISIONS = T.StructType(
-    [
-        T.StructField("dedup_key", T.StringType(), False),
-        T.StructField("answer", T.StringType()),
-    ]
-)
