@@ -30,22 +30,23 @@ def group_by_key(files: DataFrame, key: str = "dedup_key", unkeyed: bool = False
     holding most of the files costs no more than any other. Files without a key, known to
     be unique before they were read, are left out or, with `unkeyed`, summed in one row.
     """
-    ident = F.col("id") if "id" in files.columns else F.col("path")
     counted = files if unkeyed else files.where(F.col(key).isNotNull())
+    # An id that repeats the path would double what is shuffled.
+    has_id = "id" in files.columns
+    first = ["path", "id", "size"] if has_id else ["path", "size"]
     return (
-        counted.select(F.col(key).alias("dedup_key"), "path", ident.alias("_id"), "size")
-        .groupBy("dedup_key")
+        counted.groupBy(F.col(key).alias("dedup_key"))
         .agg(
             F.count("*").alias("copies"),
             F.sum("size").alias("bytes"),
-            F.min(F.struct("path", "_id", "size")).alias("_first"),
+            F.min(F.struct(*first)).alias("_first"),
         )
         .select(
             "dedup_key",
             "copies",
             "bytes",
             F.col("_first.path").alias("first_path"),
-            F.col("_first._id").alias("first_id"),
+            F.col("_first.id" if has_id else "_first.path").alias("first_id"),
             F.col("_first.size").alias("size"),
             ((F.col("copies") - 1) * F.col("_first.size")).alias("wasted"),
         )

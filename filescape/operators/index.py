@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from filescape.functions.names import name_tokens
 from filescape.operators.ranking import rank_within
 from filescape.operators.skew import HOT_ROWS
+from filescape.session import cut
 
 POSTINGS_PER_BLOCK = 10_000
 
@@ -93,13 +94,13 @@ def index_search(index: DataFrame, query: str) -> DataFrame:
 
 
 def search_many(index: DataFrame, queries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(query_id, id, path) for a table of queries (query_id, query).
+    """(query_id, id, path) for a table of queries (query_id, query), one row per query_id.
 
     Each query looks up only its rarest token and tests the others on the names found, so
     common tokens add no rows. Should even the rarest be common, its postings are split by
     a salt that its queries are repeated for.
     """
-    counts = index.groupBy("token").agg(F.count("*").alias("_n"))
+    counts = cut(index.groupBy("token").agg(F.count("*").alias("_n")))
     salts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(hot_rows))).cast("int")
     termed = queries.select("query_id", F.array_distinct(name_tokens("query")).alias("terms"))
     rarest = (

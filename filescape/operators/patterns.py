@@ -148,9 +148,9 @@ def refine_patterns(
 ) -> DataFrame:
     """One row per final group: group_key, template, count."""
     refined = refined_files(files, min_group, hot_rows)
-    return refined.groupBy("group_key").agg(
-        F.min(_template("segs", "varying", "ext")).alias("template"), F.count("*").alias("count")
-    )
+    # All names of a group have one template, so it can be a grouping key.
+    template = _template("segs", "varying", "ext").alias("template")
+    return refined.groupBy("group_key", template).agg(F.count("*").alias("count"))
 
 
 def name_patterns(

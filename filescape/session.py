@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: dict[str, list[str]] = {}
+
 
 def build_session(app_name: str = "filescape", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators are tuned for; `conf` overrides them."""
@@ -73,4 +75,14 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, "cut")
     df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables `cut` wrote for this application; frames built on them are void."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
