@@ -17,8 +17,7 @@ def _columns(order: Sequence[Column | str]) -> list[Column]:
 
 
 def _sorted_blocks(df: DataFrame, order: list[Column]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return cut(placed.withColumn("_seq", F.monotonically_increasing_id()))
 
 

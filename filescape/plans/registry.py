@@ -67,7 +67,10 @@ def _tree_on_disk(spark: SparkSession, sf_dir: str) -> str:
     """Write the documents as single files below the shared folder and return the root."""
     from urllib.parse import urlparse
 
-    root = urlparse(shared_path(spark, "tree")).path
+    shared = urlparse(shared_path(spark, "tree"))
+    if shared.scheme not in ("", "file"):
+        raise RuntimeError("a live tree needs a shared folder that is mounted")
+    root = shared.path
 
     def put(batches):
         import os

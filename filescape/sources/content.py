@@ -19,13 +19,19 @@ _CHUNK = 1 << 20
 _BATCH_BYTES = 4 << 20
 
 
-def _spread(files: DataFrame) -> DataFrame:
-    """Listing rows spread evenly before their files are opened."""
-    tasks = max(files.sparkSession.sparkContext.defaultParallelism * 4, 8)
-    return files.repartition(tasks)
+def _spread(files: DataFrame, tasks: int | None) -> DataFrame:
+    """Paths spread evenly before their files are opened.
+
+    The number of tasks is fixed, because the listing says nothing about the bytes behind
+    it: merged by their own small size, the rows would end in a few tasks.
+    """
+    default = max(files.sparkSession.sparkContext.defaultParallelism * 4, 8)
+    return files.select("path").repartition(tasks or default)
 
 
-def file_content(files: DataFrame, skip_errors: bool = False) -> DataFrame:
+def file_content(
+    files: DataFrame, skip_errors: bool = False, tasks: int | None = None
+) -> DataFrame:
     """(path, content) of each file, one file per record batch."""
 
     def read(batches):
@@ -45,10 +51,10 @@ def file_content(files: DataFrame, skip_errors: bool = False) -> DataFrame:
                     [pa.array([path]), pa.array([content], pa.binary())], schema=schema
                 )
 
-    return _spread(files.select("path")).mapInArrow(read, "path string, content binary")
+    return _spread(files, tasks).mapInArrow(read, "path string, content binary")
 
 
-def file_hashes(files: DataFrame) -> DataFrame:
+def file_hashes(files: DataFrame, tasks: int | None = None) -> DataFrame:
     """(path, dedup_key): SHA-256 of each file, read in chunks of constant size."""
     chunk = _CHUNK
 
@@ -67,19 +73,25 @@ def file_hashes(files: DataFrame) -> DataFrame:
                     while block := stream.read(chunk):
                         state.update(block)
                 keys.append(state.hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(keys, pa.string())], schema=schema)
+            columns = [pa.array(paths, pa.string()), pa.array(keys, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return _spread(files.select("path")).mapInArrow(digest, "path string, dedup_key string")
+    return _spread(files, tasks).mapInArrow(digest, "path string, dedup_key string")
 
 
-def hash_files(files: DataFrame, hash_all: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hash_files(
+    files: DataFrame,
+    hash_all: bool = False,
+    hot_rows: int = HOT_ROWS,
+    tasks: int | None = None,
+) -> DataFrame:
     """Add `dedup_key` to the files of a catalog.
 
     Equal content has equal size, so only files whose size occurs twice are read; the
     others get a null key. `hash_all` reads every file.
     """
     if hash_all:
-        return files.join(file_hashes(files), "path").select(*files.columns, "dedup_key")
+        return files.join(file_hashes(files, tasks), "path").select(*files.columns, "dedup_key")
     repeated = (
         files.groupBy("size")
         .agg(F.count("*").alias("_n"))
@@ -87,12 +99,15 @@ def hash_files(files: DataFrame, hash_all: bool = False, hot_rows: int = HOT_ROW
         .withColumn("_repeated", F.lit(True))
     )
     marked = cut(attach(files, repeated, "size", "_n", "path", hot_rows=hot_rows))
-    hashes = file_hashes(marked.where("_repeated"))
+    hashes = file_hashes(marked.where("_repeated"), tasks)
     return marked.join(hashes, "path", "left").select(*files.columns, "dedup_key")
 
 
 def file_lines(
-    files: DataFrame, max_line_bytes: int | None = GREP_MAX_LINE_BYTES, skip_errors: bool = True
+    files: DataFrame,
+    max_line_bytes: int | None = GREP_MAX_LINE_BYTES,
+    skip_errors: bool = True,
+    tasks: int | None = None,
 ) -> DataFrame:
     """(path, line, text) of text files, streamed line by line.
 
@@ -140,7 +155,7 @@ def file_lines(
                         raise
         yield batch_of(rows)
 
-    lines = _spread(files.select("path")).mapInArrow(read, "path string, line bigint, raw binary")
+    lines = _spread(files, tasks).mapInArrow(read, "path string, line bigint, raw binary")
     return lines.select("path", "line", without_cr(F.col("raw").cast("string")).alias("text"))
 
 
