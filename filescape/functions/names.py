@@ -99,10 +99,12 @@ def segment_values(stem: Column | str) -> Column:
 
 
 def segment_kind(value: Column) -> Column:
-    """A for letters, D for digits, S for separators."""
+    """A for letters, D for digits, S for separators, told by the first character."""
+    first = F.ascii(value)
+    letter = first.between(65, 90) | first.between(97, 122)
     return (
-        F.when(value.rlike("^[A-Za-z]"), F.lit("A"))
-        .when(value.rlike("^[0-9]"), F.lit("D"))
+        F.when(letter, F.lit("A"))
+        .when(first.between(48, 57), F.lit("D"))
         .otherwise(F.lit("S"))
     )
 

@@ -57,7 +57,7 @@ def duplicate_groups(files: DataFrame, key: str = "dedup_key") -> DataFrame:
     """Keys with two or more files, by first path, with labels D1, D2, ... in that order."""
     groups = group_by_key(files, key).where("copies >= 2")
     ranked = global_rank(groups, ["first_path", "first_id"], "_rank")
-    return ranked.select(
+    return ranked.orderBy("_rank").select(
         "dedup_key",
         F.concat(F.lit("D"), F.col("_rank").cast("string")).alias("label"),
         "copies",
@@ -65,7 +65,7 @@ def duplicate_groups(files: DataFrame, key: str = "dedup_key") -> DataFrame:
         "first_id",
         "size",
         "wasted",
-    ).orderBy("first_path", "first_id")
+    )
 
 
 def wasted_size(files: DataFrame, key: str = "dedup_key") -> DataFrame:

@@ -11,6 +11,7 @@ from filescape.functions.content import is_text, searchable_lines, without_cr
 from filescape.functions.labels import GREP_MAX_FILE_BYTES, GREP_MAX_LINE_BYTES
 from filescape.functions.names import tree_key
 from filescape.functions.regex import check_pattern, line_matches
+from filescape.operators.ranking import sorted_once
 from filescape.operators.scope import ext_filter
 
 
@@ -80,9 +81,9 @@ def grep_files(
 
 
 def in_file_order(matches: DataFrame, root: str | None) -> DataFrame:
-    """Matches by line in depth-first file order."""
+    """Matches by line in depth-first file order. The files are read once."""
     key = tree_key("path", root) if root else F.col("path")
-    return matches.orderBy(key, "line")
+    return sorted_once(matches, ["path", "line"], [key, "line"])
 
 
 def grep_counts(matches: DataFrame, skipped: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filescape.functions.names import name_tokens
-from filescape.operators.ranking import rank_within
+from filescape.operators.ranking import rank_within, sorted_once
 from filescape.operators.skew import HOT_ROWS
 from filescape.session import cut
 
@@ -77,7 +77,7 @@ def name_search(files: DataFrame, query: str) -> DataFrame:
     folded = F.lower("name")
     for term in terms:
         files = files.where(_has_term(folded, term))
-    return files.orderBy("path")
+    return sorted_once(files, ["path"], ["path"])
 
 
 def index_search(index: DataFrame, query: str) -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filescape.functions.names import name_stem, segment_values, shape_key
+from filescape.functions.names import name_stem, segment_kind, segment_values, shape_key
 from filescape.operators.scope import with_ext
 from filescape.operators.skew import HOT_ROWS, attach
 from filescape.session import cut
@@ -26,13 +26,13 @@ def _least(min_group: int) -> int:
     return min_group if min_group > 0 else DEFAULT_MIN_GROUP
 
 
-def _segmented(files: DataFrame, fold_ext_case: bool = False) -> DataFrame:
-    """(path, ext, shape, segs) of every file."""
+def _stems(files: DataFrame, fold_ext_case: bool = False) -> DataFrame:
+    """(path, ext, stem, shape) of every file."""
     stem = name_stem("name", "ext", fold_ext_case)
     return (
         with_ext(files)
         .select("path", "ext", stem.alias("stem"))
-        .select("path", "ext", shape_key("stem").alias("shape"), segment_values("stem").alias("segs"))
+        .withColumn("shape", shape_key("stem"))
     )
 
 
@@ -53,9 +53,9 @@ def _position_stats(files: DataFrame, keys: list[str]) -> DataFrame:
     Files are first counted per value, partly on the map side, so a group holding most
     files is spread over its values.
     """
-    exploded = files.select(*keys, F.posexplode("segs").alias("pos", "value"))
+    exploded = files.select(*keys, F.posexplode(segment_values("stem")).alias("pos", "value"))
     per_value = (
-        exploded.where(F.col("value").rlike("^[A-Za-z0-9]"))
+        exploded.where(segment_kind(F.col("value")) != "S")
         .groupBy(*keys, "pos", "value")
         .agg(F.count("*").alias("files"))
     )
@@ -67,7 +67,7 @@ def _position_stats(files: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _bucket_stats(files: DataFrame, min_group: int) -> DataFrame:
-    stats = _position_stats(_segmented(files), ["ext", "shape"])
+    stats = _position_stats(_stems(files), ["ext", "shape"])
     return stats.where((F.col("files") >= _least(min_group)) & (F.col("n_values") >= 2))
 
 
@@ -110,13 +110,14 @@ def refined_files(
 ) -> DataFrame:
     """Files with the final group each belongs to.
 
-    Columns: path, ext, segs, group_key, files (in the group), varying (positions). The
+    Columns: path, ext, stem, group_key, files (in the group), varying (positions). The
     decisions of a round are written out on their own, so that the planner knows their
     size and leaves the files where they are while the decisions are small.
     """
     least = _least(min_group)
     bucket = F.concat("ext", F.lit("|"), "shape")
-    active = cut(_segmented(files, fold_ext_case).select("path", "ext", "segs", bucket.alias("group_key")))
+    named = _stems(files, fold_ext_case)
+    active = cut(named.select("path", "ext", "stem", bucket.alias("group_key")))
     leaves = []
     while True:
         decisions = cut(_decisions(active, least))
@@ -126,21 +127,22 @@ def refined_files(
             return reduce(DataFrame.unionByName, leaves)
         decided = cut(decided)
         leaves.append(decided.where("split is null").drop("split"))
-        active = decided.where("split is not null").selectExpr(
-            "path",
-            "ext",
-            "segs",
-            "concat(group_key, '|', split, '=', element_at(segs, split + 1)) as group_key",
+        value = F.element_at(segment_values("stem"), F.col("split") + 1)
+        part = F.concat("group_key", F.lit("|"), F.col("split").cast("string"), F.lit("="), value)
+        active = decided.where("split is not null").select(
+            "path", "ext", "stem", part.alias("group_key")
         )
 
 
-def _template(segs: str, varying: str, ext: str) -> Column:
+def _template() -> Column:
+    """Constant segments and numbered slots, from the columns of `refined_files`."""
+
     def piece(value: Column, at: Column) -> Column:
-        number = F.array_position(varying, at)
+        number = F.array_position("varying", at)
         slot = F.concat(F.lit("{"), number.cast("string"), F.lit("}"))
         return F.when(number > 0, slot).otherwise(value)
 
-    return F.concat(F.array_join(F.transform(segs, piece), ""), F.col(ext))
+    return F.concat(F.array_join(F.transform(segment_values("stem"), piece), ""), "ext")
 
 
 def refine_patterns(
@@ -149,7 +151,7 @@ def refine_patterns(
     """One row per final group: group_key, template, count."""
     refined = refined_files(files, min_group, hot_rows)
     # All names of a group have one template, so it can be a grouping key.
-    template = _template("segs", "varying", "ext").alias("template")
+    template = _template().alias("template")
     return refined.groupBy("group_key", template).agg(F.count("*").alias("count"))
 
 
@@ -165,11 +167,12 @@ def name_patterns(
     Columns: group_key, template, count, path, fields. Ordered by count, largest first,
     then template and path.
     """
+    varying = F.filter(segment_values("stem"), lambda _, at: F.array_contains("varying", at))
     found = refined_files(files, min_group, hot_rows, fold_ext_case).select(
         "group_key",
-        _template("segs", "varying", "ext").alias("template"),
+        _template().alias("template"),
         F.col("files").alias("count"),
         "path",
-        F.transform("varying", lambda at: F.element_at("segs", at + 1)).alias("fields"),
+        varying.alias("fields"),
     )
     return found.orderBy(F.desc("count"), "template", "path") if ordered else found

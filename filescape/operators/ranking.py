@@ -16,6 +16,17 @@ def _columns(order: Sequence[Column | str]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def sorted_once(
+    df: DataFrame, spread_by: Sequence[str], order: Sequence[Column | str]
+) -> DataFrame:
+    """`df` in `order`, evaluated once.
+
+    A global sort first samples its input for range bounds, which would run a scan a second
+    time. After a shuffle by `spread_by` the sample is taken from the shuffled rows.
+    """
+    return df.repartition(*spread_by).orderBy(*order)
+
+
 def _sorted_blocks(df: DataFrame, order: list[Column]) -> DataFrame:
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
     return cut(placed.withColumn("_seq", F.monotonically_increasing_id()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from filescape.functions.names import shown_ext
 from filescape.operators.dedup import group_by_key
+from filescape.operators.ranking import sorted_once
 from filescape.operators.scope import with_ext, with_types
 from filescape.operators.skew import HOT_ROWS, attach
 
@@ -43,7 +44,7 @@ def group_by_ext(files: DataFrame, hot_rows: int = HOT_ROWS, ordered: bool = Tru
     grouped = attach(listed, weighted, "ext", "_rows", "path", hot_rows=hot_rows)
     if not ordered:
         return grouped
-    return grouped.orderBy(F.desc("ext_size"), "ext", "path")
+    return sorted_once(grouped, ["path"], [F.desc("ext_size"), "ext", "path"])
 
 
 def find_totals(files: DataFrame) -> DataFrame:
