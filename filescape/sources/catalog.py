@@ -18,6 +18,7 @@ _LISTED = (
 _FIRST_BUDGET = 1_000
 _LAST_BUDGET = 100_000
 _BATCH_ROWS = 10_000
+_DIRS_PER_TASK = 2_000
 
 
 def _lister(include_all: bool, skip_errors: bool, budget: int):
@@ -123,17 +124,16 @@ def file_catalog(
         raise FileNotFoundError(root)
     if not os.path.isdir(root):
         raise NotADirectoryError(root)
-    tasks = tasks or max(spark.sparkContext.defaultParallelism * 4, 8)
+    least = tasks or max(spark.sparkContext.defaultParallelism * 4, 8)
     frontier = spark.createDataFrame([(root,)], "path string")
-    rounds, budget = [], _FIRST_BUDGET
-    while True:
+    rounds, budget, waiting = [], _FIRST_BUDGET, 1
+    while waiting:
         lister = _lister(include_all, on_error == "skip", budget)
-        spread = frontier.repartition(tasks) if rounds else frontier
+        spread = frontier.repartition(max(least, waiting // _DIRS_PER_TASK)) if rounds else frontier
         listed = cut(spread.mapInArrow(lister, _LISTED))
         rounds.append(listed)
         frontier = listed.where("pending").select("path")
-        if frontier.isEmpty():
-            break
+        waiting = frontier.count()
         budget = min(budget * 10, _LAST_BUDGET)
     return reduce(DataFrame.unionByName, rounds).select(
         F.col("path").alias("id"),

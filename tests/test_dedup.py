@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from filescape.operators import cleanup, dedup, stats
 from filescape.operators.ranking import global_rank, rank_within
 from filescape.operators.skew import attach
@@ -90,7 +92,17 @@ def test_paths_that_repeat(spark):
     assert {r["id"]: r["copy"] for r in dedup.duplicate_members(files).collect()} == {"1": 1, "2": 2}
 
 
-def test_ranks_against_brute_force(spark):
+@pytest.fixture(params=["true", "false"])
+def coalescing(spark, request):
+    """With and without merging of small partitions; without it, hot groups span blocks."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, request.param)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_ranks_against_brute_force(spark, coalescing):
     rows = skewed_rows(500)
     frame = keyed(spark, rows).repartition(7)
     everywhere = {r["path"]: r["rank"] for r in global_rank(frame, ["path"]).collect()}
@@ -156,7 +168,7 @@ def test_answers(spark):
         assert tuple(cleanup.cleanup_summary(plan).collect()[0]) == (7, 14, 28)
 
 
-def test_keeping_a_far_copy_of_a_hot_group(spark):
+def test_keeping_a_far_copy_of_a_hot_group(spark, coalescing):
     rows = skewed_rows()
     hot = sorted(path for path, _, key in rows if key == "hot")
     files = keyed(spark, rows)

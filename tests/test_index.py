@@ -53,6 +53,7 @@ def test_index_and_stats(spark):
 
 
 def test_blocks_hold_whole_lists_in_order(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     random.seed(3)
     paths = [f"/d/{random.randrange(10**6)}-{i}/{'hot' if i % 3 else 'cold'} n{i % 5}.txt" for i in range(400)]
     postings = index.name_index(files_of(spark, *paths))
@@ -64,3 +65,4 @@ def test_blocks_hold_whole_lists_in_order(spark):
     assert lists["txt"] == sorted(paths)
     assert lists["hot"] == sorted(p for p in paths if "hot" in p)
     assert lists["n0"] == sorted(p for p in paths if " n0." in p)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
