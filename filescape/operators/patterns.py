@@ -3,8 +3,9 @@
 Names are grouped by extension and shape, then a group is split on the leftmost varying
 segment whose every value covers enough files, and so on inside the parts. All groups of
 a round are split together: one round is a fixed number of aggregations and one join over
-the files still undecided, however many groups there are and however large one of them is. A split fixes one more segment, so there are at most as many rounds as a name
-has letter and digit runs.
+the files still undecided, however many groups there are and however large one of them is.
+A split fixes one more segment, so there are at most as many rounds as a name has letter
+and digit runs.
 """
 
 from __future__ import annotations
