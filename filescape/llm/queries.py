@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescape.llm import chat, mixing, packing, warc
+from filescape.llm import chat, jaccard, mixing, packing, warc
 from filescape.llm.tables import table
 from filescape.session import cut, shared_path
 
@@ -47,11 +47,16 @@ def op6_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents"), cut)
+
+
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op3_reply_examples": op3_reply_examples,
     "op5_curve_packing": op5_curve_packing,
     "op6_source_schedule": op6_source_schedule,
+    "op10_prefix_join": op10_prefix_join,
 }
 
 _B32 = " || ".join(
