@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -86,3 +87,12 @@ def release(spark: SparkSession) -> int:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return len(paths)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more.
+
+    Its cleaner works on what the garbage collectors of Python and the driver find.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
