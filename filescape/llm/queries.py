@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescape.llm import chat, jaccard, mixing, packing, warc
+from filescape.llm import chat, jaccard, mixing, packing, repeats, warc
 from filescape.llm.tables import table
-from filescape.session import cut, shared_path
+from filescape.session import cut, settle, shared_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PROBE = "</s>[INST] ok [/INST]"
@@ -38,6 +38,11 @@ def op3_reply_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(chat.expand_replies(turns.unionByName(probe)))
 
 
+def op4_lyndon_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"), cut, lambda: settle(spark))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, cut)
 
@@ -54,6 +59,7 @@ def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op3_reply_examples": op3_reply_examples,
+    "op4_lyndon_groups": op4_lyndon_groups,
     "op5_curve_packing": op5_curve_packing,
     "op6_source_schedule": op6_source_schedule,
     "op10_prefix_join": op10_prefix_join,
