@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescape.llm import chat, jaccard, mixing, packing, repeats, warc
+from filescape.llm import chat, jaccard, mixing, packing, pivots, repeats, warc
 from filescape.llm.tables import table
 from filescape.session import cut, settle, shared_path
 
@@ -52,6 +52,10 @@ def op6_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_pivot_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(table(spark, sf_dir, "embeddings"), cut)
+
+
 def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"), cut)
 
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_lyndon_groups": op4_lyndon_groups,
     "op5_curve_packing": op5_curve_packing,
     "op6_source_schedule": op6_source_schedule,
+    "op7_pivot_lists": op7_pivot_lists,
     "op10_prefix_join": op10_prefix_join,
 }
 
