@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescape.llm import chat, jaccard, mixing, packing, pivots, repeats, warc
+from filescape.llm import chat, jaccard, language, mixing, packing, pivots, repeats, warc
 from filescape.llm.tables import table
 from filescape.session import cut, settle, shared_path
 
@@ -27,6 +27,13 @@ def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_word_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    field = language.fit_field(documents, language.remainder("doc_id", 5) != 0)
+    found = language.identify(documents, field)
+    return found.select("doc_id", (language.remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op3_reply_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(
@@ -62,6 +69,7 @@ def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
+    "op2_word_field": op2_word_field,
     "op3_reply_examples": op3_reply_examples,
     "op4_lyndon_groups": op4_lyndon_groups,
     "op5_curve_packing": op5_curve_packing,
