@@ -184,19 +184,20 @@ def with_matches(postings: DataFrame, percent: int = PERCENT, matches: int = MOS
     return sized.drop("length").join(best, "class")
 
 
-def class_sets(documents: DataFrame, doc="doc_id", text="text", words=WORDS) -> DataFrame:
-    """(class, shingles) per document."""
+def class_sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(class, shingles) from (text, wanted), the class each text is read for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 values, counts, signs = _sets(part, words)
+                kept = pa.array(signs == part.column("wanted").to_numpy())
                 raw = values.astype("<u8").tobytes()
                 ends = (np.concatenate([[0], np.cumsum(counts)]) * 8).astype(np.int32)
                 blobs = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([pa.array(signs), blobs], ["class", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(signs), blobs], ["class", "shingles"]).filter(kept)
 
-    return documents.select(F.col(text).alias("text")).mapInArrow(run, "class bigint, shingles binary")
+    return texts.select("text", "wanted").mapInArrow(run, "class bigint, shingles binary")
 
 
 def _verify(percent: int):
@@ -223,7 +224,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.mapInArrow(_verify(percent), "a bigint, b bigint")
 
 
-def similar_classes(postings: DataFrame, sets: DataFrame, cut, percent: int = PERCENT) -> DataFrame:
+def similar_classes(postings: DataFrame, sets: DataFrame, cut, settle, percent: int = PERCENT) -> DataFrame:
     """(node, component) of all classes that link with another one."""
     spark = postings.sparkSession
     links = spark.createDataFrame([], "a bigint, b bigint")
@@ -249,6 +250,7 @@ def similar_classes(postings: DataFrame, sets: DataFrame, cut, percent: int = PE
         tried = cut(tried.unionAll(pairs.select("a", "b")))
         links = cut(links.unionAll(found))
         labels = cut(components(links, cut))
+        settle()
     tried = tried.unionAll(pairs.select("a", "b"))
     rest = cut(_pairs(_labelled(postings, labels)).join(tried, ["a", "b"], "left_anti"))
     links = links.unionAll(verified(rest, sets, percent))
@@ -276,19 +278,23 @@ def _pairs(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
     return found.filter("shared >= m").select("a", "b")
 
 
-def link_documents(documents: DataFrame, cut, doc="doc_id", text="text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def link_documents(documents: DataFrame, cut, settle, doc="doc_id", text="text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of `documents`. `cut` writes a frame that is
-    read again."""
+    read again, `settle` gives Spark occasion to delete shuffle files no longer needed."""
     told = cut(describe(documents, doc, text, words))
     rows = told.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "class")
     frequent = frequent_shingles(told)
-    postings = cut(with_matches(cut(shared_postings(prefix_postings(documents, frequent, doc, text, words, percent))), percent))
+    shared = cut(shared_postings(prefix_postings(documents, frequent, doc, text, words, percent)))
+    settle()
+    postings = cut(with_matches(shared, percent))
+    settle()
     classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("_first"))
-    wanted = classes.join(postings.select("class").distinct(), "class").select(F.col("_first"), F.col("class").alias("_class"))
+    wanted = classes.join(postings.select("class").distinct(), "class").select("_first", F.col("class").alias("wanted"))
     texts = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    of_classes = texts.join(wanted.select("_first").distinct(), F.col("doc_id").eqNullSafe(F.col("_first"))).select("doc_id", "text")
-    sets = cut(class_sets(of_classes, words=words).join(wanted.select(F.col("_class").alias("class")), "class", "left_semi").dropDuplicates(["class"]))
-    groups = similar_classes(postings, sets, cut, percent)
+    of_classes = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_first")))
+    sets = cut(class_sets(of_classes, words))
+    settle()
+    groups = similar_classes(postings, sets, cut, settle, percent)
     known = classes.join(groups, F.col("class") == F.col("node"), "left").withColumn("_group", F.coalesce("component", "class"))
     smallest = known.groupBy("_group").agg(F.min("_first").alias("component_id"))
     labels = known.join(smallest, "_group").select("class", "component_id")

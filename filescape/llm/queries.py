@@ -64,7 +64,7 @@ def op7_pivot_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_documents(table(spark, sf_dir, "documents"), cut)
+    return jaccard.link_documents(table(spark, sf_dir, "documents"), cut, lambda: settle(spark))
 
 
 QUERIES = {
