@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
+import atexit
+import contextlib
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What was written for each application, and the table behind each frame `cut` returned.
 _written: dict[str, list[str]] = {}
+_tables: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app_name: str = "filescape", master: str | None = None, **conf) -> SparkSession:
@@ -30,29 +34,23 @@ def build_session(app_name: str = "filescape", master: str | None = None, **conf
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The folder all executors share: ``spark.checkpoint.dir``, or one in the warehouse.
 
-    A folder of our own is only made for local sessions that name none; a cluster must
-    name one, because executors on other machines cannot read a temporary folder.
+    The library makes no temporary folder: on a cluster that of one machine cannot be read
+    by the others, while the warehouse is shared by definition.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    active = context.getCheckpointDir()
-    if active is None:
-        if not configured:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            configured = tempfile.mkdtemp(prefix="filescape-checkpoints-")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if configured and context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
-        active = context.getCheckpointDir()
-    return configured or active
+    return configured or context.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/filescape/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; `release` deletes what is written there."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/filescape/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -71,28 +69,52 @@ def cut(df: DataFrame) -> DataFrame:
 
     Used where rows are read more than once, and between the rounds of a loop. The table
     is columnar, so later steps read only their columns, and its size is known to the
-    planner, which then broadcasts small tables without a shuffle of the other side.
+    planner, which then broadcasts small tables without a shuffle of the other side. The
+    shuffle files behind the table are deleted once it is written.
     """
     spark = df.sparkSession
     path = shared_path(spark, "cut")
-    df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_FILE_CLEANUP, None)
+    spark.conf.set(_FILE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_FILE_CLEANUP)
+        else:
+            spark.conf.set(_FILE_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables[table] = path
+    return table
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables `cut` wrote that no frame reads any more, such as a loop's last round."""
+    for table in tables:
+        path = _tables.pop(table, None)
+        if path is not None:
+            spark = table.sparkSession
+            _delete(spark, path)
+            _written[spark.sparkContext.applicationId].remove(path)
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the tables `cut` wrote for this application; frames built on them are void."""
+    """Delete everything written below the shared folder for this application; frames built
+    on it are void."""
     paths = _written.pop(spark.sparkContext.applicationId, [])
     for name in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, name)
     return len(paths)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nothing refers to any more.
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        with contextlib.suppress(Exception):  # the driver's JVM may be gone by now
+            release(spark)
 
-    Its cleaner works on what the garbage collectors of Python and the driver find.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
