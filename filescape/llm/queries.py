@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from filescape.llm import chat, jaccard, language, mixing, packing, pivots, repeats, warc
 from filescape.llm.tables import table
-from filescape.session import cut, settle, shared_path
+from filescape.session import cut, shared_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PROBE = "</s>[INST] ok [/INST]"
@@ -46,7 +46,7 @@ def op3_reply_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lyndon_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.without_repeats(table(spark, sf_dir, "documents"), cut, lambda: settle(spark))
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"), cut)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -64,7 +64,7 @@ def op7_pivot_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_documents(table(spark, sf_dir, "documents"), cut, lambda: settle(spark))
+    return jaccard.link_documents(table(spark, sf_dir, "documents"), cut)
 
 
 QUERIES = {

@@ -29,7 +29,7 @@ from filescape.llm.suffix import suffix_array
 from filescape.llm.tables import bytes_of, slices
 from filescape.llm.words import _codes, _powers, mix
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 _LONGEST_RUN = 128
 _CHUNK_KEYS = 1_000_000
 #: Bytes sorted at once, and strings of one key from which its windows are dealt out.
@@ -369,30 +369,25 @@ def _smallest(data, bounds, some, low, length: int):
     return own[first], lo, lo + count, least[first]
 
 
-def repeated_spans(documents: DataFrame, cut, settle, doc="doc_id", text="text", length: int = LENGTH, gram: int = GRAM,
+def repeated_spans(documents: DataFrame, cut, doc="doc_id", text="text", length: int = LENGTH, gram: int = GRAM,
                    hot_strings: int = HOT_STRINGS) -> DataFrame:
     """(doc, body, spans): per document the byte ranges of repeated windows, as they come."""
     shared = cut(shared_keys(window_keys(documents, doc, text, length, gram)))
-    settle()
     found = cut(occurrences(documents, shared, doc, text, length, gram))
-    settle()
     strings = found.filter("string is not null").select("key", "content", F.col("doc").alias("low"), "string")
     firsts = first_documents(strings, length, gram, hot_strings)
     earlier = found.drop("string").join(firsts, ["key", "content"]).filter("low < doc")
     spans = earlier.select("doc", "body", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + (length - 1)).alias("hi")).alias("span"))
     out = cut(spans.groupBy("doc", "body").agg(F.collect_list("span").alias("spans")))
-    settle()
     return out
 
 
-def without_repeats(documents: DataFrame, cut, settle, doc="doc_id", text="text", length: int = LENGTH, gram: int = GRAM,
+def without_repeats(documents: DataFrame, cut, doc="doc_id", text="text", length: int = LENGTH, gram: int = GRAM,
                     hot_strings: int = HOT_STRINGS) -> DataFrame:
     """Per row: doc_id, text, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary).
 
-    `cut` writes a frame that is read again, `settle` gives Spark occasion to delete the
-    shuffle files of frames that are not needed any more.
-    """
-    spans = repeated_spans(documents, cut, settle, doc, text, length, gram, hot_strings)
+    `cut` writes a frame that is read again."""
+    spans = repeated_spans(documents, cut, doc, text, length, gram, hot_strings)
     rows = documents.select(F.col(doc).alias("doc_id"), _order(doc).alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
     kind = documents.schema[doc].dataType.simpleString()
     joined = rows.join(spans, ["doc", "body"], "left").select("doc_id", "text", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
