@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescape.llm import chat, jaccard, language, mixing, packing, pivots, repeats, warc
+from filescape.llm import chat, jaccard, language, mixing, packing, pivots, repeats, seating, warc
 from filescape.llm.tables import table
 from filescape.session import cut, shared_path
 
@@ -63,6 +63,11 @@ def op7_pivot_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(table(spark, sf_dir, "embeddings"), cut)
 
 
+def op8_word_seating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return seating.score_documents(documents, language.remainder("doc_id", 7) == 2, cut)
+
+
 def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"), cut)
 
@@ -75,6 +80,7 @@ QUERIES = {
     "op5_curve_packing": op5_curve_packing,
     "op6_source_schedule": op6_source_schedule,
     "op7_pivot_lists": op7_pivot_lists,
+    "op8_word_seating": op8_word_seating,
     "op10_prefix_join": op10_prefix_join,
 }
 
