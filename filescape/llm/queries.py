@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescape.llm import chat, jaccard, language, mixing, packing, pivots, repeats, seating, warc
+from filescape.llm import chat, jaccard, language, mixing, packing, pivots, repeats, seating, wand, warc
 from filescape.llm.tables import table
 from filescape.session import cut, shared_path
 
@@ -68,6 +68,11 @@ def op8_word_seating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seating.score_documents(documents, language.remainder("doc_id", 7) == 2, cut)
 
 
+def op9_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return wand.search(documents, documents.filter("doc_id % 100 = 0"), cut)
+
+
 def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"), cut)
 
@@ -81,6 +86,7 @@ QUERIES = {
     "op6_source_schedule": op6_source_schedule,
     "op7_pivot_lists": op7_pivot_lists,
     "op8_word_seating": op8_word_seating,
+    "op9_block_max": op9_block_max,
     "op10_prefix_join": op10_prefix_join,
 }
 
