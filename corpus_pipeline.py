@@ -1,15 +1,42 @@
-"""A training corpus from the documents table, stage by stage."""
+"""A training corpus from the documents table, stage by stage.
+
+Rejected: documents without a language, all but one of each group of near-duplicates, bytes
+that repeat an earlier document, and what the mixture does not take. A document of which
+nothing is left after the third stage has no words and so no part in the mixture.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from filescape.llm import mixing, packing
+from filescape.llm import jaccard, language, mixing, packing, repeats
 from filescape.llm.queries import TOKENIZER
 from filescape.llm.tables import table
 from filescape.session import cut, shared_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language; those without a letter go."""
+    field = language.fit_field(docs, language.remainder("doc_id", 5) != 0)
+    found = language.identify(docs, field, keep=COLUMNS[1:])
+    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, the one with the smallest id; of rows equal in id and text one."""
+    linked = jaccard.link_documents(docs, cut)
+    kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 50 bytes that also start in an earlier document."""
+    left = repeats.without_repeats(docs, cut, keep=("lang", "source"))
+    return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +50,10 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("mixing sources", mix_sources),
+    ("language", identify_language),
+    ("near-duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("mixture", mix_sources),
     ("packing", pack_sequences),
 ]
 
@@ -34,7 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each result is written and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = shared_path(spark, name.replace(" ", "-"))
+        path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -257,22 +257,26 @@ def training_sample(documents: DataFrame, usable: Column, doc="doc_id", text="te
     return texts, labels
 
 
-def identify(documents: DataFrame, field: Field | None, doc="doc_id", text="text", with_spans: bool = False) -> DataFrame:
-    """(doc_id, lang_pred, score) per row, and with `with_spans` the runs of words of one
-    language: an array of (lang, first word, number of words)."""
+def identify(documents: DataFrame, field: Field | None, doc="doc_id", text="text", with_spans: bool = False,
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score) per row; with `with_spans` the runs of words of one
+    language as an array of (lang, first word, number of words), and the columns `keep`."""
     kind = documents.schema[doc].dataType.simpleString()
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), has_letter.alias("letters"))
+    rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), has_letter.alias("letters"), *[F.col(name).alias(f"_{name}") for name in keep])
     schema = f"doc_id {kind}, lang_pred string, score double"
     if with_spans:
         schema += ", spans array<struct<lang:string,first:bigint,words:bigint>>"
+    schema += "".join(f", `{name}` {documents.schema[name].dataType.simpleString()}" for name in keep)
     shared = documents.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             for part in slices(batch, "text", 16 << 20):
-                yield _identified(part, known, with_spans)
+                found = _identified(part, known, with_spans)
+                passed = [part.column(f"_{name}") for name in keep]
+                yield pa.RecordBatch.from_arrays([*found.columns, *passed], [*found.schema.names, *keep])
 
     return rows.mapInArrow(run, schema)
 

@@ -77,11 +77,12 @@ def targets(sources: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> Data
 
 
 def shuffled_line(documents: DataFrame, doc="doc_id", source="source", text="text", seed="mix") -> DataFrame:
-    """(doc_id, source, size, _at): the place in the shuffled order is the text `_at`."""
+    """(doc_id, source, size, body, _at): `body` tells texts of one id apart, the place in the shuffled order is the text `_at`."""
     return documents.select(
         F.col(doc).alias("doc_id"),
         F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"),
+        F.xxhash64(F.col(text)).alias("body"),
         F.md5(F.concat(F.lit(seed), F.coalesce(F.col(doc).cast("string"), F.lit("")))).alias("_at"),
     )
 
@@ -106,7 +107,7 @@ def with_starts(sized: DataFrame, rows: int) -> DataFrame:
     )
     own = sliced.withColumn("_own", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     return own.join(bases, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_slice") == F.col("_s"))).select(
-        "doc_id", "source", "size", (F.col("_base") + F.col("_own")).alias("start")
+        "doc_id", "source", "size", "body", (F.col("_base") + F.col("_own")).alias("start")
     )
 
 
@@ -180,7 +181,7 @@ def schedule(quota: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def taken_words(line: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, source, size, start, taken): the words the slots take of each document."""
+    """(doc_id, source, size, body, start, taken): the words the slots take of each document."""
     empty = line.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
     pieces = line.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
@@ -194,14 +195,14 @@ def taken_words(line: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORD
     part = lambda words: F.greatest(F.least(high, words) - low, F.lit(0))
     joined = pieces.join(takes, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
     words = F.when(F.col("times").isNull(), 0).otherwise((F.col("times") - 1) * part(F.col("most")) + part(F.col("least")))
-    full = joined.groupBy("doc_id", "source", "size", "start").agg(F.sum(words).cast("long").alias("taken"))
+    full = joined.groupBy("doc_id", "source", "size", "body", "start").agg(F.sum(words).cast("long").alias("taken"))
     return full.unionByName(empty.select(*full.columns))
 
 
 def mix_sources(documents: DataFrame, cut, doc="doc_id", source="source", text="text", seed="mix", block_words: int = BLOCK_WORDS):
     """(documents with their taken words, schedule, targets); `cut` writes a frame that is read again.
 
-    The first frame has doc_id, source, size, start, source_size, target and taken.
+    The first frame has doc_id, source, size, body, start, source_size, target and taken.
     """
     sized = cut(shuffled_line(documents, doc, source, text, seed))
     goals = cut(quotas(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), block_words))
@@ -212,3 +213,19 @@ def mix_sources(documents: DataFrame, cut, doc="doc_id", source="source", text="
     named = goals.select(F.col("source").alias("_source"), "source_size", "target", "rest", "passes")
     out = mixed.join(named, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     return out, slots, goals
+
+
+def mixed_documents(documents: DataFrame, cut, doc="doc_id", source="source", text="text", chars="n_chars", **options) -> DataFrame:
+    """The rows of the mixture with the columns of `documents`: a document once for every time
+    it is taken whole, and its first words where a part is taken."""
+    mixed, _, _ = mix_sources(documents, cut, doc, source, text, **options)
+    taken = mixed.filter("taken > 0").select(
+        F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("body").alias("_body"), F.col("size").alias("_size"), F.col("taken").alias("_taken")
+    )
+    rows = documents.withColumn("_text_body", F.xxhash64(F.col(text))).dropDuplicates([doc, source, "_text_body"])
+    same = F.col(doc).eqNullSafe(F.col("_doc")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_text_body") == F.col("_body"))
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), 1, F.expr("cast(_taken % _size as int)")), " ")
+    whole = F.expr("cast(_taken div _size as int)")
+    texts = F.concat(F.array_repeat(F.col(text), whole), F.when(F.expr("_taken % _size > 0"), F.array(part)).otherwise(F.array().cast("array<string>")))
+    out = rows.join(taken, same).withColumn(text, F.explode(texts))
+    return out.withColumn(chars, F.length(text).cast("long")).select(*documents.columns)

@@ -383,44 +383,56 @@ def repeated_spans(documents: DataFrame, cut, doc="doc_id", text="text", length:
 
 
 def without_repeats(documents: DataFrame, cut, doc="doc_id", text="text", length: int = LENGTH, gram: int = GRAM,
-                    hot_strings: int = HOT_STRINGS) -> DataFrame:
-    """Per row: doc_id, text, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary).
+                    hot_strings: int = HOT_STRINGS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    `cut` writes a frame that is read again."""
+    With `keep`, also those columns of the input and `kept_text`, the text that is left; it
+    keeps characters of which only some bytes are covered. `cut` writes a frame that is read
+    again.
+    """
     spans = repeated_spans(documents, cut, doc, text, length, gram, hot_strings)
-    rows = documents.select(F.col(doc).alias("doc_id"), _order(doc).alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
-    kind = documents.schema[doc].dataType.simpleString()
-    joined = rows.join(spans, ["doc", "body"], "left").select("doc_id", "text", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"))
-    schema = f"doc_id {kind}, text string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
-    return joined.mapInArrow(_cut_out, schema)
+    passed = [F.col(name).alias(f"_{name}") for name in keep]
+    rows = documents.select(F.col(doc).alias("doc_id"), _order(doc).alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"), *passed)
+    joined = rows.join(spans, ["doc", "body"], "left").select(
+        "doc_id", "text", F.col("spans.lo").alias("lo"), F.col("spans.hi").alias("hi"), *[f"_{name}" for name in keep]
+    )
+    schema = f"doc_id {documents.schema[doc].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    if keep:
+        schema += ", kept_text string, " + ", ".join(f"`{name}` {documents.schema[name].dataType.simpleString()}" for name in keep)
+    return joined.mapInArrow(lambda batches: _cut_out(batches, keep), schema)
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+def _cut_out(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text", *keep] * bool(keep)
     for batch in batches:
         for part in slices(batch, "text"):
             data, bounds = bytes_of(part.column("text"))
-            removed, count, digests, kept = [], [], [], []
+            removed, count, digests, texts = [], [], [], []
             for at in range(part.num_rows):
                 raw = data[bounds[at] : bounds[at + 1]]
+                covered = np.zeros(len(raw), bool)
                 lo, hi = part.column("lo")[at], part.column("hi")[at]
-                spans = 0
                 if lo.is_valid:
                     edge = np.zeros(len(raw) + 1, np.int64)
                     np.add.at(edge, lo.values.to_numpy(), 1)
                     np.add.at(edge, hi.values.to_numpy(), -1)
                     covered = np.cumsum(edge)[:-1] > 0
-                    spans = int(covered[0]) + int((covered[1:] & ~covered[:-1]).sum())
-                    raw = raw[~covered]
-                left = raw.tobytes()
-                removed.append(bounds[at + 1] - bounds[at] - len(left))
-                count.append(spans)
-                digests.append(hashlib.sha256(left).hexdigest())
-                kept.append(left)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"), part.column("text"), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()),
-                    pa.array(digests, pa.string()), pa.array(kept, pa.binary()),
-                ],
-                names,
-            )
+                removed.append(int(covered.sum()))
+                count.append(int(covered[:1].sum()) + int((covered[1:] & ~covered[:-1]).sum()))
+                digests.append(hashlib.sha256(raw[~covered].tobytes()).hexdigest())
+                if keep:
+                    texts.append(_whole_characters(raw, covered) if part.column("text")[at].is_valid else None)
+            arrays = [
+                part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digests, pa.string()),
+            ]
+            if keep:
+                arrays += [pa.array(texts, pa.string()), *(part.column(f"_{name}") for name in keep)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _whole_characters(raw: np.ndarray, covered: np.ndarray) -> str:
+    if covered.any():
+        first = (raw & 0xC0) != 0x80
+        gone = np.logical_and.reduceat(covered, np.flatnonzero(first))
+        raw = raw[~gone[np.cumsum(first) - 1]]
+    return raw.tobytes().decode()
