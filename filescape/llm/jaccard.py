@@ -27,6 +27,7 @@ looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -224,36 +225,76 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return both.mapInArrow(_verify(percent), "a bigint, b bigint")
 
 
-def similar_classes(postings: DataFrame, sets: DataFrame, cut, percent: int = PERCENT) -> DataFrame:
-    """(node, component) of all classes that link with another one."""
+def prefixes(postings: DataFrame) -> DataFrame:
+    """(class, n, shared): the prefix shingles of each class that other classes have too."""
+    return postings.groupBy("class").agg(F.first("n").alias("n"), F.collect_list("shingle").alias("shared"))
+
+
+def plausible(pairs: DataFrame, prefix: DataFrame, percent: int = PERCENT, matches: int = MOST_MATCHES) -> DataFrame:
+    """Pairs (a, b) that their prefixes do not rule out.
+
+    Similar sets share `matches` shingles in their prefixes. What they share altogether is
+    at most what their prefixes share and what is left of the set whose prefix ends first.
+    """
+    x = prefix.select(F.col("class").alias("a"), F.col("n").alias("nx"), F.col("shared").alias("sx"))
+    y = prefix.select(F.col("class").alias("b"), F.col("n").alias("ny"), F.col("shared").alias("sy"))
+    least = lambda n: F.ceil(F.col(n) * percent / 100)
+    rest = lambda n: F.greatest(least(n) - matches, F.lit(0))
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").withColumn("found", F.size(F.array_intersect("sx", "sy")))
+    needed = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
+    return both.filter(
+        (F.col("nx") * 100 >= F.col("ny") * percent)
+        & (F.col("ny") * 100 >= F.col("nx") * percent)
+        & (F.col("found") >= F.least(F.lit(matches), least("nx"), least("ny")))
+        & (F.col("found") + F.greatest(rest("nx"), rest("ny")) >= needed)
+    ).select("a", "b")
+
+
+def similar_classes(postings: DataFrame, fetch, cut, percent: int = PERCENT) -> DataFrame:
+    """(node, component) of all classes that link with another one.
+
+    `fetch` returns the sets of given classes; those a round needs for the first time are
+    read from the texts then.
+    """
     spark = postings.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
+    tried = links = spark.createDataFrame([], "a bigint, b bigint")
     labels = spark.createDataFrame([], "node bigint, component bigint")
-    tried = links
+    prefix = cut(prefixes(postings))
+    sets: list[DataFrame] = []
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = cut(plausible(pairs, prefix, percent))
+        needed = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct()
+        for known in sets:
+            needed = needed.join(known.select("class"), "class", "left_anti")
+        needed = cut(needed)
+        if not needed.isEmpty():
+            sets.append(cut(fetch(needed)))
+        whole = reduce(DataFrame.unionAll, sets, spark.createDataFrame([], "class bigint, shingles binary"))
+        return cut(verified(pairs, whole, percent))
+
     while True:
         # every list against one member of its smallest component
         labelled = _labelled(postings.filter(F.col("rank") <= F.col("first")), labels)
         heads = labelled.groupBy("shingle").agg(
             F.min(F.struct("component", "class")).alias("head"), F.max("component").alias("other")
         ).filter(F.col("head.component") < F.col("other"))
-        pairs = (
+        pairs = cut(
             labelled.join(heads, "shingle")
             .filter(F.col("component") != F.col("head.component"))
-            .select(F.col("head.class").alias("a"), F.col("class").alias("b"), "n")
+            .select(F.col("head.class").alias("a"), F.col("class").alias("b"))
             .distinct()
             .join(tried, ["a", "b"], "left_anti")
         )
-        pairs = cut(pairs)
-        found = cut(verified(pairs, sets, percent))
+        found = linked(pairs)
+        tried = cut(tried.unionAll(pairs))
         if found.isEmpty():
             break
-        tried = cut(tried.unionAll(pairs.select("a", "b")))
         links = cut(links.unionAll(found))
         labels = cut(components(links, cut))
-        tried = tried.unionAll(pairs.select("a", "b"))
-    rest = cut(_pairs(_labelled(postings, labels)).join(tried, ["a", "b"], "left_anti"))
-    links = links.unionAll(verified(rest, sets, percent))
-    return components(links, cut)
+    both = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = cut(_pairs(_labelled(postings, labels)).join(both, ["a", "b"], "left_anti"))
+    return components(links.unionAll(linked(rest)), cut)
 
 
 def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -286,11 +327,13 @@ def link_documents(documents: DataFrame, cut, doc="doc_id", text="text", words:
     shared = cut(shared_postings(prefix_postings(documents, frequent, doc, text, words, percent)))
     postings = cut(with_matches(shared, percent))
     classes = rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("_first"))
-    wanted = classes.join(postings.select("class").distinct(), "class").select("_first", F.col("class").alias("wanted"))
     texts = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    of_classes = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_first")))
-    sets = cut(class_sets(of_classes, words))
-    groups = similar_classes(postings, sets, cut, percent)
+
+    def fetch(some: DataFrame) -> DataFrame:
+        wanted = classes.join(some, "class").select("_first", F.col("class").alias("wanted"))
+        return class_sets(texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_first"))), words)
+
+    groups = similar_classes(postings, fetch, cut, percent)
     known = classes.join(groups, F.col("class") == F.col("node"), "left").withColumn("_group", F.coalesce("component", "class"))
     smallest = known.groupBy("_group").agg(F.min("_first").alias("component_id"))
     labels = known.join(smallest, "_group").select("class", "component_id")

@@ -32,7 +32,7 @@ from filescape.llm.tables import slices
 from filescape.llm.words import distinct_in_rows, word_hashes
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_BYTES, QUERY_BYTES = 48 << 20, 96 << 20
+SHARD_BYTES, QUERY_BYTES = 20 << 20, 48 << 20
 BLOCK_DOCS, _BLOCKS_AT_ONCE = 64, 8
 _WORDS_HELD = 4_000_000
 
