@@ -1,7 +1,8 @@
 """Suffix-array dedup: bytes covered by strings that also start in an earlier document.
 
+0. A text that an earlier document has too is covered altogether and stands aside.
 1. Every window of `length` bytes has a key that depends on its bytes alone, and neighbours
-   with one key form a run. Only keys that occur in several documents go on.
+   with one key form a run. Only keys that occur in several texts go on.
 2. The strings of runs with one key meet in one task, equal strings once. Those that may
    share a window with another one are sorted by `suffix.suffix_array`; suffixes that agree
    in `length` bytes lie next to each other there, and the smallest document of each such
@@ -86,10 +87,11 @@ def _order(doc: str) -> Column:
 
 
 def window_keys(documents: DataFrame, doc: str, text: str, length: int, gram: int) -> DataFrame:
-    """(key, salt, known, doc): the keys of all documents.
+    """(key, salt, known, body): the keys of all documents; `body` is a hash of the text, so
+    copies count once.
 
-    A key that several documents of a run of documents have is known to be shared: their
-    rows are spread by salt, and one row tells the other tasks.
+    A key that several texts of a run of documents have is known to be shared: their rows
+    are spread by salt, and one row tells the other tasks.
     """
 
     def flush(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
@@ -111,7 +113,7 @@ def window_keys(documents: DataFrame, doc: str, text: str, length: int, gram: in
             np.concatenate([np.zeros(len(key), bool), np.ones(told.sum(), bool)]),
             np.concatenate([place, place[told]]),
         ]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "salt", "known", "doc"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "salt", "known", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, held = [], [], 0
@@ -119,7 +121,7 @@ def window_keys(documents: DataFrame, doc: str, text: str, length: int, gram: in
             for part in slices(batch, "text"):
                 row, _, _, key, _, _ = runs(part.column("text"), length, gram)
                 keys.append(key)
-                docs.append(part.column("doc").to_numpy()[row])
+                docs.append(part.column("body").to_numpy()[row])
                 held += len(key)
                 if held >= _CHUNK_KEYS:
                     yield flush(keys, docs)
@@ -127,15 +129,15 @@ def window_keys(documents: DataFrame, doc: str, text: str, length: int, gram: in
         if keys:
             yield flush(keys, docs)
 
-    rows = documents.select(_order(doc).alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key bigint, salt bigint, known boolean, doc bigint")
+    rows = documents.select(F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "key bigint, salt bigint, known boolean, body bigint")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, key) where other documents have the key, from rows sorted by key."""
+    """(body, key) where other texts have the key, from rows sorted by key."""
 
     def complete(rows: pa.Table) -> pa.RecordBatch:
-        key, place, known = (rows.column(name).to_numpy() for name in ("key", "doc", "known"))
+        key, place, known = (rows.column(name).to_numpy() for name in ("key", "body", "known"))
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         starts = np.flatnonzero(first)
@@ -146,13 +148,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.minimum.reduceat(place, starts) != np.maximum.reduceat(place, starts)
             )
         kept = np.repeat(several, np.diff(np.append(starts, len(key)))) & ~known
-        return pa.RecordBatch.from_arrays([pa.array(place[kept]), pa.array(key[kept])], ["doc", "key"])
+        return pa.RecordBatch.from_arrays([pa.array(place[kept]), pa.array(key[kept])], ["body", "key"])
 
     rest = None
     for batch in batches:
         salted = batch.column("salt").to_numpy() > 0
         passed = batch.filter(pa.array(salted))
-        yield pa.RecordBatch.from_arrays([passed.column("doc"), passed.column("key")], ["doc", "key"])
+        yield pa.RecordBatch.from_arrays([passed.column("body"), passed.column("key")], ["body", "key"])
         open_ = pa.Table.from_batches([batch.filter(pa.array(~salted))])
         rest = open_ if rest is None else pa.concat_tables([rest, open_]).combine_chunks()
         if rest.num_rows:
@@ -166,11 +168,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_keys(keys: DataFrame) -> DataFrame:
     dealt = keys.repartition("key", "salt").sortWithinPartitions("key")
-    return dealt.mapInArrow(_shared, "doc bigint, key bigint")
+    return dealt.mapInArrow(_shared, "body bigint, key bigint")
 
 
-def occurrences(documents: DataFrame, shared: DataFrame, doc: str, text: str, length: int, gram: int) -> DataFrame:
-    """(doc, body, start, windows, key, content, string): runs whose key is shared.
+def texts_of(documents: DataFrame, doc: str, text: str) -> DataFrame:
+    """(doc, body, sum, bytes) per document; body and sum together stand for the text."""
+    content = F.coalesce(F.col(text), F.lit(""))
+    return documents.select(
+        _order(doc).alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.crc32(content.cast("binary")).alias("sum"), F.octet_length(content).cast("long").alias("bytes")
+    )
+
+
+def occurrences(documents: DataFrame, firsts: DataFrame, shared: DataFrame, doc: str, text: str, length: int, gram: int) -> DataFrame:
+    """(doc, body, start, windows, key, content, string): runs whose key is shared, of the
+    first document of each text, as listed in `firsts` (doc, body).
 
     `body` tells texts of one id apart, `content` is a hash of the run's bytes, and `string`
     holds the bytes where they are the first of their content in a run of documents, with
@@ -206,9 +217,10 @@ def occurrences(documents: DataFrame, shared: DataFrame, doc: str, text: str, le
                 )
 
     texts = documents.select(_order(doc).alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
-    wanted = shared.groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    keys = shared.groupBy("body").agg(F.collect_set("key").alias("keys"))
+    wanted = firsts.select("doc", "body").join(keys, "body")
     schema = "doc bigint, body bigint, start bigint, windows int, key bigint, content bigint, string binary"
-    return texts.join(wanted, "doc").mapInArrow(run, schema)
+    return texts.join(wanted, ["doc", "body"]).mapInArrow(run, schema)
 
 
 def _content(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -372,14 +384,17 @@ def _smallest(data, bounds, some, low, length: int):
 def repeated_spans(documents: DataFrame, cut, doc="doc_id", text="text", length: int = LENGTH, gram: int = GRAM,
                    hot_strings: int = HOT_STRINGS) -> DataFrame:
     """(doc, body, spans): per document the byte ranges of repeated windows, as they come."""
+    bodies = cut(texts_of(documents, doc, text))
+    heads = cut(bodies.groupBy("body", "sum").agg(F.min("doc").alias("head")))
     shared = cut(shared_keys(window_keys(documents, doc, text, length, gram)))
-    found = cut(occurrences(documents, shared, doc, text, length, gram))
+    found = cut(occurrences(documents, heads.select(F.col("head").alias("doc"), "body"), shared, doc, text, length, gram))
     strings = found.filter("string is not null").select("key", "content", F.col("doc").alias("low"), "string")
-    firsts = first_documents(strings, length, gram, hot_strings)
-    earlier = found.drop("string").join(firsts, ["key", "content"]).filter("low < doc")
+    earlier = found.drop("string").join(first_documents(strings, length, gram, hot_strings), ["key", "content"]).filter("low < doc")
     spans = earlier.select("doc", "body", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + (length - 1)).alias("hi")).alias("span"))
-    out = cut(spans.groupBy("doc", "body").agg(F.collect_list("span").alias("spans")))
-    return out
+    # a copy of an earlier text is covered altogether
+    copies = bodies.join(heads, ["body", "sum"]).filter((F.col("head") < F.col("doc")) & (F.col("bytes") >= length))
+    whole = copies.select("doc", "body", F.struct(F.lit(0).cast("long").alias("lo"), F.col("bytes").alias("hi")).alias("span"))
+    return cut(spans.unionAll(whole).groupBy("doc", "body").agg(F.collect_list("span").alias("spans")))
 
 
 def without_repeats(documents: DataFrame, cut, doc="doc_id", text="text", length: int = LENGTH, gram: int = GRAM,
