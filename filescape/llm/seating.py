@@ -34,7 +34,7 @@ from filescape.llm.words import mix, word_hashes
 
 DISCOUNT, STRENGTH = 0.75, 1.0
 BURN_IN, SAMPLES = 2, 2
-CHUNK_BYTES, BUCKET_BYTES, HOT_CONTEXT = 16 << 20, 24 << 20, 2_000_000
+CHUNK_BYTES, BUCKET_BYTES, HOT_CONTEXT = 6 << 20, 12 << 20, 2_000_000
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 
 
