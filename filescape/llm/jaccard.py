@@ -13,9 +13,9 @@ The counts come from all documents. How many shingles are treated as frequent is
 it is one order for all.
 
 Equal sets form a class and are compared once. Before pairs are enumerated, every posting
-list is compared with one of its members and what links is merged, round after round; pairs
-are enumerated only where a list still holds different components, so a group of copies
-costs as many comparisons as it has members.
+list is compared with one of its members and what links is merged, round after round while
+that links many; pairs are enumerated only where a list still holds different components,
+so a group of copies costs few comparisons per member.
 
 A null or empty text, or one without words, has no shingles and links with nothing; with
 fewer words than a shingle the whole sequence is the one shingle. Rows with equal ids and
@@ -42,6 +42,8 @@ PERCENT, WORDS = 75, 5
 MOST_MATCHES = 4
 FREQUENT, FREQUENT_COUNT = 100_000, 16
 _COUNTED = 2_000_000
+#: Members of a posting list that meet at once.
+BLOCK = 256
 #: Cost of verifying a pair, in postings read.
 _VERIFY = 20
 
@@ -227,7 +229,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 def prefixes(postings: DataFrame) -> DataFrame:
     """(class, n, shared): the prefix shingles of each class that other classes have too."""
-    return postings.groupBy("class").agg(F.first("n").alias("n"), F.collect_list("shingle").alias("shared"))
+    return postings.groupBy("class").agg(F.first("n").cast("long").alias("n"), F.collect_list(F.struct("shingle", "rank")).alias("t")).select(
+        "class", "n", F.col("t.shingle").alias("shared"), F.col("t.rank").alias("ranks")
+    )
 
 
 def plausible(pairs: DataFrame, prefix: DataFrame, percent: int = PERCENT, matches: int = MOST_MATCHES) -> DataFrame:
@@ -273,27 +277,30 @@ def similar_classes(postings: DataFrame, fetch, cut, percent: int = PERCENT) ->
         whole = reduce(DataFrame.unionAll, sets, spark.createDataFrame([], "class bigint, shingles binary"))
         return cut(verified(pairs, whole, percent))
 
+    turn = 0
     while True:
-        # every list against one member of its smallest component
+        # every list against one of its members, in each turn another one
         labelled = _labelled(postings.filter(F.col("rank") <= F.col("first")), labels)
+        drawn = F.struct(F.xxhash64("class", F.lit(turn)).alias("draw"), "component", "class")
         heads = labelled.groupBy("shingle").agg(
-            F.min(F.struct("component", "class")).alias("head"), F.max("component").alias("other")
-        ).filter(F.col("head.component") < F.col("other"))
+            F.min(drawn).alias("head"), F.min("component").alias("low"), F.max("component").alias("other")
+        ).filter("low < other")
         pairs = cut(
             labelled.join(heads, "shingle")
             .filter(F.col("component") != F.col("head.component"))
-            .select(F.col("head.class").alias("a"), F.col("class").alias("b"))
+            .select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b"))
             .distinct()
             .join(tried, ["a", "b"], "left_anti")
         )
         found = linked(pairs)
         tried = cut(tried.unionAll(pairs))
-        if found.isEmpty():
-            break
         links = cut(links.unionAll(found))
         labels = cut(components(links, cut))
-    both = tried.unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = cut(_pairs(_labelled(postings, labels)).join(both, ["a", "b"], "left_anti"))
+        turn += 1
+        # what few links are left is left to the pairs
+        if found.count() * 50 <= pairs.count():
+            break
+    rest = cut(_pairs(_labelled(postings, labels), prefix, percent).join(tried, ["a", "b"], "left_anti"))
     return components(links.unionAll(linked(rest)), cut)
 
 
@@ -302,20 +309,76 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn("component", F.coalesce("component", "class")).drop("node")
 
 
-def _pairs(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
+def _pairs(postings: DataFrame, prefix: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Pairs of classes of different components that share as many prefix shingles as the
-    more demanding of the two asks for."""
-    mixed = postings.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    rows = postings.join(mixed.select("shingle"), "shingle")
-    x, y = rows.alias("x"), rows.alias("y")
-    m = F.greatest("x.m", "y.m")
-    similar_size = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
-    joined = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component")) & similar_size)
-    inside = (F.col("x.rank") < F.col("x.first") + m) & (F.col("y.rank") < F.col("y.first") + m)
-    found = joined.filter(inside).groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(
-        F.count("*").alias("shared"), F.max(m).alias("m")
+    more demanding of the two asks for and that their prefixes do not rule out.
+
+    Of a posting list, what is not in its largest component meets the whole list, block by
+    block, and only the pairs that are left become rows. A pair counts in the first list both
+    are in.
+    """
+    counts = postings.groupBy("shingle", "component").count()
+    lists = counts.groupBy("shingle").agg(
+        F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("total"), F.count("*").alias("kinds")
+    ).filter("kinds > 1")
+    blocks = lists.select(
+        "shingle", F.col("top.component").alias("major"),
+        F.ceil((F.col("total") - F.col("top.count")) / block).cast("int").alias("minors"), F.ceil(F.col("top.count") / block).cast("int").alias("majors"),
+    )
+    rows = postings.select("shingle", "class", "component", "m", "first").join(blocks, "shingle").join(prefix, "class")
+    minor = F.col("component") != F.col("major")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.when(minor, F.col("minors")).otherwise(F.col("majors"))).cast("int"))
+    # places are (block of minors, block it meets: majors from 0, minors from -1 down, side)
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of_minor = F.concat(
+        F.transform(each("majors"), lambda j: place(F.col("own"), j, 0)),
+        F.transform(F.filter(each("minors"), lambda j: j >= F.col("own")), lambda j: place(F.col("own"), -1 - j, 0)),
+        F.transform(F.filter(each("minors"), lambda i: i <= F.col("own")), lambda i: place(i, -1 - F.col("own"), 1)),
     )
-    return found.filter("shared >= m").select("a", "b")
+    of_major = F.transform(each("minors"), lambda i: place(i, F.col("own"), 1))
+    dealt = rows.withColumn("at", F.explode(F.when(minor, of_minor).otherwise(of_major)))
+    dealt = dealt.select("shingle", "at.i", "at.j", "at.side", "class", "component", "m", "first", "n", "shared", "ranks")
+    return dealt.groupBy("shingle", "i", "j").applyInArrow(_meet(percent), "a bigint, b bigint")
+
+
+def _meet(percent: int, matches: int = MOST_MATCHES):
+    def run(table: pa.Table) -> pa.Table:
+        here = table.column("shingle")[0].as_py()
+        side = table.column("side").to_numpy()
+        node, group, m, first, n = (table.column(name).to_numpy() for name in ("class", "component", "m", "first", "n"))
+        lists = table.column("shared").combine_chunks()
+        count = lists.value_lengths().to_numpy()
+        token, rank = lists.flatten().to_numpy(), table.column("ranks").combine_chunks().flatten().to_numpy()
+        kinds, place = np.unique(token, return_inverse=True)
+        owner = np.repeat(np.arange(len(node)), count)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not len(left) or not len(right):
+            return empty
+
+        def shared(keep: np.ndarray) -> np.ndarray:
+            member = np.zeros((len(node), len(kinds)), np.float32)
+            member[owner[keep], place[keep]] = 1
+            return member[left] @ member[right].T
+
+        x, y = left[:, None], right[None, :]
+        fits = (group[x] != group[y]) & (n[x] * 100 >= n[y] * percent) & (n[y] * 100 >= n[x] * percent)
+        if table.column("j")[0].as_py() == -1 - table.column("i")[0].as_py():
+            fits &= node[x] < node[y]
+        fits &= shared(token < here) == 0
+        found = shared(np.ones(len(token), bool))
+        least = required(n, percent)
+        rest = np.maximum(least - matches, 0)
+        fits &= found + np.maximum(rest[x], rest[y]) >= -(-(n[x] + n[y]) * percent // (100 + percent))
+        asked = np.maximum(m[x], m[y])
+        for level in np.unique(asked[fits]) if fits.any() else ():
+            enough = shared(rank < first[owner] + level) >= np.minimum(level, np.minimum(least[x], least[y]))
+            fits &= (asked != level) | enough
+        one, other = np.nonzero(fits)
+        return pa.table({"a": node[left[one]], "b": node[right[other]]})
+
+    return run
 
 
 def link_documents(documents: DataFrame, cut, doc="doc_id", text="text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
