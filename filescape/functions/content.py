@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from filescape.functions.labels import GREP_MAX_LINE_BYTES
 from filescape.functions.names import _col
 
 
@@ -24,10 +23,8 @@ def raw_lines(content: Column | str) -> Column:
     return F.when(content == "", none).otherwise(F.split(closed, "\n", -1))
 
 
-def searchable_lines(
-    content: Column | str, max_line_bytes: int | None = GREP_MAX_LINE_BYTES
-) -> Column:
-    """Lines up to the first one that does not fit `max_line_bytes`, its newline included."""
+def searchable_lines(content: Column | str, max_line_bytes: int | None = None) -> Column:
+    """All lines, or with `max_line_bytes` those up to the first one that does not fit, its newline included."""
     lines = raw_lines(content)
     if max_line_bytes is None:
         return lines

@@ -15,7 +15,10 @@ from filescape.functions.labels import (
     TYPE_LABELS,
 )
 
+# Fixed value: the pieces names are split into.
 SEGMENT_RE = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"
+#: Capitals whose lower case is one letter, which full case rules do not give.
+_SINGLE = ("\u0130\u03a3", "i\u03c3")
 
 
 def _col(value: Column | str) -> Column:
@@ -32,13 +35,24 @@ def base_name(path: Column | str) -> Column:
     return F.substring_index(_col(path), "/", -1)
 
 
+def fold(text: Column | str) -> Column:
+    """Lower case, letter by letter: the place of a sigma in a word does not matter, and the
+    dotted capital I gives one letter."""
+    return F.lower(F.translate(_col(text), *_SINGLE))
+
+
+def fold_text(text: str) -> str:
+    """`fold` for a parameter."""
+    return text.translate(str.maketrans(*_SINGLE)).lower()
+
+
 def file_ext(name: Column | str) -> Column:
     """Lower-cased text from the last dot on; "" when there is none or it leads the name."""
     name = _col(name)
     tail = F.substring_index(name, ".", -1)
     dot_at = F.octet_length(name) - F.octet_length(tail)
     found = (dot_at > 1) & ~F.contains(tail, F.lit("/"))
-    return F.when(found, F.concat(F.lit("."), F.lower(tail))).otherwise(F.lit(""))
+    return F.when(found, F.concat(F.lit("."), fold(tail))).otherwise(F.lit(""))
 
 
 def shown_ext(ext: Column | str) -> Column:
@@ -78,7 +92,7 @@ def drive_dedup_key(name: Column | str, size: Column | str, md5: Column | str) -
 
 def name_tokens(text: Column | str) -> Column:
     """Lower-case runs of ASCII letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(fold(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def name_stem(name: Column | str, ext: Column | str, fold_ext_case: bool = False) -> Column:
@@ -88,7 +102,7 @@ def name_stem(name: Column | str, ext: Column | str, fold_ext_case: bool = False
     `fold_ext_case` is set.
     """
     name, ext = _col(name), _col(ext)
-    compared = F.lower(name) if fold_ext_case else name
+    compared = fold(name) if fold_ext_case else name
     cut_name = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
     return F.when(F.endswith(compared, ext), cut_name).otherwise(name)
 
@@ -151,7 +165,7 @@ def tree_key(path: Column | str, root: str) -> Column:
     """Sort key of a depth-first listing with siblings in lower-case name order."""
     parts = F.split(relative_path(path, root), "/", -1)
     return F.transform(
-        parts, lambda part: F.struct(F.lower(part).alias("folded"), part.alias("exact"))
+        parts, lambda part: F.struct(fold(part).alias("folded"), part.alias("exact"))
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from filescape.functions.labels import SIZE_UNITS
 from filescape.functions.names import _col
 
-_RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
+_RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})\z"
 
 
 def human_size(size: Column | str) -> Column:
@@ -19,8 +19,13 @@ def human_size(size: Column | str) -> Column:
     text = F.concat(size.cast("string"), F.lit(" B"))
     for power, prefix in enumerate("KMGTPE", start=1):
         unit = 1024**power
-        scaled = F.bround(size.cast("double") / F.lit(float(unit)), 1)
-        label = F.format_string(f"%.1f {prefix}iB", scaled)
+        # tenths from whole numbers: tens of the quotient, half to even on the rest
+        exact = size.cast("decimal(38,0)") * 10
+        tenths = F.floor(exact / F.lit(unit).cast("decimal(20,0)"))
+        rest = exact - tenths * F.lit(unit).cast("decimal(20,0)")
+        up = (rest * 2 > unit) | ((rest * 2 == unit) & (tenths % 2 == 1))
+        tenths = (tenths + F.when(up, 1).otherwise(0)).cast("bigint")
+        label = F.format_string(f"%d.%d {prefix}iB", F.floor(tenths / 10), tenths % 10)
         text = F.when(size >= unit, label).otherwise(text)
     return text
 

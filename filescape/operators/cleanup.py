@@ -125,7 +125,8 @@ def separate_targets(plan: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 def unique_files(files: DataFrame, key: str = "dedup_key") -> DataFrame:
     """One row per distinct content: the first copy by path, and every file without a key."""
-    first = group_by_key(files, key).select(
+    # the group of files without a key holds no copies of a key
+    first = group_by_key(files, key).where("copies >= 1").select(
         "dedup_key", F.col("first_id").alias("id"), F.col("first_path").alias("path"), "size"
     )
     ident = F.col("id") if "id" in files.columns else F.col("path")

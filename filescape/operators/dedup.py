@@ -19,10 +19,6 @@ def with_content_key(files: DataFrame, content: str = "content") -> DataFrame:
     return files.withColumn("dedup_key", content_hash(content)).drop(content)
 
 
-def _first() -> Column:
-    return F.min(F.struct("path", F.col("_id"), "size"))
-
-
 def group_by_key(files: DataFrame, key: str = "dedup_key", unkeyed: bool = False) -> DataFrame:
     """One row per key: copies, bytes, the first copy by path and the wasted bytes.
 
@@ -30,14 +26,16 @@ def group_by_key(files: DataFrame, key: str = "dedup_key", unkeyed: bool = False
     holding most of the files costs no more than any other. Files without a key, known to
     be unique before they were read, are left out or, with `unkeyed`, summed in one row.
     """
-    counted = files if unkeyed else files.where(F.col(key).isNotNull())
+    # Copies count keys, so files without one never make a group; a filter on the key would
+    # be pushed to the scan and hash the content a second time.
+    copies = F.count("*") if unkeyed else F.count(key)
     # An id that repeats the path would double what is shuffled.
     has_id = "id" in files.columns
     first = ["path", "id", "size"] if has_id else ["path", "size"]
     return (
-        counted.groupBy(F.col(key).alias("dedup_key"))
+        files.groupBy(F.col(key).alias("dedup_key"))
         .agg(
-            F.count("*").alias("copies"),
+            copies.alias("copies"),
             F.sum("size").alias("bytes"),
             F.min(F.struct(*first)).alias("_first"),
         )
@@ -53,6 +51,17 @@ def group_by_key(files: DataFrame, key: str = "dedup_key", unkeyed: bool = False
     )
 
 
+def key_totals(files: DataFrame, key: str = "dedup_key") -> DataFrame:
+    """(dedup_key, files, copies, bytes, wasted): counts and sums only, which hash.
+
+    Copies of one content have one size. Files without a key have no copies.
+    """
+    totals = files.groupBy(F.col(key).alias("dedup_key")).agg(
+        F.count("*").alias("files"), F.count(key).alias("copies"), F.sum("size").alias("bytes"), F.min("size").alias("_size")
+    )
+    return totals.select("dedup_key", "files", "copies", "bytes", ((F.col("copies") - 1) * F.col("_size")).alias("wasted"))
+
+
 def duplicate_groups(files: DataFrame, key: str = "dedup_key") -> DataFrame:
     """Keys with two or more files, by first path, with labels D1, D2, ... in that order."""
     groups = group_by_key(files, key).where("copies >= 2")
@@ -70,7 +79,7 @@ def duplicate_groups(files: DataFrame, key: str = "dedup_key") -> DataFrame:
 
 def wasted_size(files: DataFrame, key: str = "dedup_key") -> DataFrame:
     """One row: number of duplicate groups and bytes all copies but one take."""
-    groups = group_by_key(files, key).where("copies >= 2")
+    groups = key_totals(files, key).where("copies >= 2")
     return groups.agg(
         F.count("*").alias("dup_groups"),
         F.coalesce(F.sum("wasted"), F.lit(0)).alias("wasted_size"),

@@ -7,26 +7,28 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescape.functions.content import is_text, searchable_lines, without_cr
-from filescape.functions.labels import GREP_MAX_FILE_BYTES, GREP_MAX_LINE_BYTES
+from filescape.functions.content import is_text, raw_lines, searchable_lines, without_cr
 from filescape.functions.names import tree_key
 from filescape.functions.regex import check_pattern, line_matches
 from filescape.operators.ranking import sorted_once
 from filescape.operators.scope import ext_filter
 
 
-def _limit(max_bytes: int) -> int:
-    return max_bytes if max_bytes > 0 else GREP_MAX_FILE_BYTES
+def grep_too_large(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files a search leaves out for their size; none without a limit."""
+    return files.where(F.lit(False) if max_bytes is None else F.col("size") > max_bytes)
 
 
-def grep_too_large(files: DataFrame, max_bytes: int = 0) -> DataFrame:
-    """Files a search leaves out for their size."""
-    return files.where(F.col("size") > _limit(max_bytes))
+def grep_candidates(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files a search reads."""
+    return files if max_bytes is None else files.where(F.col("size") <= max_bytes)
 
 
-def grep_candidates(files: DataFrame, max_bytes: int = 0) -> DataFrame:
-    """Files a search reads."""
-    return files.where(F.col("size") <= _limit(max_bytes))
+def grep_cut_off(files: DataFrame, max_line_bytes: int | None, content: str = "content") -> DataFrame:
+    """Files of which a search leaves out lines, from the first that does not fit."""
+    if max_line_bytes is None:
+        return files.where(F.lit(False))
+    return files.where(F.exists(raw_lines(content), lambda line: F.octet_length(line) >= max_line_bytes))
 
 
 def text_only(files: DataFrame, content: str = "content") -> DataFrame:
@@ -37,11 +39,12 @@ def text_only(files: DataFrame, content: str = "content") -> DataFrame:
 def split_lines(
     files: DataFrame,
     content: str = "content",
-    max_line_bytes: int | None = GREP_MAX_LINE_BYTES,
+    max_line_bytes: int | None = None,
 ) -> DataFrame:
     """(path, line, text) for every line, numbered from 1.
 
-    A line that does not fit `max_line_bytes` ends its file; None lifts the limit.
+    With `max_line_bytes`, a line that does not fit ends its file; `grep_cut_off` lists
+    these files.
     """
     lines = F.posexplode(searchable_lines(content, max_line_bytes)).alias("_at", "_raw")
     return files.select("path", lines).select(
@@ -62,13 +65,15 @@ def grep_files(
     ignore_case: bool = False,
     fixed: bool = False,
     exts: str | Iterable[str] = (),
-    max_bytes: int = 0,
+    max_bytes: int | None = None,
     root: str | None = None,
     content: str = "content",
+    max_line_bytes: int | None = None,
 ) -> DataFrame:
     """Matching lines (path, line, text) of a table with a content column.
 
-    Ordered by line in depth-first file order below `root`, or by path without a root.
+    All lines of all files are searched unless a limit is given; `grep_too_large` and
+    `grep_cut_off` tell what a limit leaves out. Ordered by line in depth-first file order below `root`, or by path without a root.
     Only the final order shuffles, and it moves matches, not content.
     """
     if not fixed:
@@ -76,7 +81,7 @@ def grep_files(
     searched = text_only(grep_candidates(ext_filter(files, exts), max_bytes), content)
     if fixed and not ignore_case:
         searched = searched.where(F.contains(F.col(content), F.lit(pattern)))
-    matches = grep_lines(split_lines(searched, content), pattern, ignore_case, fixed)
+    matches = grep_lines(split_lines(searched, content, max_line_bytes), pattern, ignore_case, fixed)
     return in_file_order(matches, root)
 
 

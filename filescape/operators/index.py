@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filescape.functions.names import name_tokens
+from filescape.functions.names import fold, fold_text, name_tokens
 from filescape.operators.ranking import rank_within, sorted_once
 from filescape.operators.skew import HOT_ROWS
 from filescape.session import cut
@@ -17,7 +17,7 @@ POSTINGS_PER_BLOCK = 10_000
 
 def query_terms(query: str) -> list[str]:
     """Distinct tokens of a query, in order."""
-    return list(dict.fromkeys(re.findall("[a-z0-9]+", query.lower())))
+    return list(dict.fromkeys(re.findall("[a-z0-9]+", fold_text(query))))
 
 
 def _identified(files: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def name_search(files: DataFrame, query: str) -> DataFrame:
     terms = query_terms(query)
     if not terms:
         return files.where(F.lit(False))
-    folded = F.lower("name")
+    folded = fold("name")
     for term in terms:
         files = files.where(_has_term(folded, term))
     return sorted_once(files, ["path"], ["path"])

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescape.functions.names import file_ext, in_scope, type_label
+from filescape.functions.names import file_ext, fold, fold_text, in_scope, type_label
 
 
 def with_ext(files: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def name_contains(files: DataFrame, part: str = "") -> DataFrame:
     """Files whose name holds `part`, whatever the case."""
     if not part:
         return files
-    return files.where(F.contains(F.lower("name"), F.lower(F.lit(part))))
+    return files.where(F.contains(fold("name"), F.lit(fold_text(part))))
 
 
 def size_range(files: DataFrame, min_size: int = 0, max_size: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filescape.functions.names import shown_ext
-from filescape.operators.dedup import group_by_key
+from filescape.operators.dedup import key_totals
 from filescape.operators.ranking import sorted_once
 from filescape.operators.scope import with_ext, with_types
 from filescape.operators.skew import HOT_ROWS, attach
@@ -64,10 +64,10 @@ def scan_summary(files: DataFrame, dirs: DataFrame, key: str = "dedup_key") -> D
 
     The totals come from the per-key rows of the duplicate search, so files are read once.
     """
-    groups = group_by_key(files, key, unkeyed=True)
-    repeated = F.col("dedup_key").isNotNull() & (F.col("copies") >= 2)
+    groups = key_totals(files, key)
+    repeated = F.col("copies") >= 2
     from_files = groups.select(
-        F.col("copies").alias("total_files"),
+        F.col("files").alias("total_files"),
         F.lit(0).cast("bigint").alias("total_dirs"),
         F.col("bytes").alias("total_size"),
         repeated.cast("bigint").alias("dup_groups"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filescape.functions.names import (
+    fold,
     base_name,
     depth,
     in_scope,
@@ -114,7 +115,7 @@ def tree_listing(files: DataFrame, dirs: DataFrame, root: str) -> DataFrame:
     rows = file_rows.unionByName(dir_rows)
     last = (
         rows.groupBy(parent_path("path").alias("_parent"))
-        .agg(F.max(F.struct(F.lower("name").alias("folded"), "name", "path")).alias("_last"))
+        .agg(F.max(F.struct(fold("name").alias("folded"), "name", "path")).alias("_last"))
         .select(F.col("_last.path").alias("path"), F.lit(True).alias("_is_last"))
     )
     listed = rows.join(last, "path", "left").select(

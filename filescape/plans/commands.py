@@ -93,13 +93,14 @@ def grep(
     ignore_case: bool = False,
     fixed: bool = False,
     exts: str = "",
-    max_size: str | int = 0,
+    max_size: str | int | None = None,
     include_all: bool = False,
+    max_line_bytes: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Matching lines, and the files left out for their size."""
     files = _live_files(spark, root, include_all)
-    limit = size_in_bytes(max_size)
-    matches = content.grep_catalog(files, pattern, ignore_case, fixed, exts, limit, root)
+    limit = None if max_size is None else size_in_bytes(max_size)
+    matches = content.grep_catalog(files, pattern, ignore_case, fixed, exts, limit, root, max_line_bytes)
     return matches, grep_too_large(scope.ext_filter(files, exts), limit)
 
 

@@ -39,16 +39,18 @@ LABEL = (
     "coalesce(label, case when ext = '' then 'File (no extension)' else substr(ext, 2) || ' file' end)"
 )
 
-# All documents, and those in scope with their keys, extensions and labels.
+# All documents, as they are and with their keys, extensions and labels.
 DOCS = f"""
 docs as materialized (select * from {sql_view(DOC_FILES)} v),
 files as materialized (
   select d.*, {LABEL} as type_label from (
-    select path, name, size, lang, content, {EXT} as ext, sha256(content) as dedup_key from docs
-    where not name like '.%'
-      and len(list_filter(string_split(path, '/')[3:-2], {HIDDEN})) = 0) d
+    select path, name, size, lang, content, {EXT} as ext, sha256(content) as dedup_key from docs) d
   left join {LABELS} on label_ext = d.ext)
 """
+# The same for the documents in scope.
+SHOWN_DOCS = DOCS.replace("from docs)", f"""from docs
+    where not name like '.%'
+      and len(list_filter(string_split(path, '/')[3:-2], {HIDDEN})) = 0)""")
 GROUPS = """
 groups as materialized (
   select dedup_key, copies, first_path, size, (copies - 1) * size as wasted,
@@ -69,6 +71,10 @@ dirs as materialized (
   select path, string_split(path, '/')[-1] as name from all_dirs
   where len(list_filter(string_split(path, '/')[3:], {HIDDEN})) = 0)
 """
+EVERY_DIR = f"""
+{ALL_DIRS},
+dirs as materialized (select path, string_split(path, '/')[-1] as name from all_dirs)
+"""
 # Every directory with the bytes below it.
 SIZED = """
 sized as materialized (
@@ -205,7 +211,7 @@ select p_partkey, concat(case when p_type = 'ECONOMY' then ' ' else '' end, cast
 
 ORACLE: dict[str, str] = {
     # Sources
-    "file_catalog": _with(DOCS, DIRS)
+    "file_catalog": _with(SHOWN_DOCS, DIRS)
     + """
 select substr(path, 8) as path, substr(path, 8, length(path) - length(name) - 8) as parent, name,
   is_dir, false as is_symlink, size
@@ -224,7 +230,7 @@ select ext, count, size, block, string_agg(path, chr(10) order by path) as paths
 from (select {SHOWN} as ext, path, size as fsize, type_label, count(*) over w as count,
         cast(sum(size) over w as bigint) as size,
         cast(floor((row_number() over (partition by ext order by path) - 1) / {r.PER_DOCUMENT}) as bigint) as block
-      from files where size >= 100 window w as (partition by ext))
+      from files window w as (partition by ext))
 group by ext, count, size, block""",
     "search_json": _with(PARTS)
     + f"select path from parts where {_PART_TERMS.format(TOKENS)}",
@@ -245,7 +251,7 @@ from (select token, path, cast(floor((row_number() over (partition by token orde
         / {r.POSTINGS_BLOCK}) as bigint) as block
       from (select distinct path, unnest({TOKENS}) as token from lake))
 group by token, block""",
-    "tree_json": _with(DOCS, DIRS, SIZED)
+    "tree_json": _with(DOCS, EVERY_DIR, SIZED)
     + """
 select path, left(path, length(path) - length(name) - 1) as parent, name, false as is_dir, size, ext,
   type_label, dedup_key from files
@@ -256,7 +262,7 @@ from (select *, string_split(path, '/')[-1] as name from sized)""",
     "write_output": _with(DOCS)
     + f"select {SHOWN} as ext, count(*) as count, cast(sum(size) as bigint) as size from files group by 1",
     # Filters
-    "visible_files": _with(DOCS) + "select path, name, size from files",
+    "visible_files": _with(SHOWN_DOCS) + "select path, name, size from files",
     "drop_symlinks": _with(DOCS) + "select path, size from docs where lang <> 'fr'",
     "ext_filter": _with(DOCS) + "select path, ext from files where ext in ('.txt', '.html')",
     "ext_list_parse": _with(DOCS) + "select path, ext from files where ext in ('.html', '.log')",
@@ -267,7 +273,11 @@ from (select *, string_split(path, '/')[-1] as name from sized)""",
     "find_files": _with(DOCS) + FOUND,
     "grep_too_large": _with(DOCS)
     + f"select path, size from files where size > {r.LARGE_BYTES}",
-    "text_only": _with(DOCS) + "select path from files where lang <> 'fr'",
+    "text_only": _with(DOCS)
+    + """
+select path from (select path, case lang when 'fr' then 'a' || chr(0) || content
+    when 'de' then content || chr(10) || chr(0) else content end as marked from files)
+where not contains(split_part(marked, chr(10), 1), chr(0))""",
     "resolve_folder": _with(MANIFEST)
     + f"""
 select id, name from manifest where name = '{r.FOLDER_NAME}' and not trashed
@@ -333,7 +343,7 @@ select list_aggregate(parts[1:n], 'string_agg', '/') as path, cast(sum(size) as
   count(*) as files
 from (select parts, size, unnest(range(2, len(parts))) as n
       from (select string_split(path, '/') as parts, size from lake)) group by 1""",
-    "scan_summary": _with(DOCS, GROUPS, DIRS)
+    "scan_summary": _with(SHOWN_DOCS, GROUPS, DIRS)
     + """
 select (select count(*) from files) as total_files, (select count(*) from dirs) as total_dirs,
   (select cast(sum(size) as bigint) from files) as total_size,
@@ -382,7 +392,7 @@ select id, cast(sum(size) as bigint) as size, cast(sum(files) as bigint) as file
     + "select path, size from lake order by size desc, path limit 10",
     "sorted_paths": _with(LAKE)
     + "select path, row_number() over (order by path) as position from lake",
-    "tree_listing": _with(DOCS, GROUPS, DIRS, SIZED)
+    "tree_listing": _with(SHOWN_DOCS, GROUPS, DIRS, SIZED)
     + f"""
 select path, cast(len(string_split(path, '/')) - 2 as bigint) as depth,
   row_number() over (partition by list_aggregate(string_split(path, '/')[:-2], 'string_agg', '/')
@@ -414,7 +424,7 @@ where bad is null or line < bad""",
     "grep_files": _with(DOCS, LINES)
     + f"""
 select path, line, {TEXT} as text from lines
-where {MATCH} and path in (select path from files where ext in ('.txt', '.md', '.html', '.log'))""",
+where {MATCH}""",
     # Naming templates
     "pattern_buckets": _with(DOCS)
     + f"""

@@ -37,20 +37,28 @@ def query(function: Query) -> Query:
     return function
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.doc_files(spark, sf_dir)
+
+
 def _visible_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope.visible_files(views.doc_files(spark, sf_dir), DOC_ROOT)
+    return scope.visible_files(_docs(spark, sf_dir), DOC_ROOT)
 
 
 def _typed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope.with_types(_visible_docs(spark, sf_dir))
+    return scope.with_types(_docs(spark, sf_dir))
 
 
 def _keyed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.with_content_key(_visible_docs(spark, sf_dir)).select(
+    return dedup.with_content_key(_docs(spark, sf_dir)).select(
         "path", "name", "size", "dedup_key"
     )
 
 
+def _keyed_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.visible_files(_keyed_docs(spark, sf_dir), DOC_ROOT)
+
+
 def _drive_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest_nodes(views.drive_manifest(spark, sf_dir))
 
@@ -118,7 +126,7 @@ def manifest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def file_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _tree_on_disk(spark, sf_dir)
-    files = catalog.catalog_files(catalog.file_catalog(spark, root))
+    files = catalog.catalog_files(catalog.file_catalog(spark, root, include_all=True))
     read = content.file_content(files)
     return read.select(
         names.relative_path("path", root).alias("path"),
@@ -138,7 +146,7 @@ def _written(spark: SparkSession, label: str, write: Callable[[str], None]) -> s
 
 @query
 def find_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scope.find_files(_visible_docs(spark, sf_dir), min_size=100)
+    found = scope.find_files(_docs(spark, sf_dir))
     documents = writers.find_documents(found, per_document=PER_DOCUMENT)
     path = _written(spark, "find", lambda p: writers.write_output(documents, p))
     back = spark.read.schema(documents.schema).json(path)
@@ -161,7 +169,7 @@ def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doc_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _visible_docs(spark, sf_dir)
+    docs = _docs(spark, sf_dir)
     return grep.grep_files(docs, FIXED_TEXT, fixed=True, root=DOC_ROOT)
 
 
@@ -181,7 +189,7 @@ def grep_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def patterns_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = patterns.name_patterns(_visible_docs(spark, sf_dir), ordered=False)
+    found = patterns.name_patterns(_docs(spark, sf_dir), ordered=False)
     documents = writers.pattern_documents(found, per_document=PER_DOCUMENT)
     path = _written(spark, "patterns", lambda p: writers.write_output(documents, p))
     back = spark.read.schema(documents.schema).json(path)
@@ -209,7 +217,7 @@ def index_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = views.doc_files(spark, sf_dir)
     files = _keyed_docs(spark, sf_dir)
-    dirs = tree.dirs_of(docs, DOC_ROOT)
+    dirs = tree.dirs_of(docs, DOC_ROOT, include_all=True)
     sized = tree.dir_sizes(files, DOC_ROOT, dirs)
     rows = files.withColumn("is_dir", F.lit(False)).unionByName(
         sized.select(
@@ -251,19 +259,19 @@ def drop_symlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ext_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scope.ext_filter(_visible_docs(spark, sf_dir), [".txt", ".html"])
+    found = scope.ext_filter(_docs(spark, sf_dir), [".txt", ".html"])
     return found.select("path", "ext")
 
 
 @query
 def ext_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scope.ext_filter(_visible_docs(spark, sf_dir), " HTML, .log ,,")
+    found = scope.ext_filter(_docs(spark, sf_dir), " HTML, .log ,,")
     return found.select("path", "ext")
 
 
 @query
 def name_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope.name_contains(_visible_docs(spark, sf_dir), "SRC1").select("path", "name")
+    return scope.name_contains(_docs(spark, sf_dir), "SRC1").select("path", "name")
 
 
 @query
@@ -274,7 +282,7 @@ def size_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _visible_docs(spark, sf_dir)
+    docs = _docs(spark, sf_dir)
     return scope.find_files(
         docs, "md,html", "EN_", sizes.size_in_bytes("0.3KB"), sizes.size_in_bytes("20k")
     )
@@ -287,7 +295,7 @@ def find_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grep_too_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.grep_too_large(_visible_docs(spark, sf_dir), LARGE_BYTES).select("path", "size")
+    return grep.grep_too_large(_docs(spark, sf_dir), LARGE_BYTES).select("path", "size")
 
 
 @query
@@ -298,7 +306,7 @@ def text_only(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("lang") == "de", F.concat(F.col("content"), F.lit("\n"), nul))
         .otherwise(F.col("content"))
     )
-    files = _visible_docs(spark, sf_dir).withColumn("content", marked)
+    files = _docs(spark, sf_dir).withColumn("content", marked)
     return grep.text_only(files).select("path")
 
 
@@ -468,12 +476,12 @@ def dir_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirs = tree.dirs_of(views.doc_files(spark, sf_dir), DOC_ROOT)
-    return stats.scan_summary(_keyed_docs(spark, sf_dir), dirs)
+    return stats.scan_summary(_keyed_visible(spark, sf_dir), dirs)
 
 
 @query
 def ext_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.ext_stats(_visible_docs(spark, sf_dir))
+    return stats.ext_stats(_docs(spark, sf_dir))
 
 
 _GROUP_COLUMNS = ["label", "dedup_key", "copies", "first_path", "size", "wasted"]
@@ -497,7 +505,7 @@ def wasted_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def group_by_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.group_by_ext(_visible_docs(spark, sf_dir))
+    return stats.group_by_ext(_docs(spark, sf_dir))
 
 
 @query
@@ -512,7 +520,7 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def grep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _visible_docs(spark, sf_dir)
+    docs = _docs(spark, sf_dir)
     matches = grep.grep_files(docs, GREP_PATTERN, ignore_case=True, max_bytes=LARGE_BYTES)
     return grep.grep_counts(matches, grep.grep_too_large(docs, LARGE_BYTES))
 
@@ -545,7 +553,7 @@ def sorted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     dirs = tree.dirs_of(views.doc_files(spark, sf_dir), DOC_ROOT)
-    tagged = dedup.tag_duplicates(_keyed_docs(spark, sf_dir))
+    tagged = dedup.tag_duplicates(_keyed_visible(spark, sf_dir))
     return tree.tree_listing(tagged, dirs, DOC_ROOT)
 
 
@@ -578,20 +586,18 @@ def grep_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.split_lines(_visible_docs(spark, sf_dir))
+    return grep.split_lines(_docs(spark, sf_dir))
 
 
 @query
 def line_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.split_lines(_visible_docs(spark, sf_dir), max_line_bytes=LINE_CAP)
+    return grep.split_lines(_docs(spark, sf_dir), max_line_bytes=LINE_CAP)
 
 
 @query
 def grep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _visible_docs(spark, sf_dir)
-    return grep.grep_files(
-        docs, GREP_PATTERN, ignore_case=True, exts="txt,md,html,log", root=DOC_ROOT
-    )
+    docs = _docs(spark, sf_dir)
+    return grep.grep_files(docs, GREP_PATTERN, ignore_case=True, root=DOC_ROOT)
 
 
 # Naming templates
@@ -599,7 +605,7 @@ def grep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pattern_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return patterns.pattern_buckets(_visible_docs(spark, sf_dir))
+    return patterns.pattern_buckets(_docs(spark, sf_dir))
 
 
 @query
@@ -610,7 +616,7 @@ def varying_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def split_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = patterns.split_position(_visible_docs(spark, sf_dir))
+    found = patterns.split_position(_docs(spark, sf_dir))
     return found.withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -630,7 +636,7 @@ def name_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def name_patterns_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _visible_docs(spark, sf_dir).select("path", "name")
+    docs = _docs(spark, sf_dir).select("path", "name")
     return _listed_patterns(patterns.name_patterns(docs, min_group=3))
 
 

@@ -53,17 +53,6 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """`df` on all cores where its scan has fewer splits than the cluster has cores.
-
-    A small table in one row group would otherwise be worked on by a single task. Large
-    tables have many splits and stay as they are, so the key may be any column that is
-    not constant.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to a table in the shared folder and continue from the written rows.
 

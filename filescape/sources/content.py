@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filescape.functions.content import without_cr
-from filescape.functions.labels import GREP_MAX_LINE_BYTES
 from filescape.functions.regex import check_pattern
 from filescape.operators.grep import grep_candidates, grep_lines, in_file_order
 from filescape.operators.scope import ext_filter
@@ -105,14 +104,14 @@ def hash_files(
 
 def file_lines(
     files: DataFrame,
-    max_line_bytes: int | None = GREP_MAX_LINE_BYTES,
+    max_line_bytes: int | None = None,
     skip_errors: bool = True,
     tasks: int | None = None,
 ) -> DataFrame:
     """(path, line, text) of text files, streamed line by line.
 
-    A file whose first line holds a NUL yields nothing; a line that does not fit
-    `max_line_bytes`, its newline included, ends its file.
+    A file whose first line holds a NUL yields nothing; with `max_line_bytes`, a line that
+    does not fit, its newline included, ends its file.
     """
     limit = -1 if max_line_bytes is None else max_line_bytes
     batch_bytes = _BATCH_BYTES
@@ -165,8 +164,9 @@ def grep_catalog(
     ignore_case: bool = False,
     fixed: bool = False,
     exts: str | Iterable[str] = (),
-    max_bytes: int = 0,
+    max_bytes: int | None = None,
     root: str | None = None,
+    max_line_bytes: int | None = None,
 ) -> DataFrame:
     """Matching lines (path, line, text) of the files of a catalog.
 
@@ -176,4 +176,4 @@ def grep_catalog(
     if not fixed:
         check_pattern(files.sparkSession, pattern, ignore_case)
     wanted = grep_candidates(ext_filter(files, exts), max_bytes)
-    return in_file_order(grep_lines(file_lines(wanted), pattern, ignore_case, fixed), root)
+    return in_file_order(grep_lines(file_lines(wanted, max_line_bytes), pattern, ignore_case, fixed), root)

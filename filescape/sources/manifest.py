@@ -19,8 +19,6 @@ from filescape.operators.skew import HOT_ROWS, attach
 from filescape.schema import MANIFEST
 from filescape.session import cut
 
-_SHOWN_CANDIDATES = 20
-
 
 def read_manifest(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """A listing stored as parquet, json or csv, without its trashed rows."""
@@ -32,6 +30,11 @@ def manifest_source(listing: DataFrame) -> DataFrame:
     return listing.where(~F.coalesce("trashed", F.lit(False)))
 
 
+def folder_candidates(listing: DataFrame, name: str) -> DataFrame:
+    """All folders of a name that are not in the trash."""
+    return manifest_source(listing).where((F.col("mime_type") == FOLDER_MIME) & (F.col("name") == name))
+
+
 def resolve_folder(
     listing: DataFrame, target: str = "", explicit_id: str | None = None
 ) -> tuple[str, str]:
@@ -41,6 +44,8 @@ def resolve_folder(
     more than one folder fits.
     """
     is_folder = F.col("mime_type") == FOLDER_MIME
+    if explicit_id == DRIVE_ROOT_ID:
+        return DRIVE_ROOT_ID, DRIVE_ROOT_NAME
     if explicit_id:
         hits = listing.where(F.col("id") == explicit_id).select("id", "name", is_folder).take(1)
         if not hits:
@@ -50,17 +55,11 @@ def resolve_folder(
         return hits[0][0], hits[0][1]
     if target.lower() in DRIVE_ROOT_WORDS:
         return DRIVE_ROOT_ID, DRIVE_ROOT_NAME
-    hits = (
-        manifest_source(listing)
-        .where(is_folder & (F.col("name") == target))
-        .select("id")
-        .take(_SHOWN_CANDIDATES)
-    )
+    hits = folder_candidates(listing, target).select("id").take(2)
     if not hits:
         raise ValueError(f"no folder named {target!r}")
     if len(hits) > 1:
-        ids = ", ".join(sorted(hit[0] for hit in hits))
-        raise ValueError(f"several folders named {target!r}, pick one by id: {ids}")
+        raise ValueError(f"several folders named {target!r}, pick one of folder_candidates by its id")
     return hits[0][0], target
 
 

@@ -29,25 +29,31 @@ def by_key(rows):
 
 
 def test_groups_tags_and_waste(spark):
-    files = keyed(spark, [("/a", 10, "h1"), ("/b", 10, "h1"), ("/c", 5, "h2")])
+    files = keyed(spark, [("/q/2", 7, "kk"), ("/q/1", 7, "kk"), ("/p", 4, "ll"), ("/q/3", 7, "kk"), ("/n", 1, None), ("/m", 1, None)])
     groups = dedup.duplicate_groups(files).collect()
-    assert [(g["label"], g["copies"], g["first_path"], g["wasted"]) for g in groups] == [("D1", 2, "/a", 10)]
+    assert [(g["label"], g["copies"], g["first_path"], g["wasted"]) for g in groups] == [("D1", 3, "/q/1", 14)]
     tags = {r["path"]: r["dup_label"] for r in dedup.tag_duplicates(files).collect()}
-    assert tags == {"/a": "D1", "/b": "D1", "/c": ""}
-    assert tuple(dedup.wasted_size(files).collect()[0]) == (1, 10)
+    assert tags == {"/q/1": "D1", "/q/2": "D1", "/q/3": "D1", "/p": "", "/n": "", "/m": ""}
+    assert tuple(dedup.wasted_size(files).collect()[0]) == (1, 14)
     dirs = spark.createDataFrame([("/d",)], "path string")
     assert stats.scan_summary(files, dirs).collect()[0].asDict() == {
-        "total_files": 3,
+        "total_files": 6,
         "total_dirs": 1,
-        "total_size": 25,
+        "total_size": 27,
         "dup_groups": 1,
-        "wasted_size": 10,
+        "wasted_size": 14,
     }
 
 
-def test_waste_uses_the_size_of_the_first_copy(spark):
-    files = keyed(spark, [("/b", 7, "k"), ("/a", 2, "k"), ("/c", 9, "k")])
-    assert dedup.wasted_size(files).collect()[0]["wasted_size"] == 4
+def test_plans_hash_content_once_and_keep_it_out_of_shuffles(spark):
+    files = spark.createDataFrame([("/a", 1, "x"), ("/b", 1, "x")], "path string, size long, content string")
+    keyed_files = dedup.with_content_key(files)
+    dirs = spark.createDataFrame([("/d",)], "path string")
+    frames = [dedup.wasted_size(keyed_files), stats.scan_summary(keyed_files, dirs)]
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("sha2(") == 1 and "SortAggregate" not in plan and "HashAggregate" in plan
+        assert not [line for line in plan.splitlines() if "Exchange" in line and "content" in line]
 
 
 def test_no_files(spark):

@@ -15,10 +15,11 @@ def values(spark, inputs, column, kind="string"):
 
 def test_extension_and_label(spark):
     cases = {
-        "main.go": (".go", "Go source"),
-        "README": ("", "File (no extension)"),
-        ".bashrc": ("", "File (no extension)"),
-        "archive.tar.gz": (".gz", "Gzip archive"),
+        "tide.table.go": (".go", "Go source"),
+        "LOGBOOK": ("", "File (no extension)"),
+        ".harbourrc": ("", "File (no extension)"),
+        "x.svg.gz": (".gz", "Gzip archive"),
+        "\u0130.T\u0130F": (".tif", "tif file"),
         "a.": (".", " file"),
         "A.PDF": (".pdf", "PDF document"),
         "data.xyz": (".xyz", "xyz file"),
@@ -55,8 +56,8 @@ def test_drive_key_tests_the_checksum_not_the_type(spark):
 
 
 def test_tokens(spark):
-    found = values(spark, ["Graphs Ag_on-Bi (v2).pdf", "café1", "__"], names.name_tokens)
-    assert found == [["graphs", "ag", "on", "bi", "v2", "pdf"], ["caf", "1"], []]
+    found = values(spark, ["Tide+table~7b [N].csv", "crêpe9", "--", "\u0130stanbul.txt"], names.name_tokens)
+    assert found == [["tide", "table", "7b", "n", "csv"], ["cr", "pe9"], [], ["istanbul", "txt"]]
 
 
 def test_stem_keeps_an_upper_case_extension(spark):
@@ -162,3 +163,13 @@ def test_modified_time(spark):
 def test_ext_list():
     assert parse_ext_list(" PDF, .docx ,,") == [".pdf", ".docx"]
     assert parse_ext_list(",") == []
+
+
+def test_sizes_round_on_whole_numbers(spark):
+    eib = 1024**6
+    cases = [int(1.15 * eib) - 16, 1280, 1331, 1024 + 51, 1024 + 52, 1024 * 1024 - 1]
+    assert values(spark, cases, sizes.human_size, "long") == ["1.1 EiB", "1.2 KiB", "1.3 KiB", "1.0 KiB", "1.1 KiB", "1024.0 KiB"]
+
+
+def test_times_end_where_they_end(spark):
+    assert values(spark, ["2020-01-01T00:00:00Z\n"], sizes.modified_time) == [None]

@@ -12,18 +12,18 @@ LINE_CASES = {
     "blank.txt": b"\n",
     "blanks.txt": b"\n\nx\n\n",
     "cr.txt": b"a\rb\r\r\n",
-    "nul_later.txt": b"needle\nx\0y needle\n",
-    "nul_first.txt": b"a\0b needle\nneedle\n",
-    "utf8.txt": "é needle\n".encode(),
-    "bad_utf8.txt": b"\xff\xfe needle\n",
-    "long.txt": b"needle 1\n" + b"x" * MIB + b"\nneedle 2\n",
-    "fits.txt": b"needle 1\n" + b"x" * (MIB - 1) + b"\nneedle 2\n",
-    "long_end.txt": b"needle 1\n" + b"x" * MIB,
-    "long_first.txt": b"\0" + b"x" * MIB + b"\nneedle 2\n",
+    "nul_later.txt": b"pearl\nx\0y pearl\n",
+    "nul_first.txt": b"a\0b pearl\npearl\n",
+    "utf8.txt": "é pearl\n".encode(),
+    "bad_utf8.txt": b"\xff\xfe pearl\n",
+    "long.txt": b"pearl 1\n" + b"x" * MIB + b"\npearl 2\n",
+    "fits.txt": b"pearl 1\n" + b"x" * (MIB - 1) + b"\npearl 2\n",
+    "long_end.txt": b"pearl 1\n" + b"x" * MIB,
+    "long_first.txt": b"\0" + b"x" * MIB + b"\npearl 2\n",
 }
 
 
-def expected_lines(data, cap=MIB):
+def expected_lines(data, cap=None):
     """The line rules written out plainly."""
     out = []
     pieces = data.split(b"\n")
@@ -45,65 +45,69 @@ def table_of(spark, cases):
     ).selectExpr("path", "name", "size", "cast(raw as string) as content")
 
 
-def test_lines_of_a_table(spark):
+@pytest.mark.parametrize("cap", [None, MIB])
+def test_lines_of_a_table(spark, cap):
     cases = {n: c for n, c in LINE_CASES.items() if n != "bad_utf8.txt"}
     files = table_of(spark, cases)
     found = {}
-    for row in grep.split_lines(grep.text_only(files)).collect():
+    for row in grep.split_lines(grep.text_only(files), max_line_bytes=cap).collect():
         found.setdefault(row["path"][3:], []).append((row["line"], row["text"].encode()))
     for name, data in cases.items():
-        assert sorted(found.get(name, [])) == expected_lines(data), name
+        assert sorted(found.get(name, [])) == expected_lines(data, cap), name
+    cut_off = {r["path"][3:] for r in grep.grep_cut_off(files, cap).collect()}
+    assert cut_off == ({"long.txt", "long_end.txt", "long_first.txt"} if cap else set())
 
 
-def test_lines_of_live_files(spark, make_tree):
+@pytest.mark.parametrize("cap", [None, MIB])
+def test_lines_of_live_files(spark, make_tree, cap):
     root = make_tree(LINE_CASES)
     files = catalog.catalog_files(catalog.file_catalog(spark, root))
     found = {}
-    for row in content.file_lines(files).collect():
+    for row in content.file_lines(files, cap).collect():
         found.setdefault(row["path"].rsplit("/", 1)[-1], []).append((row["line"], row["text"]))
     for name, data in LINE_CASES.items():
-        plain = [(n, t.decode("utf-8", "replace")) for n, t in expected_lines(data)]
+        plain = [(n, t.decode("utf-8", "replace")) for n, t in expected_lines(data, cap)]
         assert sorted(found.get(name, [])) == plain, name
 
 
-def test_no_cap(spark):
-    data = LINE_CASES["long.txt"]
-    lines = grep.split_lines(table_of(spark, {"long.txt": data}), max_line_bytes=None)
-    assert [r["line"] for r in lines.collect()] == [1, 2, 3]
+def test_match_after_a_long_line(spark, make_tree):
+    data = b"x" * (2 * MIB) + b"\nblack pearl\n"
+    assert [r["line"] for r in grep.grep_files(table_of(spark, {"deep.txt": data}), "p[e]arl").collect()] == [2]
+    files = catalog.catalog_files(catalog.file_catalog(spark, make_tree({"deep.txt": data})))
+    assert [r["line"] for r in content.grep_catalog(files, "p[e]arl").collect()] == [2]
 
 
 def test_match_and_binary(spark, make_tree):
     root = make_tree(
         {
-            "a.go": "package main\n// TODO: fix this\nfunc main() {}\n",
-            "b.go": "package main\nfunc helper() {}\n",
-            "bin.dat": b"TODO abc\x00def\n",
+            "ship/log.md": "calm\nwind NW 7, reef\n\ncalm\n",
+            "ship/crew.md": "cook\nmate\n",
+            "ship/chart.bin": b"wind\x00rose\nwind S 2\n",
         }
     )
     files = catalog.catalog_files(catalog.file_catalog(spark, root))
-    expected = [(f"{root}/a.go", 2, "// TODO: fix this")]
-    assert [tuple(r) for r in content.grep_catalog(files, "TODO", root=root).collect()] == expected
+    expected = [(f"{root}/ship/log.md", 2, "wind NW 7, reef")]
+    assert [tuple(r) for r in content.grep_catalog(files, r"wind \w+ \d", root=root).collect()] == expected
     read = content.file_content(files).selectExpr("path", "cast(content as string) as content")
     table = files.select("path", "name", "size").join(read, "path")
-    assert [tuple(r) for r in grep.grep_files(table, "TODO", root=root).collect()] == expected
+    assert [tuple(r) for r in grep.grep_files(table, r"wind \w+ \d", root=root).collect()] == expected
 
 
 def test_literal_ignore_case(spark):
-    files = table_of(spark, {"a.txt": b"Hello (World)\nhello world\n"})
-    found = grep.grep_files(files, "(world)", ignore_case=True, fixed=True).collect()
+    files = table_of(spark, {"p.txt": b"cost [EUR] 5\ncost eur 5\n"})
+    found = grep.grep_files(files, "[eur]", ignore_case=True, fixed=True).collect()
     assert [r["line"] for r in found] == [1]
-    assert grep.grep_files(files, "(world)", fixed=True).count() == 0
-    assert grep.grep_files(files, "World)\nhello", fixed=True).count() == 0
+    assert grep.grep_files(files, "[eur]", fixed=True).count() == 0
+    assert grep.grep_files(files, "5\ncost", fixed=True).count() == 0
 
 
 def test_size_limit(spark):
-    files = table_of(spark, {"big.txt": b"needle\n", "s": b"n"})
-    assert grep.grep_files(files, "needle", max_bytes=1).count() == 0
-    skipped = grep.grep_too_large(files, 1)
-    assert [r["path"] for r in skipped.collect()] == ["/t/big.txt"]
-    assert grep.grep_too_large(files).count() == 0
-    matches = grep.grep_files(files, "n", max_bytes=6)
-    assert tuple(grep.grep_counts(matches, grep.grep_too_large(files, 6)).collect()[0]) == (1, 1)
+    files = table_of(spark, {"wide.txt": b"oyster, pearl\n", "s": b"o"})
+    assert grep.grep_files(files, "pearl", max_bytes=5).count() == 0
+    assert [r["path"] for r in grep.grep_too_large(files, 5).collect()] == ["/t/wide.txt"]
+    assert grep.grep_too_large(files).count() == 0 and grep.grep_files(files, "pearl").count() == 1
+    matches = grep.grep_files(files, "o", max_bytes=5)
+    assert tuple(grep.grep_counts(matches, grep.grep_too_large(files, 5)).collect()[0]) == (1, 1)
 
 
 def test_order_and_extensions(spark):
@@ -113,12 +117,12 @@ def test_order_and_extensions(spark):
 
 
 def test_unreadable_files_are_passed_over(spark, make_tree):
-    root = make_tree({"a.txt": "needle\n"})
+    root = make_tree({"a.txt": "pearl\n"})
     files = spark.createDataFrame(
-        [(f"{root}/a.txt", "a.txt", 7), (f"{root}/gone.txt", "gone.txt", 7)],
+        [(f"{root}/a.txt", "a.txt", 6), (f"{root}/gone.txt", "gone.txt", 6)],
         "path string, name string, size long",
     )
-    assert content.grep_catalog(files, "needle").count() == 1
+    assert content.grep_catalog(files, "pearl").count() == 1
 
 
 def test_bad_pattern(spark):

@@ -1,6 +1,6 @@
 import random
 
-from filescape.operators import index
+from filescape.operators import index, scope
 
 
 def files_of(spark, *paths):
@@ -10,10 +10,10 @@ def files_of(spark, *paths):
 
 
 PATHS = [
-    "/root/Graphs Ag on Bi.pdf",
-    "/root/Old graphs inference.docx",
-    "/root/notes.txt",
-    "/root/sub/graphs_backup.pdf",
+    "/shop/Invoice-2031 harbour.csv",
+    "/shop/harbour_plan.svg",
+    "/shop/tides/HARBOUR, invoice.csv",
+    "/shop/tides/ferry.log",
 ]
 
 
@@ -26,13 +26,13 @@ def test_search_ad_hoc_and_stored(spark, tmp_path):
     index.save_index(index.name_index(files), str(tmp_path / "index"))
     stored = spark.read.parquet(str(tmp_path / "index"))
     cases = {
-        "graphs": [PATHS[0], PATHS[1], PATHS[3]],
-        "graphs pdf": [PATHS[0], PATHS[3]],
-        "PDF graphs, graphs": [PATHS[0], PATHS[3]],
-        "graph": [],
-        "nonexistent": [],
-        "graphs nonexistent": [],
-        " -- ": [],
+        "harbour": PATHS[:3],
+        "csv": [PATHS[0], PATHS[2]],
+        "Invoice+harbour invoice": [PATHS[0], PATHS[2]],
+        "2031 CSV": [PATHS[0]],
+        "harb": [],
+        "ferry plan": [],
+        "?!": [],
     }
     for query, expected in cases.items():
         assert found(index.name_search(files, query)) == expected
@@ -46,8 +46,8 @@ def test_search_ad_hoc_and_stored(spark, tmp_path):
 def test_index_and_stats(spark):
     files = files_of(spark, *PATHS)
     postings = index.name_index(files)
-    assert sorted(found(postings.where("token = 'graphs'"))) == [PATHS[0], PATHS[1], PATHS[3]]
-    assert tuple(index.index_stats(files).collect()[0]) == (4, 11)
+    assert sorted(found(postings.where("token = 'harbour'"))) == PATHS[:3]
+    assert tuple(index.index_stats(files).collect()[0]) == (4, 8)
     repeated = files_of(spark, "/a/x-x.x")
     assert index.name_index(repeated).count() == 1
 
@@ -66,3 +66,9 @@ def test_blocks_hold_whole_lists_in_order(spark):
     assert lists["hot"] == sorted(p for p in paths if "hot" in p)
     assert lists["n0"] == sorted(p for p in paths if " n0." in p)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_letters_fold_one_by_one(spark):
+    files = files_of(spark, "/x/\u0130stanbul.txt", "/x/\u039f\u0394\u039f\u03a3\u0391.txt")
+    assert found(index.name_search(files, "istanbul")) == ["/x/\u0130stanbul.txt"]
+    assert found(scope.name_contains(files, "\u039f\u0394\u039f\u03a3")) == ["/x/\u039f\u0394\u039f\u03a3\u0391.txt"]

@@ -4,8 +4,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check_oracle import check, connect
+from filescape.plans import oracle, registry
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -18,14 +19,14 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(registry.QUERIES) == set(oracle.ORACLE)
 
 
 def test_entry(spark):
     assert entry(spark).count() == 9
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, connection, name):
     problem, rows, _ = check(spark, connection, SF_DIR, name)
     assert not problem

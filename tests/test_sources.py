@@ -11,11 +11,11 @@ DOC = "application/vnd.google-apps.document"
 SHORTCUT = "application/vnd.google-apps.shortcut"
 
 SMALL = {
-    "a.txt": "hello",
-    "sub/b.txt": "hello",
-    "sub/c.go": "package main",
-    ".git/config": "ignored",
-    "node_modules/pkg/index.js": "ignored",
+    "north.csv": "ebb,1",
+    "tides/south.csv": "ebb,1",
+    "tides/ferry.log": "late again\n",
+    ".git/HEAD": "no",
+    "node_modules/x/y/z.js": "no",
 }
 
 
@@ -32,9 +32,9 @@ def test_unread_files_count_in_the_summary(spark, make_tree):
     nodes = catalog.file_catalog(spark, make_tree(SMALL))
     files = content.hash_files(catalog.catalog_files(nodes))
     summary = stats.scan_summary(files, nodes.where("is_dir")).collect()[0]
-    assert (summary["total_files"], summary["total_size"]) == (3, 22)
+    assert (summary["total_files"], summary["total_size"]) == (3, 21)
     kept = cleanup.unique_files(files).collect()
-    assert sorted(r["path"].rsplit("/", 1)[-1] for r in kept) == ["a.txt", "c.go"]
+    assert sorted(r["path"].rsplit("/", 1)[-1] for r in kept) == ["ferry.log", "north.csv"]
 
 
 def test_include_all(spark, make_tree):
