@@ -42,8 +42,9 @@ PERCENT, WORDS = 75, 5
 MOST_MATCHES = 4
 FREQUENT, FREQUENT_COUNT = 100_000, 16
 _COUNTED = 2_000_000
-#: Members of a posting list that meet at once.
-BLOCK = 256
+#: Members of a posting list that meet at once, and of one component from which it can
+#: dominate a list.
+BLOCK, DOMINANT = 256, 64
 #: Cost of verifying a pair, in postings read.
 _VERIFY = 20
 
@@ -300,7 +301,7 @@ def similar_classes(postings: DataFrame, fetch, cut, percent: int = PERCENT) ->
         # what few links are left is left to the pairs
         if found.count() * 50 <= pairs.count():
             break
-    rest = cut(_pairs(_labelled(postings, labels), prefix, percent).join(tried, ["a", "b"], "left_anti"))
+    rest = cut(_pairs(cut(_labelled(postings, labels)), prefix, cut, percent).join(tried, ["a", "b"], "left_anti"))
     return components(links.unionAll(linked(rest)), cut)
 
 
@@ -309,26 +310,52 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn("component", F.coalesce("component", "class")).drop("node")
 
 
-def _pairs(postings: DataFrame, prefix: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def _mixed_lists(postings: DataFrame) -> DataFrame:
+    """Posting lists with more than one component, and the size of the largest one there."""
+    counts = postings.groupBy("shingle", "component").count()
+    return counts.groupBy("shingle").agg(
+        F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("total"), F.count("*").alias("kinds")
+    ).filter("kinds > 1").select(
+        "shingle", F.col("top.component").alias("major"), F.col("top.count").alias("most"), "total",
+        ((F.col("top.count") >= DOMINANT) & (F.col("top.count") * 2 >= F.col("total"))).alias("dominated"),
+    )
+
+
+def _pairs(postings: DataFrame, prefix: DataFrame, cut, percent: int = PERCENT) -> DataFrame:
     """Pairs of classes of different components that share as many prefix shingles as the
-    more demanding of the two asks for and that their prefixes do not rule out.
+    more demanding of the two asks for.
 
-    Of a posting list, what is not in its largest component meets the whole list, block by
-    block, and only the pairs that are left become rows. A pair counts in the first list both
-    are in.
+    A list that one component dominates is not paired row by row: see `_dominated_pairs`,
+    which finds all pairs that share such a list.
+    """
+    lists = cut(_mixed_lists(postings))
+    dominated = _dominated_pairs(postings, prefix, lists.filter("dominated"), percent)
+    rows = postings.join(lists.filter("not dominated").select("shingle"), "shingle")
+    x, y = rows.alias("x"), rows.alias("y")
+    m = F.greatest("x.m", "y.m")
+    similar_size = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    inside = (F.col("x.rank") < F.col("x.first") + m) & (F.col("y.rank") < F.col("y.first") + m)
+    apart = (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component"))
+    joined = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & similar_size & inside)
+    found = joined.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("shared"), F.max(m).alias("m"))
+    return found.filter("shared >= m").select("a", "b").unionAll(dominated).distinct()
+
+
+def _dominated_pairs(postings: DataFrame, prefix: DataFrame, lists: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Plausible pairs of different components that share a list dominated by one component.
+
+    What is not in the component meets the whole list, block by block, and only plausible
+    pairs become rows. A pair counts in the first such list both are in.
     """
-    counts = postings.groupBy("shingle", "component").count()
-    lists = counts.groupBy("shingle").agg(
-        F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("total"), F.count("*").alias("kinds")
-    ).filter("kinds > 1")
     blocks = lists.select(
-        "shingle", F.col("top.component").alias("major"),
-        F.ceil((F.col("total") - F.col("top.count")) / block).cast("int").alias("minors"), F.ceil(F.col("top.count") / block).cast("int").alias("majors"),
+        "shingle", "major", F.ceil((F.col("total") - F.col("most")) / block).cast("int").alias("minors"), F.ceil(F.col("most") / block).cast("int").alias("majors")
     )
-    rows = postings.select("shingle", "class", "component", "m", "first").join(blocks, "shingle").join(prefix, "class")
+    listed = postings.select("shingle", "class", "component", "m", "first").join(blocks, "shingle")
+    own = listed.groupBy("class").agg(F.collect_list("shingle").alias("dominated"))
+    rows = listed.join(prefix, "class").join(own, "class")
     minor = F.col("component") != F.col("major")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("class"), F.when(minor, F.col("minors")).otherwise(F.col("majors"))).cast("int"))
-    # places are (block of minors, block it meets: majors from 0, minors from -1 down, side)
+    # places: block of minors, the block it meets (majors from 0, minors from -1 down), side
     place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     of_minor = F.concat(
@@ -338,7 +365,7 @@ def _pairs(postings: DataFrame, prefix: DataFrame, percent: int = PERCENT, block
     )
     of_major = F.transform(each("minors"), lambda i: place(i, F.col("own"), 1))
     dealt = rows.withColumn("at", F.explode(F.when(minor, of_minor).otherwise(of_major)))
-    dealt = dealt.select("shingle", "at.i", "at.j", "at.side", "class", "component", "m", "first", "n", "shared", "ranks")
+    dealt = dealt.select("shingle", "at.i", "at.j", "at.side", "class", "component", "m", "first", "n", "shared", "ranks", "dominated")
     return dealt.groupBy("shingle", "i", "j").applyInArrow(_meet(percent), "a bigint, b bigint")
 
 
@@ -366,7 +393,8 @@ def _meet(percent: int, matches: int = MOST_MATCHES):
         fits = (group[x] != group[y]) & (n[x] * 100 >= n[y] * percent) & (n[y] * 100 >= n[x] * percent)
         if table.column("j")[0].as_py() == -1 - table.column("i")[0].as_py():
             fits &= node[x] < node[y]
-        fits &= shared(token < here) == 0
+        before = np.isin(token, table.column("dominated").combine_chunks().flatten().to_numpy()) & (token < here)
+        fits &= shared(before) == 0
         found = shared(np.ones(len(token), bool))
         least = required(n, percent)
         rest = np.maximum(least - matches, 0)
