@@ -81,16 +81,22 @@ def name_search(files: DataFrame, query: str) -> DataFrame:
 
 
 def index_search(index: DataFrame, query: str) -> DataFrame:
-    """`name_search` on stored postings: intersection of the lists of the query tokens."""
+    """`name_search` on stored postings.
+
+    Only the postings of the rarest token are read; the other tokens are tested on their
+    names. One count per query token decides which is the rarest.
+    """
     terms = query_terms(query)
-    hits = index.where(F.col("token").isin(terms)) if terms else index.where(F.lit(False))
-    return (
-        hits.groupBy("id", "path")
-        .agg(F.count("*").alias("_terms"))
-        .where(F.col("_terms") == len(terms))
-        .select("id", "path")
-        .orderBy("path", "id")
-    )
+    counts = index.where(F.col("token").isin(terms)).groupBy("token").count() if terms else None
+    found = {row[0]: row[1] for row in counts.collect()} if terms else {}
+    if not terms or len(found) < len(terms):
+        return index.where(F.lit(False)).select("id", "path")
+    rarest = min(terms, key=lambda term: (found[term], term))
+    hits, folded = index.where(F.col("token") == rarest), fold("name")
+    for term in terms:
+        if term != rarest:
+            hits = hits.where(_has_term(folded, term))
+    return hits.select("id", "path").orderBy("path", "id")
 
 
 def search_many(index: DataFrame, queries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

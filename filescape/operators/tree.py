@@ -16,6 +16,7 @@ from filescape.functions.names import (
 from filescape.functions.sizes import human_size
 from filescape.operators.ranking import global_rank
 from filescape.operators.scope import with_types
+from filescape.session import cut
 
 
 def _slashes(path) -> F.Column:
@@ -112,7 +113,8 @@ def tree_listing(files: DataFrame, dirs: DataFrame, root: str) -> DataFrame:
         F.lit("").alias("type_label"),
         F.lit("").alias("dup_label"),
     )
-    rows = file_rows.unionByName(dir_rows)
+    # read twice, for the last siblings and for the rows themselves
+    rows = cut(file_rows.unionByName(dir_rows))
     last = (
         rows.groupBy(parent_path("path").alias("_parent"))
         .agg(F.max(F.struct(fold("name").alias("folded"), "name", "path")).alias("_last"))

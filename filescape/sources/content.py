@@ -18,14 +18,14 @@ _CHUNK = 1 << 20
 _BATCH_BYTES = 4 << 20
 
 
-def _spread(files: DataFrame, tasks: int | None) -> DataFrame:
-    """Paths spread evenly before their files are opened.
+def _spread(files: DataFrame, tasks: int | None, *columns: str) -> DataFrame:
+    """Paths, with `columns`, spread evenly before their files are opened.
 
     The number of tasks is fixed, because the listing says nothing about the bytes behind
     it: merged by their own small size, the rows would end in a few tasks.
     """
     default = max(files.sparkSession.sparkContext.defaultParallelism * 4, 8)
-    return files.select("path").repartition(tasks or default)
+    return files.select("path", *columns).repartition(tasks or default)
 
 
 def file_content(
@@ -54,15 +54,16 @@ def file_content(
 
 
 def file_hashes(files: DataFrame, tasks: int | None = None) -> DataFrame:
-    """(path, dedup_key): SHA-256 of each file, read in chunks of constant size."""
+    """Add `dedup_key`, the SHA-256 of each file, read in chunks of constant size."""
     chunk = _CHUNK
+    others = [name for name in files.columns if name != "path"]
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in files.select("path", *others).dtypes)
 
     def digest(batches):
         import hashlib
 
         import pyarrow as pa
 
-        schema = pa.schema([("path", pa.string()), ("dedup_key", pa.string())])
         for batch in batches:
             paths = batch.column(0).to_pylist()
             keys = []
@@ -72,10 +73,11 @@ def file_hashes(files: DataFrame, tasks: int | None = None) -> DataFrame:
                     while block := stream.read(chunk):
                         state.update(block)
                 keys.append(state.hexdigest())
-            columns = [pa.array(paths, pa.string()), pa.array(keys, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            columns = [*batch.columns, pa.array(keys, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "dedup_key"])
 
-    return _spread(files, tasks).mapInArrow(digest, "path string, dedup_key string")
+    hashed = _spread(files, tasks, *others).mapInArrow(digest, f"{schema}, dedup_key string")
+    return hashed.select(*files.columns, "dedup_key")
 
 
 def hash_files(
@@ -90,7 +92,7 @@ def hash_files(
     others get a null key. `hash_all` reads every file.
     """
     if hash_all:
-        return files.join(file_hashes(files, tasks), "path").select(*files.columns, "dedup_key")
+        return file_hashes(files, tasks)
     repeated = (
         files.groupBy("size")
         .agg(F.count("*").alias("_n"))
@@ -98,8 +100,9 @@ def hash_files(
         .withColumn("_repeated", F.lit(True))
     )
     marked = cut(attach(files, repeated, "size", "_n", "path", hot_rows=hot_rows))
-    hashes = file_hashes(marked.where("_repeated"), tasks)
-    return marked.join(hashes, "path", "left").select(*files.columns, "dedup_key")
+    read = file_hashes(marked.where("_repeated").select(*files.columns), tasks)
+    unread = marked.where("_repeated is null").select(*files.columns, F.lit(None).cast("string").alias("dedup_key"))
+    return read.unionByName(unread)
 
 
 def file_lines(

@@ -109,6 +109,8 @@ def manifest_nodes(
         if above.isEmpty():
             break
         reached = attach(folders, above, "parent", "_n", "id", "inner", hot_rows)
+        # a folder listed below itself is not entered again
+        reached = reached.where(~F.array_contains("above_ids", F.col("id")))
         frontier = cut(
             reached.select(
                 "id",

@@ -31,3 +31,10 @@ def test_all_folders_of_a_name(spark):
     with pytest.raises(ValueError, match="folder_candidates"):
         manifest.resolve_folder(listing, "Charts")
     assert manifest.resolve_folder(listing, explicit_id="root")[0] == "root"
+
+
+def test_a_listing_that_loops_ends(spark):
+    rows = [("A", "a", "root", FOLDER, 0, None, False), ("B", "b", "A", FOLDER, 0, None, False), ("A", "a", "B", FOLDER, 0, None, False), ("f", "x.txt", "B", "text/plain", 3, "m", False)]
+    listing = spark.createDataFrame(rows, "id string, name string, parent_id string, mime_type string, size long, md5 string, trashed boolean")
+    nodes = manifest.manifest_nodes(listing)
+    assert [r["path"] for r in manifest.manifest_files(nodes).collect()] == ["My Drive/a/b/x.txt"]
