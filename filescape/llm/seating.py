@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filescape.llm.words import mix, word_hashes
+from filescape.session import free
 
 DISCOUNT, STRENGTH = 0.75, 1.0
 BURN_IN, SAMPLES = 2, 2
@@ -291,6 +292,7 @@ def score_documents(documents: DataFrame, held_out, cut, doc="doc_id", text="tex
         F.coalesce(F.sum("count"), F.lit(0)), F.count("*")
     ).first()
     known = cut(words.drop("n").join(counts, "word"))
+    free(words, counts)
     asked = cut(rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_ask(buckets, hot_context, size, vocabulary), _ASKED))
     answered = cut(
         asked.filter("bucket is not null").drop("role", "key", "tables").groupBy("bucket").applyInArrow(_seat_bucket(size, vocabulary), _ANSWERED)
@@ -303,6 +305,7 @@ def score_documents(documents: DataFrame, held_out, cut, doc="doc_id", text="tex
     sums = cut(sums.select(F.col("key").alias("word"), *[F.coalesce(n, F.lit(0)).alias(n) for n in names]))
     flat = (STRENGTH + DISCOUNT * vocabulary) / (vocabulary + 1.0)
     schema = "word bigint, " + ", ".join(f"p{s} bigint" for s in range(SAMPLES))
+    free(asked)
     tables = cut(sums.withColumn("pull", F.lit(flat)).mapInArrow(_parent, schema))
     ps = [f"p{s}" for s in range(SAMPLES)]
     whole = sums.agg(*[F.coalesce(F.sum(f"w{s}"), F.lit(0)) for s in range(SAMPLES)]).first()
