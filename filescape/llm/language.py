@@ -137,7 +137,7 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray)
         ahead[low : low + count] *= back[:count]
         back[:count] = now / now.sum(axis=1, keepdims=True)
     if len(active):
-        ahead[: active[0]] *= back
+        ahead[: active[0]] *= back[: active[0]]
     ahead /= ahead.sum(axis=1, keepdims=True)
     out = np.empty_like(ahead)
     out[place] = ahead

@@ -8,7 +8,7 @@ more of a record than a chunk beside the table value it came from, and any Hadoo
 system will do, because Spark's text source reads and writes the archives.
 
 The text between two records, ``\\r\\n\\r\\nWARC/1.1\\r\\n``, is the line separator for
-reading. It never occurs inside a segment: a payload that holds ``WARC/1.1\\r\\n`` is cut
+reading. It never occurs inside a segment: a payload that holds ``WARC/1.1`` is cut
 after its first two bytes.
 
 A null payload is empty, a null url gives a urn made of the id. Of equal payloads, empty
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 64 << 10
 BREAK = "\r\n\r\nWARC/1.1\r\n"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-_MARK = re.compile(rb"WARC/1\.1\r\n")
+_MARK = re.compile(rb"WARC/1\.1")
 _BATCH = 4 << 20
 
 
