@@ -87,9 +87,12 @@ def _payload(payload: str) -> Column:
 
 
 def write_archive(pages: DataFrame, path: str, cut, page="page_id", url="url", payload="html",
-                  chunk_bytes: int = CHUNK_BYTES, min_revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z",
-                  compression: str = "gzip") -> None:
-    """Write a record per row below `path`, payloads of copies once."""
+                  chunk_bytes: int = CHUNK_BYTES, min_revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Write a record per row below `path`, payloads of copies once.
+
+    Files are compressed as a whole, so that a reader takes each from its beginning: a reader
+    that starts inside a file cannot always tell where a separator begins.
+    """
     special = plan_records(pages, cut, page, payload, min_revisit_bytes)
     rows = pages.select(
         F.col(page).alias("page_id"), F.col(url).cast("string").alias("url"), _payload(payload).alias("html"), F.sha1(_payload(payload)).alias("digest")
@@ -131,7 +134,7 @@ def write_archive(pages: DataFrame, path: str, cut, page="page_id", url="url", p
             yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
 
     out = records.mapInArrow(segments, "value binary").select(F.col("value").cast("string").alias("value"))
-    out.write.option("lineSep", "\r\n").option("compression", compression).text(path)
+    out.write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def _segments(row: dict, body: memoryview, chunk_bytes: int, date: str) -> Iterator[bytes]:

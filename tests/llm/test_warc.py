@@ -41,12 +41,6 @@ def test_chunks_follow_each_other(spark, cut):
     found, path = round_trip(spark, cut, rows, chunk_bytes=16, min_revisit_bytes=1 << 30)
     assert sorted((int(p), n, d) for p, n, d, _, _ in found) == [(i, len(b.encode()), digest(b)) for i, b in enumerate(bodies)]
     assert max(r[0] for r in warc.read_chunks(spark, path).selectExpr("length(chunk)").collect()) <= 16
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
-    try:
-        plain, _ = round_trip(spark, cut, rows, chunk_bytes=16, compression="none")
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert sorted((int(p), n, d) for p, n, d, _, _ in plain) == [(i, len(b.encode()), digest(b)) for i, b in enumerate(bodies)]
 
 
 def test_empty_table(spark, cut):
