@@ -5,7 +5,8 @@ Jaccard similarity of t or more share at least ceil(t * n) shingles of either, s
 order of all shingles, the first n - ceil(t * n) + m of both share at least m. Each
 document picks its own m from the cost of its prefixes, measured by the lengths of the
 shingles' posting lists: a longer prefix reads more postings, but then m shared ones are
-required and fewer pairs are verified. Verification counts shared shingles exactly.
+required, or ceil(t * n) where a short text has to share fewer, and fewer pairs are
+verified. Verification counts shared shingles exactly.
 
 The order puts shingles counted as frequent last, by their count, and the others by hash.
 The counts come from all documents. How many shingles are treated as frequent is bounded by
@@ -323,7 +324,7 @@ def _mixed_lists(postings: DataFrame) -> DataFrame:
 
 def _pairs(postings: DataFrame, prefix: DataFrame, cut, percent: int = PERCENT) -> DataFrame:
     """Pairs of classes of different components that share as many prefix shingles as the
-    more demanding of the two asks for.
+    more demanding of the two asks for, or as the larger has to share at all where that is less.
 
     A list that one component dominates is not paired row by row: see `_dominated_pairs`,
     which finds all pairs that share such a list.
@@ -337,8 +338,11 @@ def _pairs(postings: DataFrame, prefix: DataFrame, cut, percent: int = PERCENT)
     inside = (F.col("x.rank") < F.col("x.first") + m) & (F.col("y.rank") < F.col("y.first") + m)
     apart = (F.col("x.class") < F.col("y.class")) & (F.col("x.component") != F.col("y.component"))
     joined = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & apart & similar_size & inside)
-    found = joined.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(F.count("*").alias("shared"), F.max(m).alias("m"))
-    return found.filter("shared >= m").select("a", "b").unionAll(dominated).distinct()
+    least = F.ceil(F.greatest("x.n", "y.n") * percent / 100)
+    found = joined.groupBy(F.col("x.class").alias("a"), F.col("y.class").alias("b")).agg(
+        F.count("*").alias("shared"), F.max(m).alias("m"), F.max(least).alias("least")
+    )
+    return found.filter(F.col("shared") >= F.least("m", "least")).select("a", "b").unionAll(dominated).distinct()
 
 
 def _dominated_pairs(postings: DataFrame, prefix: DataFrame, lists: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:

@@ -67,6 +67,20 @@ def test_jaccard_large_group(spark, texts, cut):
     assert found == brute.jaccard(rows)
 
 
+def test_jaccard_short_texts_in_shared_lists(spark, texts, cut):
+    """Sets of 3 and 4 shingles link by 3 shared ones; unlinked texts have each of these too."""
+    rng, rows = random.Random(12), {}
+    for family in range(20):
+        base = [f"f{family}w{i}" for i in range(7)]
+        rows[len(rows)] = " ".join(base)
+        rows[len(rows)] = " ".join([*base, "more"] if family % 2 else ["more", *base])
+        for at in range(3):
+            for _ in range(6):
+                rows[len(rows)] = " ".join([*base[at : at + 5], sentence(rng, 6, 10**6)])
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_documents(texts(rows), cut).collect()}
+    assert found == brute.jaccard(rows)
+
+
 def by_doc(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()}
 
