@@ -9,8 +9,8 @@ language of a document is the one with most expected words, its score their shar
 The field is fitted on a bounded sample: `sample` labelled documents of each language,
 taken by a hash of the id, and of each `sample_chars` characters from a place set by the
 hash. Training sequences join pieces of several documents, so that changes of language are
-seen. `languages` bounds the number of labels, most frequent first. Prediction reads whole
-texts and nothing but texts.
+seen; a text too short for a whole piece is one. Every label is learned, unless `languages`
+bounds their number, most frequent first. Prediction reads whole texts and nothing but texts.
 
 A null text, and one without a letter, is `und` with score 0; so is every text when nothing
 was labelled. Words without letters carry no weight. Rows with equal ids are rows of their
@@ -31,7 +31,7 @@ from filescape.llm.tables import slices
 from filescape.llm.words import mix, range_hashes, spans
 
 UNKNOWN = "und"
-SAMPLE, SAMPLE_CHARS, LANGUAGES = 300, 1500, 64
+SAMPLE, SAMPLE_CHARS = 300, 1500
 BUCKETS = 1 << 15
 LEXICON = 4096
 _ROUNDS, _STEPS_WORDS, _PIECE = 6, 48, 12
@@ -144,23 +144,23 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, moves: np.ndarray)
     return out
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 5) -> Field:
-    """A field fitted to whole labelled texts, one language each."""
-    languages = sorted(set(labels))
+def fit(texts: list[str], labels: list[str], seed: int = 5) -> Field | None:
+    """A field fitted to whole labelled texts, one language each; None where no text has a word."""
     data, starts, ends, counts = spans(pa.array(texts, pa.string()))
+    languages = sorted({label for label, count in zip(labels, counts) if count})
+    if not languages:
+        return None
     keys = range_hashes(data, starts, ends)
     seen, often = np.unique(keys, return_counts=True)
     lexicon = np.sort(seen[np.argsort(-often, kind="stable")[:LEXICON]])
     field = Field(languages, lexicon)
     gold = np.repeat(np.searchsorted(languages, labels), counts)
-    # pieces of the texts, joined at random to sequences of equal length
+    # pieces of the texts, the last of each may be shorter, joined at random to sequences
     pieces = [
-        np.arange(low, low + _PIECE)
+        np.arange(low, min(low + _PIECE, start + count))
         for start, count in zip(np.cumsum(counts) - counts, counts)
-        for low in range(start, start + count - _PIECE + 1, _PIECE)
+        for low in range(start, start + count, _PIECE)
     ]
-    if not pieces:
-        return field
     rng = np.random.default_rng(seed)
     distinct, at, place = np.unique(keys, return_index=True, return_inverse=True)
     found, word = features(data, starts[at], ends[at], distinct, lexicon)
@@ -176,7 +176,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 5) -> Field:
         order = rng.permutation(len(blocks))
         line = [piece for block in order for piece in blocks[block]]
         per = _STEPS_WORDS // _PIECE
-        sequences = [np.concatenate(line[i : i + per]) for i in range(0, len(line) - per + 1, per)] or [np.concatenate(line)]
+        sequences = [np.concatenate(line[i : i + per]) for i in range(0, len(line), per)]
         for low in range(0, len(sequences), 64):
             batch = sequences[low : low + 64]
             words = np.concatenate(batch)
@@ -205,7 +205,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 5) -> Field:
             change = np.exp(field.moves - field.moves.max())
             emitted = np.exp(scores[inverse] - scores[inverse].max(axis=1, keepdims=True))
             joint = _joint(emitted, sizes, change)
-            step = (seen_moves - joint) / len(pair)
+            step = (seen_moves - joint) / max(len(pair), 1)
             past_moves += step * step
             field.moves += 0.5 * step / np.sqrt(past_moves)
     return field
@@ -234,11 +234,12 @@ def _joint(emitted: np.ndarray, sizes: np.ndarray, change: np.ndarray) -> np.nda
 
 
 def training_sample(documents: DataFrame, usable: Column, doc="doc_id", text="text", lang="lang", sample: int = SAMPLE,
-                    chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> tuple[list[str], list[str]]:
+                    chars: int = SAMPLE_CHARS, languages: int | None = None) -> tuple[list[str], list[str]]:
     """(texts, labels): a bounded number of labelled rows of every language."""
     rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), usable.alias("usable"))
     rows = rows.filter(F.col("usable") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {row[0]: row[1] for row in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    labels = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    counts = {row[0]: row[1] for row in (labels if languages is None else labels.limit(languages)).collect()}
     if not counts:
         return [], []
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)

@@ -5,7 +5,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from filescape.llm import jaccard, language, mixing, packing, repeats, seating, wand
 from filescape.llm.queries import TOKENIZER
@@ -206,6 +208,30 @@ def test_language(spark, texts):
     assert nothing is None and [r.lang_pred for r in language.identify(texts({1: "a b"}), nothing).collect()] == ["und"]
 
 
+def predicted(field, rows):
+    part = pa.RecordBatch.from_pydict({"doc_id": list(range(len(rows))), "text": rows, "letters": [True] * len(rows)})
+    return language._identified(part, field, False).column("lang_pred").to_pylist()
+
+
+def test_language_learns_short_texts_and_texts_without_blanks():
+    rng = random.Random(6)
+    talk = {"xx": ["kalo", "mira", "tolu", "naki"], "yy": ["schreft", "strunz", "grolt", "pflum"]}
+    short = [(" ".join(rng.choices(talk[lang], k=3)), lang) for lang in ["xx", "yy"] * 40]
+    assert predicted(language.fit(*zip(*short)), ["mira tolu naki", "pflum grolt strunz"]) == ["xx", "yy"]
+    joined = {"aa": "的一是不了人我在有他", "zz": "のにはをたがでてとし"}
+    mixed = [("".join(rng.choices(letters, k=200)), lang) for lang, letters in joined.items() for _ in range(40)]
+    mixed += [(" ".join(rng.choices(talk["xx"], k=60)), "xx") for _ in range(40)] + short[1::2]
+    rows = [*("".join(rng.choices(letters, k=80)) for letters in joined.values()), "mira tolu " * 9, "grolt pflum"]
+    assert predicted(language.fit(*zip(*mixed)), rows) == ["aa", "zz", "xx", "yy"]
+    assert predicted(language.fit(["one"], ["xx"]), ["one two"]) == ["xx"]
+    assert language.fit(["", " "], ["xx", "yy"]) is None
+
+
+def test_language_samples_every_label(spark, texts):
+    docs = texts({i: f"word{i} other" for i in range(70)}, langs={i: f"l{i}" for i in range(70)})
+    assert len(set(language.training_sample(docs, F.lit(True))[1])) == 70
+
+
 def test_forward_backward_against_all_paths():
     rng = np.random.default_rng(0)
     counts = np.array([3, 0, 1, 4])
