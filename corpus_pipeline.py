@@ -19,10 +19,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without a letter go."""
+    """Documents in a language; those without a letter go, and no others where nothing is labelled."""
     field = language.fit_field(docs, language.remainder("doc_id", 5) != 0)
     found = language.identify(docs, field, keep=COLUMNS[1:])
-    return found.filter(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+    known = F.col("text").rlike(r"\p{L}") if field is None else F.col("lang_pred") != language.UNKNOWN
+    return found.filter(known).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from filescape.llm import jaccard, language, mixing, packing, repeats, seating, wand
 from filescape.llm.queries import TOKENIZER
 from filescape.llm.suffix import suffix_array
@@ -208,6 +209,11 @@ def test_language(spark, texts):
     assert nothing is None and [r.lang_pred for r in language.identify(texts({1: "a b"}), nothing).collect()] == ["und"]
 
 
+def test_pipeline_keeps_unlabelled_documents(spark, texts):
+    docs = texts({1: "a b", 2: None, 3: "1 2 -", 4: "é"})
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
+
+
 def predicted(field, rows):
     part = pa.RecordBatch.from_pydict({"doc_id": list(range(len(rows))), "text": rows, "letters": [True] * len(rows)})
     return language._identified(part, field, False).column("lang_pred").to_pylist()
