@@ -27,10 +27,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id; of rows equal in id and text one."""
-    linked = jaccard.link_documents(docs, cut)
-    kept = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"))
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document of each group, the one with the smallest id, null last; of rows equal in id
+    and text one. Ids may repeat: rows are told apart by a hash of id and text."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    linked = jaccard.link_documents(keyed, cut, doc="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"]
+    kept = linked.distinct().join(keyed.select("_key", "doc_id").distinct(), "_key").groupBy("component_id").agg(first.alias("_key"))
+    joined = keyed.join(kept, "_key", "left_semi")
     return joined.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 

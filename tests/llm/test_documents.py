@@ -214,6 +214,14 @@ def test_pipeline_keeps_unlabelled_documents(spark, texts):
     assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()) == [1, 4]
 
 
+def test_pipeline_near_duplicates_with_repeated_and_null_ids(spark, texts):
+    near = ["a b c d e f g h i j", "a b c d e f g h i j k"]
+    other, alone, empty = "q r s t u v w", "l m n o p", ""
+    rows = [(5, near[0]), (5, near[1]), (3, near[0]), (5, other), (5, other), (None, near[1]), (None, alone), (7, empty), (8, empty)]
+    kept = corpus_pipeline.drop_near_duplicates(spark, texts(rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(3, near[0]), (5, other), (None, alone), (7, empty), (8, empty)], key=str)
+
+
 def predicted(field, rows):
     part = pa.RecordBatch.from_pydict({"doc_id": list(range(len(rows))), "text": rows, "letters": [True] * len(rows)})
     return language._identified(part, field, False).column("lang_pred").to_pylist()
