@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescape.llm import chat, jaccard, language, mixing, packing, pivots, repeats, seating, wand, warc
+from filescape.llm import chat, jaccard, language, mixing, packing, pivots, repeats, runs, seating, wand, warc
 from filescape.llm.tables import table
 from filescape.session import cut, shared_path
 
@@ -77,6 +77,12 @@ def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_documents(table(spark, sf_dir, "documents"), cut)
 
 
+def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    planted = runs.plant_periods(documents, language.remainder("doc_id", 1 << 32))
+    return runs.run_facts(runs.find_runs(planted))
+
+
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_word_field": op2_word_field,
@@ -88,6 +94,7 @@ QUERIES = {
     "op8_word_seating": op8_word_seating,
     "op9_block_max": op9_block_max,
     "op10_prefix_join": op10_prefix_join,
+    "op11_lyndon_runs": op11_lyndon_runs,
 }
 
 _B32 = " || ".join(
@@ -95,6 +102,12 @@ _B32 = " || ".join(
 )
 _ESCAPED = "regexp_replace(replace(coalesce({0}, ''), '\\', '\\\\'), '([<\\[])(/?(?:s>|INST\\]))', '\\1\\\\\\2', 'g')"
 
+# CRC-32 of the decimal id, byte by byte through the table of its polynomial
+_CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i))"""
+_CRC = """xor(list_reduce(list_transform(range(1, length(coalesce(doc_id::varchar, '')) + 1), lambda i: ord(substr(doc_id::varchar, i, 1))::bigint),
+    lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), 4294967295), 4294967295)"""
+
 ORACLE = {
     "op1_warc_chunks": f"""
 with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
@@ -137,4 +150,24 @@ select doc_id, size, source_size, target,
   (case when source_size = 0 then 0 else (words // source_size) * size
     + greatest(least(start + size, words % source_size) - start, 0) end)::bigint as taken
 from x""",
+    "op11_lyndon_runs": f"""
+with t as (select {_CRC_TABLE} as steps),
+d as (select row_number() over () as r, doc_id, {_CRC} as h,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents, t),
+a as (select *, len(w) as n, (h // 10) % greatest(len(w), 1) as a, (h // 10) % 8 as m from d),
+x as (select r, doc_id, n, case when h % 10 = 0 then list_transform(range(n),
+    lambda i: w[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + m)) end + 1]) else w end as w from a),
+g as (select r, i, array_to_string(w[i + 1:i + 6], ' ') as gram from (select r, w, unnest(range(n - 5)) as i from x where n >= 6)),
+p as (select y.r, y.i, z.i - y.i as q from g y join g z on y.r = z.r and y.gram = z.gram and y.i < z.i),
+s as (select r, q, i, i - row_number() over (partition by r, q order by i) as island from p),
+e as (select r, q, min(i) as start, count(*) + 5 + q as length from s group by r, q, island),
+u as (select r, start, length, min(q) as period from e where length >= 12 and length >= 2 * q group by r, start, length),
+b as (select r, count(*) as n_runs, min((-length, start, period)) as best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as listed from u group by r),
+o as (select distinct r, unnest(range(start + period, start + length)) as i from u),
+k as (select w.r, string_agg(w.word, ' ' order by w.i) as collapsed
+  from (select r, unnest(range(n)) as i, unnest(w) as word from x) w left join o on w.r = o.r and w.i = o.i where o.r is null group by w.r)
+select x.doc_id, coalesce(n_runs, 0)::bigint as n_runs, best[2]::bigint as start, (-best[1])::bigint as length, best[3]::bigint as period,
+  (-1000 * best[1] // best[3])::bigint as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
+from x left join b on x.r = b.r left join k on x.r = k.r""",
 }

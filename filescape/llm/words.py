@@ -16,12 +16,15 @@ from filescape.llm.tables import bytes_of
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+#: Bytes hashed at once; no range of fewer bytes is split.
+_BLOCK = 1 << 20
 
 
 @cache
-def _codes() -> np.ndarray:
+def _codes(fold: bool = True) -> np.ndarray:
     codes = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64)
-    codes[65:91] = codes[97:123]
+    if fold:
+        codes[65:91] = codes[97:123]
     return codes
 
 
@@ -60,14 +63,38 @@ def spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return data, starts, ends, counts
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of data[start:end] for every pair."""
-    size = 1 << max(12, int(len(data)).bit_length())
-    powers, inverses = _powers(size)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_codes()[data] * powers[: len(data)], out=sums[1:])
-    found = (sums[ends] - sums[starts]) * inverses[starts]
-    return mix(found ^ mix((ends - starts).astype(np.uint64)))
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A hash of data[start:end] for every pair; the ranges are in order and do not overlap.
+
+    Without `fold` A-Z are letters of their own. Ranges are worked on in blocks, so a text of any size needs one small table of powers.
+    """
+    sums = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        begin = int(starts[low])
+        high = int(np.searchsorted(ends, begin + _BLOCK, side="right"))
+        if high <= low:
+            sums[low] = _long_sum(data[begin : int(ends[low])], _codes(fold))
+            low += 1
+            continue
+        block = data[begin : int(ends[high - 1])]
+        powers, inverses = _powers(1 << max(12, int(len(block)).bit_length()))
+        line = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(_codes(fold)[block] * powers[: len(block)], out=line[1:])
+        first = starts[low:high] - begin
+        sums[low:high] = (line[ends[low:high] - begin] - line[first]) * inverses[first]
+        low = high
+    return mix(sums ^ mix((ends - starts).astype(np.uint64)))
+
+
+def _long_sum(data: np.ndarray, codes: np.ndarray) -> np.uint64:
+    """The sum behind the hash of one range longer than a block."""
+    total, powers = 0, _powers(_BLOCK)[0]
+    for low in range(0, len(data), _BLOCK):
+        block = data[low : low + _BLOCK]
+        part = int((codes[block] * powers[: len(block)]).sum(dtype=np.uint64))
+        total += part * pow(_ODD, low, 1 << 64)
+    return np.uint64(total & _MASK)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
