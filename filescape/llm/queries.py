@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescape.llm import chat, jaccard, language, mixing, packing, pivots, repeats, runs, seating, wand, warc
+from filescape.llm import chat, codebooks, jaccard, language, mixing, packing, pivots, repeats, runs, seating, wand, warc
 from filescape.llm.tables import table
 from filescape.session import cut, shared_path
 
@@ -83,6 +83,11 @@ def op11_lyndon_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_facts(runs.find_runs(planted))
 
 
+def op12_hilbert_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.encode_vectors(table(spark, sf_dir, "embeddings"), cut)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codebooks.books_digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_word_field": op2_word_field,
@@ -95,6 +100,7 @@ QUERIES = {
     "op9_block_max": op9_block_max,
     "op10_prefix_join": op10_prefix_join,
     "op11_lyndon_runs": op11_lyndon_runs,
+    "op12_hilbert_blocks": op12_hilbert_blocks,
 }
 
 _B32 = " || ".join(
@@ -108,6 +114,16 @@ _CRC_TABLE = """list_transform(range(256), lambda i: list_reduce(range(8),
 _CRC = """xor(list_reduce(list_transform(range(1, length(coalesce(doc_id::varchar, '')) + 1), lambda i: ord(substr(doc_id::varchar, i, 1))::bigint),
     lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), 4294967295), 4294967295)"""
 
+# one assignment of all parts to the entries of a round, and the four rounds
+_NEAREST = """select p.part, p.r, any_value(p.x) as x, arg_min(e, d * 256 + e) as e, min(d) as d
+  from (select p.part, p.r, p.x, c.e, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+    from p join c{0} c on p.part = c.part) p group by p.part, p.r"""
+_LLOYD = "\n".join(f"""a{i} as materialized ({_NEAREST.format(i)}),
+m{i} as (select part, e, place, floor(sum(x)::double / count(*))::bigint as m
+  from (select part, e, unnest(range(len(x))) as place, unnest(x) as x from a{i}) group by part, e, place),
+n{i} as materialized (select part, e, list(m order by place) as x from m{i} group by part, e),
+c{i + 1} as materialized (select * from n{i} union all select c.* from c{i} c anti join n{i} n on c.part = n.part and c.e = n.e),""" for i in range(4))
+
 ORACLE = {
     "op1_warc_chunks": f"""
 with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
@@ -170,4 +186,15 @@ k as (select w.r, string_agg(w.word, ' ' order by w.i) as collapsed
 select x.doc_id, coalesce(n_runs, 0)::bigint as n_runs, best[2]::bigint as start, (-best[1])::bigint as length, best[3]::bigint as period,
   (-1000 * best[1] // best[3])::bigint as exponent_milli, sha256(coalesce(listed, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
 from x left join b on x.r = b.r left join k on x.r = k.r""",
+    "op12_hilbert_blocks": f"""
+with k as materialized (select vec_id, label, row_number() over (order by vec_id) as r,
+    list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+  from embeddings where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as materialized (select r, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] as x from k, range(4) t(part)),
+c0 as materialized (select part, r - 1 as e, x from p where r <= 256),
+{_LLOYD}
+a4 as materialized ({_NEAREST.format(4)})
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+  (select sha256(string_agg(array_to_string(x, ','), ',' order by part, e)) from c4) as codebooks_sha256
+from k join (select r, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' order by part) as code, sum(d)::bigint as error from a4 group by r) using (r)""",
 }

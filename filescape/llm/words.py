@@ -66,7 +66,8 @@ def spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """A hash of data[start:end] for every pair; the ranges are in order and do not overlap.
 
-    Without `fold` A-Z are letters of their own. Ranges are worked on in blocks, so a text of any size needs one small table of powers.
+    Without `fold` A-Z are letters of their own. Ranges are worked on in blocks, so a text
+    of any size needs one small table of powers.
     """
     sums = np.empty(len(starts), np.uint64)
     low = 0
