@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filescape.llm import chat, codebooks, jaccard, language, mixing, packing, pivots, repeats, runs, seating, wand, warc
+from filescape.llm import chat, codebooks, jaccard, language, mixing, packing, pivots, quality, repeats, runs, seating, wand, warc
 from filescape.llm.tables import table
 from filescape.session import cut, shared_path
 
@@ -88,6 +88,11 @@ def op12_hilbert_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(codebooks.books_digest(books)).alias("codebooks_sha256"))
 
 
+def op13_trusted_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score_quality(documents, labels, language.remainder("doc_id", 5) == 0, cut)
+
+
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_word_field": op2_word_field,
@@ -101,6 +106,7 @@ QUERIES = {
     "op10_prefix_join": op10_prefix_join,
     "op11_lyndon_runs": op11_lyndon_runs,
     "op12_hilbert_blocks": op12_hilbert_blocks,
+    "op13_trusted_positives": op13_trusted_positives,
 }
 
 _B32 = " || ".join(
