@@ -7,13 +7,15 @@ one unknown word. Seatings are sampled by Gibbs sweeps: the customers of a word
 restaurant are seated anew given all other tables there. Predictive probabilities are
 averaged over the samples and scored over whole texts; the end of a text is a token.
 
-Texts are dealt into chunks by id, and a chunk exchanges packed arrays with the tasks that
-hold the restaurants: its pairs of words with their counts go there, counts and tables come
-back. A pair that cannot occur elsewhere, because one of its words does not, sits at known
-tables and is not sent. The restaurant of a very common context is dealt out by the words
-that follow; its number of tables is then scaled up from the part a task sees, and summed
-exactly for the predictions. While children are seated, the parent gives word frequencies;
-its own tables are sampled from theirs.
+Texts are dealt into chunks by a hash of id and text, and a chunk exchanges packed arrays
+with the tasks that hold the restaurants: its pairs of words with their counts go there,
+counts and tables come back. A pair seen at most once in training is not sent where one of
+its words is in no other chunk, held-out texts included: its customer sits alone, and only
+the number of such tables goes to the context's restaurant. Chances come from hashes of pair
+and sweep, so neither the dealing nor the order of rows changes a score. The restaurant of a
+very common context is dealt out by the words that follow; its number of tables is then
+scaled up from the part a task sees, and summed exactly for the predictions. While children
+are seated, the parent gives word frequencies; its own tables are sampled from theirs.
 
 A null text is empty and consists of its end. A null id counts as empty text for the
 held-out rule. Rows with equal ids are scored as rows of their own. With no training text
@@ -51,23 +53,36 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return before, word, counts
 
 
-def seat(customers: np.ndarray, pull: np.ndarray, rng: np.random.Generator, discount: float) -> np.ndarray:
+def chances(keys: np.ndarray, round_: int, step: int) -> np.ndarray:
+    """A number between 0 and 1 for every key, another one for each round and step."""
+    salt = mix(np.array([(round_ << 32) + step], np.uint64))
+    return ((mix(keys ^ salt) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def seat(customers: np.ndarray, pull: np.ndarray, keys: np.ndarray, round_: int, discount: float) -> np.ndarray:
     """Tables of words with so many customers, seated one after the other.
 
     `pull` is the weight of a new table. Beyond 64 customers they are seated in runs that
-    double, each with the chance its middle customer has.
+    double, each with the chance its middle customer has; the new tables of a run follow a
+    normal distribution, or are rounded up or down at random where that is too narrow.
     """
     tables = np.minimum(customers, 1).astype(np.float64)
-    seated = 1
+    seated, step = 1, 0
     active = np.flatnonzero(customers > 1)
     while len(active):
         run = 1 if seated < 64 else seated // 2
         room = np.minimum(customers[active] - seated, run)
         old = np.maximum(seated + (room - 1) / 2 - discount * tables[active], 1e-9)
         chance = pull[active] / (pull[active] + old)
-        new = rng.random(len(active)) < chance if run == 1 else rng.binomial(room, chance)
+        drawn = chances(keys[active], round_, step)
+        if run == 1:
+            new = drawn < chance
+        else:
+            mean, spread = room * chance, np.sqrt(room * chance * (1 - chance))
+            normal = np.sqrt(-2 * np.log(drawn)) * np.cos(2 * np.pi * chances(keys[active], round_, step + 1))
+            new = np.clip(np.where(spread > 2, np.rint(mean + spread * normal), np.floor(mean + drawn)), 0, room)
         tables[active] += new
-        seated += run
+        seated, step = seated + run, step + 2
         active = active[customers[active] > seated]
     return tables
 
@@ -94,8 +109,9 @@ def _word_counts(texts: pa.Table) -> pa.Table:
 
 def _pairs(texts: pa.Table, words: pa.Table):
     """The words of a chunk with their counts in all training texts and the order they were
-    sorted by; its distinct pairs with their counts here and whether there may be more of
-    them elsewhere; the pair of every token, and the tokens per text."""
+    sorted by; its distinct pairs with their counts here, whether they are sent, and whether
+    the word before occurs in this chunk alone; the pair of every token, and the tokens per
+    text."""
     before, word, counts = tokens(texts.column("text").combine_chunks())
     kinds = words.column("word").to_numpy().view(np.uint64)
     order = np.argsort(kinds)
@@ -106,49 +122,46 @@ def _pairs(texts: pa.Table, words: pa.Table):
     trained = np.repeat(~texts.column("held_out").to_numpy(), counts)
     n = np.bincount(place, trained, len(pairs)).astype(np.int64)
     u, w = pairs // len(kinds), pairs % len(kinds)
-    most = np.minimum(total[u], total[w])
-    return kinds, total, order, u, w, n, n < most, place, counts
+    here = words.column("chunks").to_numpy()[order] == 1
+    return kinds, total, order, u, w, n, (n > 1) | ~(here[u] | here[w]), here[u], place, counts
 
 
-def _ask(buckets: int, hot: int, size: int, vocabulary: int):
+def _ask(buckets: int, hot: int):
     def run(key, texts: pa.Table, words: pa.Table) -> pa.Table:
-        names = ["bucket", "chunk", "context", "contexts", "word", "words", "u", "w", "n", "role", "key", "tables"]
+        names = ["bucket", "chunk", "context", "contexts", "alone", "word", "words", "u", "w", "n", "role", "key", "tables"]
         rows: list[tuple] = []
         if texts.num_rows:
-            kinds, total, _, u, w, n, open_, _, _ = _pairs(texts, words)
+            kinds, total, _, u, w, n, sent, here, _, _ = _pairs(texts, words)
             chunk = texts.column("chunk")[0].as_py()
             deal = mix(kinds)[u]
             deal = np.where(total[u] >= hot, mix(deal ^ kinds[w]), deal) % np.uint64(buckets)
-            some = np.flatnonzero(open_)
+            # customers that sit alone, told to restaurants that have others
+            lone = ~sent & (n == 1)
+            busy = np.zeros(len(kinds), bool)
+            busy[u[sent]] = True
+            some = np.flatnonzero(sent | lone & (~here | busy[u]))
             some = some[np.argsort(deal[some], kind="stable")]
             edges = np.flatnonzero(np.diff(deal[some])) + 1
             for part in np.split(some, edges):
                 if len(part):
                     us, ui = _group(u[part])
-                    ws, wi = _group(w[part])
-                    blobs = [kinds[us], total[us], kinds[ws], total[ws], ui.astype(np.uint32), wi.astype(np.uint32), n[part].astype(np.uint32)]
+                    alone = np.bincount(ui[lone[part]], minlength=len(us))
+                    own = sent[part]
+                    ws, wi = _group(w[part[own]])
+                    blobs = [kinds[us], total[us], alone.astype(np.uint32), kinds[ws], total[ws], ui[own].astype(np.uint32), wi.astype(np.uint32), n[part[own]].astype(np.uint32)]
                     rows.append((int(deal[part[0]]), chunk, *(b.tobytes() for b in blobs), None, None, None))
-            # pairs that are nowhere else: their customers sit at known tables
-            shut = np.flatnonzero(~open_ & (n > 0))
-            sat = _known_tables(n[shut], total[w[shut]], size, vocabulary, chunk)
             for role, ends in ((0, u), (1, w)):
-                sums = np.bincount(ends[shut], sat, len(kinds)).astype(np.int64)
+                sums = np.bincount(ends[lone], minlength=len(kinds))
                 own = np.flatnonzero(sums)
-                rows += [(None,) * 9 + (role, k, t) for k, t in zip(kinds[own].view(np.int64).tolist(), sums[own].tolist())]
+                rows += [(None,) * 10 + (role, k, t) for k, t in zip(kinds[own].view(np.int64).tolist(), sums[own].tolist())]
         columns = list(zip(*rows)) if rows else [[]] * len(names)
-        kinds_ = [pa.int32(), pa.int64()] + [pa.binary()] * 7 + [pa.int32(), pa.int64(), pa.int64()]
+        kinds_ = [pa.int32(), pa.int64()] + [pa.binary()] * 8 + [pa.int32(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds_)], names=names)
 
     return run
 
 
-def _known_tables(customers: np.ndarray, often: np.ndarray, size: int, vocabulary: int, chunk: int) -> np.ndarray:
-    """Tables of pairs that are in one chunk only."""
-    pull = (STRENGTH + DISCOUNT) * (often + 1.0) / (size + vocabulary + 1.0)
-    return seat(customers, pull, np.random.default_rng(chunk), DISCOUNT)
-
-
-_ASKED = ("bucket int, chunk bigint, context binary, contexts binary, word binary, words binary, u binary, w binary, n binary, "
+_ASKED = ("bucket int, chunk bigint, context binary, contexts binary, alone binary, word binary, words binary, u binary, w binary, n binary, "
           "role int, key bigint, tables bigint")
 
 
@@ -161,11 +174,12 @@ def _seat_bucket(total_tokens: int, vocabulary: int):
         order = np.argsort(blobs.column("chunk").to_numpy(), kind="stable").tolist()
         for row in order:
             us, ws = read("context", row, np.uint64), read("word", row, np.uint64)
-            contexts.append((us, read("contexts", row, np.int64)))
+            contexts.append((us, read("contexts", row, np.int64), read("alone", row, np.uint32)))
             words.append((ws, read("words", row, np.int64)))
             parts.append((us[read("u", row, np.uint32)], ws[read("w", row, np.uint32)], read("n", row, np.uint32).astype(np.int64)))
-        context, at = np.unique(np.concatenate([c for c, _ in contexts]), return_index=True)
-        customers = np.concatenate([n for _, n in contexts])[at]
+        context, at, own = np.unique(np.concatenate([c for c, _, _ in contexts]), return_index=True, return_inverse=True)
+        customers = np.concatenate([n for _, n, _ in contexts])[at]
+        alone = np.bincount(own, np.concatenate([n for _, _, n in contexts]), len(context))
         word, at = np.unique(np.concatenate([w for w, _ in words]), return_index=True)
         often = np.concatenate([n for _, n in words])[at]
         codes = [np.searchsorted(context, u) * len(word) + np.searchsorted(word, w) for u, w, _ in parts]
@@ -173,15 +187,15 @@ def _seat_bucket(total_tokens: int, vocabulary: int):
         count = np.bincount(place, np.concatenate([n for _, _, n in parts]), len(pairs)).astype(np.int64)
         u, w = pairs // len(word), pairs % len(word)
         base = (often[w] + 1.0) / (total_tokens + vocabulary + 1.0)
-        seen = np.maximum(np.bincount(u, count, len(context)), 1)
+        seen = np.maximum(np.bincount(u, count, len(context)) + alone, 1)
         scale = np.maximum(customers, seen) / seen
-        rng = np.random.default_rng(blobs.column("bucket")[0].as_py())
+        keys = mix(context)[u] ^ word[w]
         tables = np.minimum(count, 1).astype(np.float64)
         kept = []
         for sweep in range(BURN_IN + SAMPLES):
-            own = np.bincount(u, tables, len(context)) * scale
+            own = (np.bincount(u, tables, len(context)) + alone) * scale
             others = np.maximum(own[u] - tables, 0)
-            tables = seat(count, (STRENGTH + DISCOUNT * others) * base, rng, DISCOUNT)
+            tables = seat(count, (STRENGTH + DISCOUNT * others) * base, keys, sweep, DISCOUNT)
             if sweep >= BURN_IN:
                 kept.append(tables.astype(np.uint32))
         chunk, answers = [], []
@@ -221,11 +235,7 @@ def _parent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [batch.column("word")]
         for s in range(SAMPLES):
             customers = batch.column(f"w{s}").to_numpy()
-            tables = np.minimum(customers, 1).astype(np.float64)
-            many = np.flatnonzero(customers > 1)
-            if len(many):
-                rng = np.random.default_rng(int(words[many[0]]) + s)
-                tables[many] = seat(customers[many], pull[many], rng, DISCOUNT)
+            tables = seat(customers, pull, words, BURN_IN + SAMPLES + s, DISCOUNT)
             arrays.append(pa.array(tables.astype(np.int64)))
         yield pa.RecordBatch.from_arrays(arrays, ["word", *(f"p{s}" for s in range(SAMPLES))])
 
@@ -236,16 +246,13 @@ def _score(buckets: int, hot: int, totals: dict):
             empty = texts.select(["doc_id", "held_out"])
             return pa.table([empty.column(0), empty.column(1), *[pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names=_SCORED)
         words = told.filter(told.column("word").is_valid())
-        kinds, total, order, u, w, n, open_, place, counts = _pairs(texts, words)
+        kinds, total, order, u, w, n, sent, _, place, counts = _pairs(texts, words)
         column = lambda name: words.column(name).to_numpy()[order]
         deal = mix(kinds)[u]
         deal = np.where(total[u] >= hot, mix(deal ^ kinds[w]), deal) % np.uint64(buckets)
-        some = np.flatnonzero(open_)
+        some = np.flatnonzero(sent)
         some = some[np.argsort(deal[some], kind="stable")]
-        count, tables = n.copy(), np.zeros((SAMPLES, len(n)))
-        shut = np.flatnonzero(~open_ & (n > 0))
-        chunk = texts.column("chunk")[0].as_py()
-        tables[:, shut] = _known_tables(n[shut], total[w[shut]], totals["tokens"], totals["vocabulary"], chunk)
+        count, tables = n.copy(), np.tile(np.where(sent, 0.0, n), (SAMPLES, 1))
         blobs = told.filter(told.column("answer").is_valid())
         sequence = np.argsort(blobs.column("bucket").to_numpy()).tolist()
         answers = [np.frombuffer(blobs.column("answer")[i].as_buffer(), np.uint32).reshape(1 + SAMPLES, -1) for i in sequence]
@@ -283,17 +290,17 @@ def score_documents(documents: DataFrame, held_out, cut, doc="doc_id", text="tex
     rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     chunks, buckets = max(1, -(-size // chunk_bytes)), max(1, -(-size // bucket_bytes))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
     kind = documents.schema[doc].dataType.simpleString()
     words = cut(rows.groupBy("chunk").applyInArrow(_word_counts, "chunk bigint, word bigint, n bigint"))
     start = int(START.view(np.int64))
-    counts = cut(words.groupBy("word").agg(F.sum("n").alias("count")))
+    counts = cut(words.groupBy("word").agg(F.sum("n").alias("count"), F.count("*").alias("chunks")))
     size, vocabulary = counts.filter((F.col("word") != start) & (F.col("count") > 0)).agg(
         F.coalesce(F.sum("count"), F.lit(0)), F.count("*")
     ).first()
     known = cut(words.drop("n").join(counts, "word"))
     free(words, counts)
-    asked = cut(rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_ask(buckets, hot_context, size, vocabulary), _ASKED))
+    asked = cut(rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_ask(buckets, hot_context), _ASKED))
     answered = cut(
         asked.filter("bucket is not null").drop("role", "key", "tables").groupBy("bucket").applyInArrow(_seat_bucket(size, vocabulary), _ANSWERED)
     )
@@ -312,7 +319,7 @@ def score_documents(documents: DataFrame, held_out, cut, doc="doc_id", text="tex
     seats = tables.agg(*[F.coalesce(F.sum(p), F.lit(0)) for p in ps]).first()
     totals = {"tokens": size, "vocabulary": vocabulary} | {f"w{s}": whole[s] for s in range(SAMPLES)} | {f"p{s}": seats[s] for s in range(SAMPLES)}
     facts = known.join(sums.join(tables, "word"), "word", "left").select(
-        "chunk", "word", "count", *[F.coalesce(n, F.lit(0)).alias(n) for n in names + ps]
+        "chunk", "word", "count", "chunks", *[F.coalesce(n, F.lit(0)).alias(n) for n in names + ps]
     )
     told = facts.withColumn("bucket", F.lit(None).cast("int")).withColumn("answer", F.lit(None).cast("binary")).unionByName(
         answered.filter("answer is not null").select("chunk", "bucket", "answer"), allowMissingColumns=True

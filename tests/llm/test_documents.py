@@ -1,6 +1,9 @@
 """Operators on documents: nulls, empty and long texts, ties, repeated rows, empty tables."""
 
+import collections
+import functools
 import hashlib
+import math
 import random
 import zlib
 
@@ -13,6 +16,7 @@ import corpus_pipeline
 from filescape.llm import jaccard, language, mixing, packing, repeats, seating, wand
 from filescape.llm.queries import TOKENIZER
 from filescape.llm.suffix import suffix_array
+from filescape.llm.words import mix, word_hashes
 from tests.llm import brute
 
 
@@ -282,24 +286,96 @@ def test_seating(spark, texts, cut, copies):
     assert len(odd) == 3
 
 
+def plain_scores(texts, held):
+    """The model with dictionaries, one pair after the other; chances are the operator's."""
+    d, strength = seating.DISCOUNT, seating.STRENGTH
+
+    @functools.cache
+    def key(word):
+        return int({None: seating.END, "": seating.START}[word] if not word else word_hashes(pa.array([word]))[0][0])
+
+    tokens = {doc: ["", *brute.words(text), None] for doc, text in texts.items()}
+    pairs, total = collections.Counter(), collections.Counter()
+    for doc, own in tokens.items():
+        if doc not in held:
+            pairs.update(zip(own, own[1:]))
+            total.update(own)
+    size = sum(total.values()) - total[""]
+    words = [w for w in total if w != ""]
+
+    def seated(n, pull, code, sweep):
+        return seating.seat(np.array([n]), np.array([pull]), np.array([code], np.uint64), sweep, d)[0]
+
+    tables, samples = {pair: 1.0 for pair in pairs}, []
+    for sweep in range(seating.BURN_IN + seating.SAMPLES):
+        of = collections.Counter()
+        for (u, w), t in tables.items():
+            of[u] += t
+        tables = {
+            (u, w): seated(n, (strength + d * (of[u] - tables[u, w])) * (total[w] + 1) / (size + len(words) + 1),
+                           int(mix(np.array([key(u)], np.uint64))[0]) ^ key(w), sweep)
+            for (u, w), n in pairs.items()
+        }
+        samples.append(tables)
+    flat = (strength + d * len(words)) / (len(words) + 1)
+    averaged = []
+    for s, tables in enumerate(samples[seating.BURN_IN :]):
+        guests = {x: sum(t for (_, b), t in tables.items() if b == x) for x in words}
+        averaged.append((tables, guests, {x: seated(int(n), flat, key(x), seating.BURN_IN + seating.SAMPLES + s) for x, n in guests.items()}))
+
+    def chance(u, w):
+        found = 0
+        for tables, guests, upper in averaged:
+            parent = (guests.get(w, 0) - d * upper.get(w, 0) + (strength + d * sum(upper.values())) / (len(words) + 1)) / (strength + sum(guests.values()))
+            own = sum(t for (a, _), t in tables.items() if a == u)
+            found += (max(pairs[u, w] - d * tables.get((u, w), 0), 0) + (strength + d * own) * parent) / (strength + total[u])
+        return found / seating.SAMPLES
+
+    known = {pair: chance(*pair) for own in tokens.values() for pair in zip(own, own[1:])}
+    return {doc: sum(math.log10(known[pair]) for pair in zip(own, own[1:])) for doc, own in tokens.items()}, chance, words
+
+
+def seated_texts():
+    rng = np.random.default_rng(12)
+    rows = {i: " ".join(f"w{min(int(k), 40)}" for k in rng.zipf(1.4, rng.integers(0, 40))) for i in range(60)}
+    # a pair of six in one training text, and held-out copies that are dealt elsewhere
+    rows[60] = "zeta omega " * 6
+    rows |= {i: "zeta omega" for i in range(61, 70)} | {70: None, 71: "never seen words"}
+    return rows, {i for i in rows if i % 5 == 0 and i < 60} | set(range(61, 72))
+
+
+@pytest.mark.parametrize("chunk_bytes", [60, 900, 6 << 20])
+def test_scores_of_plain_seating(spark, texts, cut, chunk_bytes):
+    rows, held = seated_texts()
+    docs = texts(rows)
+    found = seating.score_documents(docs, docs.doc_id.isin(sorted(held)), cut, chunk_bytes=chunk_bytes, bucket_bytes=5 * chunk_bytes).collect()
+    expected, _, _ = plain_scores(rows, held)
+    assert {r.doc_id for r in found} == set(rows) and {r.doc_id for r in found if r.held_out} == held
+    assert {r.doc_id: r.score for r in found} == pytest.approx(expected, abs=1e-9)
+
+
 def test_predictions_sum_to_one(spark, texts, cut):
-    """After one context, the probabilities of all words and of an unknown one add up to one."""
+    """After each context, the probabilities of all words and of an unknown one add up to one."""
     rows = {i: "a b a c b a d" for i in range(12)}
-    probes = {100: "", 101: "a", 102: "b", 103: "c", 104: "d", 105: "zzz"}
-    twice = {doc + 100: f"{text} {text}" for doc, text in probes.items() if text}
-    docs = texts(rows | probes | twice)
-    score = {r.doc_id: r.score for r in seating.score_documents(docs, docs.doc_id >= 100, cut).collect()}
-    # "w" is (w after the start)(end after w); the empty text is (end after the start). For the
-    # unknown word the end comes as after no context at all
-    first = 10 ** score[100]
-    assert 0 < first < 1 and all(score[doc + 100] < score[doc] for doc in range(101, 106))
+    _, chance, words = plain_scores(rows, set())
+    for context in ("", "a", "b", "c", "d", "zzz"):
+        assert sum(chance(context, word) for word in [*words, "unknown"]) == pytest.approx(1)
 
 
 def test_seats():
+    """Tables follow the seating of one customer after the other, in runs as well."""
+    customers, keys = np.array([1, 2, 5, 20, 200, 5000]), np.arange(6, dtype=np.uint64)
+    tables = np.mean([seating.seat(customers, np.full(6, 1.0), keys, round_, 0.5) for round_ in range(400)], axis=0)
     rng = np.random.default_rng(1)
-    customers = np.array([0, 1, 2, 50, 1000, 10**9])
-    tables = np.mean([seating.seat(customers, np.full(6, 1.0), rng, 0.5) for _ in range(200)], axis=0)
-    assert tables[0] == 0 and tables[1] == 1 and (np.diff(tables) > 0).all() and (tables <= customers).all()
+
+    def one(n):
+        tables = 1
+        for seated in range(1, n):
+            tables += rng.random() < 1 / (1 + seated - 0.5 * tables)
+        return tables
+
+    expected = [np.mean([one(n) for _ in range(400 if n < 1000 else 60)]) for n in customers]
+    assert tables[0] == 1 and tables == pytest.approx(np.array(expected), rel=0.08)
 
 
 def test_search(spark, texts, cut, copies):
