@@ -35,6 +35,8 @@ SAMPLE, SAMPLE_CHARS = 300, 1500
 BUCKETS = 1 << 15
 LEXICON = 4096
 _ROUNDS, _STEPS_WORDS, _PIECE = 6, 48, 12
+#: Text bytes whose words advance together in forward-backward.
+_TOGETHER = 4 << 20
 _GRAMS, _PREFIXES, _SUFFIXES = (2, 3), (2, 3, 4), (1, 2, 3, 4)
 
 
@@ -264,7 +266,8 @@ def identify(documents: DataFrame, field: Field | None, doc="doc_id", text="text
     language as an array of (lang, first word, number of words), and the columns `keep`."""
     kind = documents.schema[doc].dataType.simpleString()
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), has_letter.alias("letters"), *[F.col(name).alias(f"_{name}") for name in keep])
+    others = [name for name in keep if name != text]
+    rows = documents.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), has_letter.alias("letters"), *[F.col(name).alias(f"_{name}") for name in others])
     schema = f"doc_id {kind}, lang_pred string, score double"
     if with_spans:
         schema += ", spans array<struct<lang:string,first:bigint,words:bigint>>"
@@ -274,9 +277,9 @@ def identify(documents: DataFrame, field: Field | None, doc="doc_id", text="text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text", _TOGETHER):
                 found = _identified(part, known, with_spans)
-                passed = [part.column(f"_{name}") for name in keep]
+                passed = [part.column("text" if name == text else f"_{name}") for name in keep]
                 yield pa.RecordBatch.from_arrays([*found.columns, *passed], [*found.schema.names, *keep])
 
     return rows.mapInArrow(run, schema)

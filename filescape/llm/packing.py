@@ -205,6 +205,7 @@ def tokenized(documents: DataFrame, tokenizer: str, doc="doc_id", text="text", d
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(keys), pa.array(counts), raw], ["doc_id", "curve", "tokens", "ids"]
                 )
+        encoder.forget()  # the process may go on with another stage
 
     rows = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, curve bigint, tokens bigint, ids binary")
