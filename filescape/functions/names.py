@@ -37,8 +37,10 @@ def base_name(path: Column | str) -> Column:
 
 def fold(text: Column | str) -> Column:
     """Lower case, letter by letter: the place of a sigma in a word does not matter, and the
-    dotted capital I gives one letter."""
-    return F.lower(F.translate(_col(text), *_SINGLE))
+    dotted capital I gives one letter. ASCII text has neither and is only lowered."""
+    text = _col(text)
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.lower(F.when(ascii_only, text).otherwise(F.translate(text, *_SINGLE)))
 
 
 def fold_text(text: str) -> str:

@@ -3,9 +3,10 @@
 Names are grouped by extension and shape, then a group is split on the leftmost varying
 segment whose every value covers enough files, and so on inside the parts. All groups of
 a round are split together: one round is a fixed number of aggregations and one join over
-the files still undecided, however many groups there are and however large one of them is.
-A split fixes one more segment, so there are at most as many rounds as a name has letter
-and digit runs.
+the names still undecided, however many groups there are and however large one of them is.
+Files with one name count as one name with their number. A split fixes one more segment, so
+there are at most as many rounds as a name has letter and digit runs, and segments that are
+constant in a group are not looked at again in its parts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from filescape.functions.names import name_stem, segment_kind, segment_values, shape_key
 from filescape.operators.scope import with_ext
 from filescape.operators.skew import HOT_ROWS, attach
-from filescape.session import cut
+from filescape.session import cut, free
 
 DEFAULT_MIN_GROUP = 2
 
@@ -83,56 +84,126 @@ def split_position(files: DataFrame, min_group: int = DEFAULT_MIN_GROUP) -> Data
     return clean.groupBy("ext", "shape").agg(F.min("pos").alias("pos"))
 
 
+def _named(files: DataFrame, fold_ext_case: bool) -> DataFrame:
+    """(path, ext, stem) of every file, written once. The narrow rows are spread before names
+    are taken apart, whatever few splits the listing came in."""
+    columns = [c for c in ("path", "name", "ext") if c in files.columns]
+    spread = with_ext(files.select(*columns).repartition("path"))
+    return cut(spread.select("path", "ext", name_stem("name", "ext", fold_ext_case).alias("stem")))
+
+
+def _classes(named: DataFrame) -> DataFrame:
+    """One row per different name: ext, stem, n (files), parent and part (its group), and in
+    `rest` the letter and digit segments that may still vary in the group."""
+    segments = F.transform(
+        segment_values("stem"), lambda value, at: F.struct(at.alias("pos"), value.alias("value"))
+    )
+    return (
+        named.groupBy("ext", "stem")
+        .agg(F.count("*").alias("n"))
+        .select(
+            "ext",
+            "stem",
+            "n",
+            F.concat("ext", F.lit("|"), shape_key("stem")).alias("parent"),
+            F.lit("").alias("part"),
+            F.filter(segments, lambda s: segment_kind(s["value"]) != "S").alias("rest"),
+        )
+    )
+
+
 def _decisions(active: DataFrame, least: int) -> DataFrame:
     """Per group: files, varying positions and the position to split at, if any.
 
-    Groups too small or without a varying position are left out.
+    Groups too small or without a varying position are left out. Names are counted with
+    the number of files they stand for.
     """
     varies = F.col("n_values") >= 2
     clean = varies & (F.col("rarest") >= least)
+    group = ["parent", "part"]
+    per_value = (
+        active.select(*group, "n", F.inline("rest"))
+        .groupBy(*group, "pos", "value")
+        .agg(F.sum("n").alias("files"), F.count("*").alias("names"))
+    )
+    per_position = per_value.groupBy(*group, "pos").agg(
+        F.count("*").alias("n_values"),
+        F.min("files").alias("rarest"),
+        F.sum("files").alias("files"),
+        F.sum("names").alias("_n"),
+    )
     return (
-        _position_stats(active, ["group_key"])
-        .groupBy("group_key")
+        per_position.groupBy(*group)
         .agg(
             F.max("files").alias("files"),
+            F.max("_n").alias("_n"),
             F.min(F.when(clean, F.col("pos"))).alias("split"),
             F.sort_array(F.collect_list(F.when(varies, F.col("pos")))).alias("varying"),
         )
         .where((F.col("files") >= least) & (F.size("varying") > 0))
-        .select("*", F.col("files").alias("_n"))
     )
 
 
-def refined_files(
-    files: DataFrame,
-    min_group: int = DEFAULT_MIN_GROUP,
-    hot_rows: int = HOT_ROWS,
-    fold_ext_case: bool = False,
+def _named_groups(decisions: DataFrame, above: DataFrame | None, round_: int) -> DataFrame:
+    """Adds an id, unique over all rounds, and `group_key`, the shape and the splits that led here."""
+    numbered = decisions.withColumn(
+        "id", F.concat(F.lit(f"{round_}:"), F.monotonically_increasing_id().cast("string"))
+    )
+    if above is None:
+        return numbered.withColumn("group_key", F.col("parent"))
+    parents = above.select(
+        F.col("id").alias("parent"), F.col("group_key").alias("_above"), F.col("split").alias("_at")
+    )
+    step = F.concat("_above", F.lit("|"), F.col("_at").cast("string"), F.lit("="), "part")
+    return numbered.join(parents, "parent").withColumn("group_key", step).drop("_above", "_at")
+
+
+def refined_names(
+    named: DataFrame, min_group: int = DEFAULT_MIN_GROUP, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Files with the final group each belongs to.
+    """Different names with their final group: ext, stem, n, group_key, files, varying.
 
-    Columns: path, ext, stem, group_key, files (in the group), varying (positions). The
-    decisions of a round are written out on their own, so that the planner knows their
-    size and leaves the files where they are while the decisions are small.
+    Rounds run on different names, each with its number of files, and write only the names
+    of groups that were split, less the segments found constant. The decisions of a round
+    are written out on their own, so that the planner knows their size and leaves the
+    names where they are while the decisions are small.
     """
     least = _least(min_group)
-    bucket = F.concat("ext", F.lit("|"), "shape")
-    named = _stems(files, fold_ext_case)
-    active = cut(named.select("path", "ext", "stem", bucket.alias("group_key")))
-    leaves = []
+    active = cut(_classes(named))
+    leaves, above, round_ = [], None, 0
     while True:
-        decisions = cut(_decisions(active, least))
-        decided = attach(active, decisions, "group_key", "_n", "path", "inner", hot_rows)
+        decisions = cut(_named_groups(_decisions(active, least), above, round_))
+        decided = attach(active, decisions, ["parent", "part"], "_n", "stem", "inner", hot_rows)
+        found = ["ext", "stem", "n", "group_key", "files", "varying"]
         if decisions.where("split is not null").isEmpty():
-            leaves.append(decided.drop("split"))
-            return reduce(DataFrame.unionByName, leaves)
+            return reduce(DataFrame.unionByName, [*leaves, decided.select(*found)])
         decided = cut(decided)
-        leaves.append(decided.where("split is null").drop("split"))
-        value = F.element_at(segment_values("stem"), F.col("split") + 1)
-        part = F.concat("group_key", F.lit("|"), F.col("split").cast("string"), F.lit("="), value)
+        free(active)
+        leaves.append(decided.where("split is null").select(*found))
+        at = F.filter("rest", lambda s: s["pos"] == F.col("split"))
+        rest = F.filter(
+            "rest", lambda s: (s["pos"] != F.col("split")) & F.array_contains("varying", s["pos"])
+        )
         active = decided.where("split is not null").select(
-            "path", "ext", "stem", part.alias("group_key")
+            "ext", "stem", "n", F.col("id").alias("parent"), at[0]["value"].alias("part"), rest.alias("rest")
         )
+        above, round_ = decisions, round_ + 1
+
+
+def refined_files(
+    files: DataFrame,
+    min_group: int = DEFAULT_MIN_GROUP,
+    hot_rows: int = HOT_ROWS,
+    fold_ext_case: bool = False,
+) -> DataFrame:
+    """Files with the final group each belongs to.
+
+    Columns: path, ext, stem, group_key, files (in the group), varying (positions). Files
+    shuffle once, by name, when their group is known.
+    """
+    named = _named(files, fold_ext_case)
+    groups = refined_names(named, min_group, hot_rows)
+    return attach(named, groups, ["ext", "stem"], "n", "path", "inner", hot_rows)
 
 
 def _template() -> Column:
@@ -150,10 +221,9 @@ def refine_patterns(
     files: DataFrame, min_group: int = DEFAULT_MIN_GROUP, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """One row per final group: group_key, template, count."""
-    refined = refined_files(files, min_group, hot_rows)
+    refined = refined_names(_named(files, False), min_group, hot_rows)
     # All names of a group have one template, so it can be a grouping key.
-    template = _template().alias("template")
-    return refined.groupBy("group_key", template).agg(F.count("*").alias("count"))
+    return refined.groupBy("group_key", _template().alias("template")).agg(F.sum("n").alias("count"))
 
 
 def name_patterns(
