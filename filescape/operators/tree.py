@@ -51,12 +51,18 @@ def dirs_of(files: DataFrame, root: str, include_all: bool = False) -> DataFrame
 def dir_sizes(files: DataFrame, root: str, dirs: DataFrame | None = None) -> DataFrame:
     """Bytes and files below each directory at any depth.
 
-    With `dirs` (a `path` column), directories without files are listed with 0.
+    With `dirs` (a `path` column), directories without files are listed with 0. Files are
+    first added up per directory, so only directories are multiplied by their depth.
     """
+    own = files.groupBy(parent_path("path").alias("path")).agg(
+        F.sum("size").alias("size"), F.count("*").alias("files")
+    )
+    # a name of its own below each directory makes the directory an ancestor of that
+    below = own.withColumn("path", F.concat(F.when(F.col("path") == "/", "").otherwise(F.col("path")), F.lit("/")))
     sizes = (
-        _with_ancestors(files, root, "size")
+        _with_ancestors(below, root, "size", "files")
         .groupBy(F.when(F.col("dir") == "", F.lit("/")).otherwise(F.col("dir")).alias("path"))
-        .agg(F.sum("size").alias("size"), F.count("*").alias("files"))
+        .agg(F.sum("size").alias("size"), F.sum("files").alias("files"))
     )
     if dirs is None:
         return sizes

@@ -220,7 +220,25 @@ from (select path, name, false as is_dir, size from files
     "manifest_source": _with(MANIFEST)
     + "select id, name, parent_id, mime_type, size, md5 from manifest where not trashed",
     "file_content": _with(DOCS)
-    + "select substr(path, 8) as path, size as bytes, dedup_key as hash from files",
+    + f"""
+select substr(path, 8) as path, size as bytes, greatest(1, (size + {r.CHUNK_BYTES - 1}) // {r.CHUNK_BYTES})::bigint as chunks,
+  dedup_key as hash from files""",
+    "filetree": _with(SHOWN_DOCS)
+    + f"""
+select substr(path, 8) as path, name, ext, false as is_symlink, size from files
+where ext in ('.txt', '.html') and size >= {r.LARGE_BYTES}""",
+    "live_hashes": _with(DOCS)
+    + f"""
+select path, size, case when count(*) over (partition by size, edges) >= 2 then dedup_key end as dedup_key
+from (select substr(path, 8) as path, size, dedup_key, case when size <= {2 * r.EDGE_BYTES} then dedup_key
+    else sha256(encode(content)[1:{r.EDGE_BYTES}] || encode(content)[size - {r.EDGE_BYTES - 1}:size]) end as edges from files)""",
+    "live_grep": _with(DOCS, LINES)
+    + f"select substr(path, 8) as path, line, {TEXT} as text from lines where {MATCH}",
+    "live_lines": _with(DOCS, LINES)
+    + f"""
+select substr(path, 8) as path, line, {TEXT} as text from lines left join (
+  select path, min(line) as bad from lines where strlen(raw) >= {r.LINE_CAP} group by path) using (path)
+where bad is null or line < bad""",
     # Sinks
     "find_json": _with(DOCS)
     + f"""

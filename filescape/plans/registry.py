@@ -15,6 +15,7 @@ from filescape.plans.views import DOC_ROOT, LAKE_ROOT, PAGE_ROOT
 from filescape.session import shared_path
 from filescape.sinks import writers
 from filescape.sources import catalog, content, manifest
+from filescape.sources.filetree import register as register_filetree
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,6 +27,8 @@ PAGE_PATTERN = r'href="/[[:upper:]][[:alpha:]]+"'
 FIXED_TEXT = "License, Version 2.0."
 LINE_CAP = 300
 LARGE_BYTES = 5000
+#: Small enough for most files to have several.
+CHUNK_BYTES, RANGE_BYTES, EDGE_BYTES = 1024, 1000, 300
 PER_DOCUMENT = 50
 POSTINGS_BLOCK = 1000
 SEARCH_TEXT = "Ring small, DAT"
@@ -127,14 +130,49 @@ def manifest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _tree_on_disk(spark, sf_dir)
     files = catalog.catalog_files(catalog.file_catalog(spark, root, include_all=True))
-    read = content.file_content(files)
-    return read.select(
-        names.relative_path("path", root).alias("path"),
-        F.octet_length("content").cast("bigint").alias("bytes"),
-        content_fn.content_hash("content").alias("hash"),
+    chunks = content.file_content(files, chunk_bytes=CHUNK_BYTES)
+    whole = chunks.groupBy("path").agg(
+        F.sum(F.octet_length("content").cast("bigint")).alias("bytes"),
+        F.count("*").alias("chunks"),
+        F.max_by("digest", "number").alias("hash"),
+    )
+    return whole.withColumn("path", names.relative_path("path", root))
+
+
+@query
+def filetree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _tree_on_disk(spark, sf_dir)
+    register_filetree(spark)
+    tree_options = {"partitions": 16, "exts": "txt, HTML", "minSize": LARGE_BYTES}
+    return spark.read.format("filetree").options(**tree_options).load(root).select(
+        names.relative_path("path", root).alias("path"), "name", "ext", "is_symlink", "size"
     )
 
 
+@query
+def live_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _tree_on_disk(spark, sf_dir)
+    files = catalog.catalog_files(catalog.file_catalog(spark, root, include_all=True))
+    hashed = content.hash_files(files, edge_bytes=EDGE_BYTES)
+    return hashed.select(names.relative_path("path", root).alias("path"), "size", "dedup_key")
+
+
+@query
+def live_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _tree_on_disk(spark, sf_dir)
+    files = catalog.catalog_files(catalog.file_catalog(spark, root, include_all=True))
+    found = content.grep_catalog(files, GREP_PATTERN, ignore_case=True, root=root, range_bytes=RANGE_BYTES)
+    return found.select(names.relative_path("path", root).alias("path"), "line", "text")
+
+
+@query
+def live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _tree_on_disk(spark, sf_dir)
+    files = catalog.catalog_files(catalog.file_catalog(spark, root, include_all=True))
+    lines = content.file_lines(files, max_line_bytes=LINE_CAP, range_bytes=RANGE_BYTES)
+    return lines.select(names.relative_path("path", root).alias("path"), "line", "text")
+
+
 # Sinks: written to the shared folder and read back
 
 
