@@ -76,11 +76,15 @@ def dir_sizes(files: DataFrame, root: str, dirs: DataFrame | None = None) -> Dat
 
 
 def folder_sizes(nodes: DataFrame) -> DataFrame:
-    """`dir_sizes` for rows linked by id: needs `id`, `is_dir`, `size` and `ancestor_ids`."""
+    """`dir_sizes` for rows linked by id: needs `id`, `is_dir`, `size` and `ancestor_ids`.
+
+    Files are first added up per folder, so only folders are multiplied by their depth.
+    """
     zero = F.lit(0).cast("bigint")
-    below = nodes.where(~F.col("is_dir")).select(
-        F.explode("ancestor_ids").alias("id"), "size", F.lit(1).cast("bigint").alias("files")
+    own = nodes.where(~F.col("is_dir")).groupBy(F.element_at("ancestor_ids", -1).alias("parent")).agg(
+        F.sum("size").alias("size"), F.count("*").alias("files"), F.first("ancestor_ids").alias("above")
     )
+    below = own.select(F.explode("above").alias("id"), "size", "files")
     folders = nodes.where("is_dir").select("id", zero.alias("size"), zero.alias("files"))
     return (
         below.unionByName(folders)
@@ -101,7 +105,7 @@ def tree_position(nodes: DataFrame, root: str) -> DataFrame:
 
 
 def tree_listing(files: DataFrame, dirs: DataFrame, root: str) -> DataFrame:
-    """Depth-first listing of files and directories below `root`.
+    """Depth-first listing of `root` and the files and directories below it.
 
     `files` may carry `dup_label`. Last siblings are found by one aggregate per parent and
     joined by path, which is unique, so a directory holding most files causes no skew.
@@ -110,7 +114,9 @@ def tree_listing(files: DataFrame, dirs: DataFrame, root: str) -> DataFrame:
     file_rows = with_types(files).select(
         "path", "name", F.lit(False).alias("is_dir"), "size", "type_label", label.alias("dup_label")
     )
-    sized = dir_sizes(files, root, dirs).where(F.col("path") != (root.rstrip("/") or "/"))
+    top = root.rstrip("/") or "/"
+    with_root = dirs.select("path").unionByName(dirs.sparkSession.createDataFrame([(top,)], "path string"))
+    sized = dir_sizes(files, root, with_root)
     dir_rows = sized.select(
         "path",
         base_name("path").alias("name"),
@@ -122,14 +128,15 @@ def tree_listing(files: DataFrame, dirs: DataFrame, root: str) -> DataFrame:
     # read twice, for the last siblings and for the rows themselves
     rows = cut(file_rows.unionByName(dir_rows))
     last = (
-        rows.groupBy(parent_path("path").alias("_parent"))
+        rows.where(F.col("path") != top)
+        .groupBy(parent_path("path").alias("_parent"))
         .agg(F.max(F.struct(fold("name").alias("folded"), "name", "path")).alias("_last"))
         .select(F.col("_last.path").alias("path"), F.lit(True).alias("_is_last"))
     )
     listed = rows.join(last, "path", "left").select(
         "path",
         depth("path", root).alias("depth"),
-        F.coalesce("_is_last", F.lit(False)).alias("is_last"),
+        (F.coalesce("_is_last", F.lit(False)) | (F.col("path") == top)).alias("is_last"),
         F.concat("name", F.when(F.col("is_dir"), F.lit("/")).otherwise(F.lit(""))).alias("shown"),
         "type_label",
         human_size("size").alias("human_size"),

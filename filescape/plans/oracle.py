@@ -89,10 +89,10 @@ MANIFEST = f"manifest as materialized (select * from {sql_view(DRIVE_MANIFEST)}
 NODES = """
 nodes as materialized (
   with recursive walk as (
-    select id, parent_id, name, mime_type, size, md5, 'My Drive/' || name as path, ['root'] as ancestors
+    select id, parent_id, name, mime_type, size, md5, modified_time, 'My Drive/' || name as path, ['root'] as ancestors
     from manifest where parent_id = 'root' and not trashed
     union all
-    select c.id, c.parent_id, c.name, c.mime_type, c.size, c.md5, w.path || '/' || c.name,
+    select c.id, c.parent_id, c.name, c.mime_type, c.size, c.md5, c.modified_time, w.path || '/' || c.name,
       list_append(w.ancestors, w.id)
     from manifest c join walk w on c.parent_id = w.id
     where not c.trashed and w.mime_type = 'application/vnd.google-apps.folder')
@@ -269,14 +269,27 @@ from (select token, path, cast(floor((row_number() over (partition by token orde
         / {r.POSTINGS_BLOCK}) as bigint) as block
       from (select distinct path, unnest({TOKENS}) as token from lake))
 group by token, block""",
-    "tree_json": _with(DOCS, EVERY_DIR, SIZED)
+    "index_json_stats": _with(LAKE)
+    + f"""
+select (select count(*) from lake) as files, count(distinct token) as tokens, count(*) as postings
+from (select distinct path, unnest({TOKENS}) as token from lake)""",
+    "tree_json": _with(DOCS, GROUPS, EVERY_DIR, SIZED)
     + """
-select path, left(path, length(path) - length(name) - 1) as parent, name, false as is_dir, size, ext,
-  type_label, dedup_key from files
+select f.path, left(f.path, length(f.path) - length(f.name) - 1) as parent, f.name, false as is_dir, f.size, f.ext,
+  f.type_label, f.dedup_key, coalesce(label, '') as dup_label, 1600000000 + doc_id as mtime
+from files f join docs using (path) left join groups g on f.dedup_key = g.dedup_key
 union all
 select path, case when path = '/corpus' then '/' else left(path, length(path) - length(name) - 1) end,
-  name, true, size, '', '', null
+  name, true, size, '', '', null, null, null
 from (select *, string_split(path, '/')[-1] as name from sized)""",
+    "tree_json_stats": _with(DOCS, GROUPS, EVERY_DIR)
+    + """
+select (select count(*) from groups) as dup_groups, (select cast(sum(wasted) as bigint) from groups) as wasted_size,
+  count(*) as files, (select count(*) from dirs) as dirs, cast(sum(size) as bigint) as size from files""",
+    "manifest_times": _with(MANIFEST, NODES)
+    + """
+select id, coalesce(case when regexp_full_match(modified_time, '[0-9]{4}-.*T.*') then epoch_us(try_cast(modified_time as timestamptz)) end, -1) as micros
+from nodes""",
     "write_output": _with(DOCS)
     + f"select {SHOWN} as ext, count(*) as count, cast(sum(size) as bigint) as size from files group by 1",
     # Filters
@@ -419,7 +432,7 @@ select path, cast(len(string_split(path, '/')) - 2 as bigint) as depth,
 from (select f.path, f.name, f.name as shown, f.type_label, f.size, coalesce(label, '') as dup_label
       from files f left join groups g using (dedup_key)
       union all
-      select d.path, d.name, d.name || '/', '', s.size, '' from dirs d join sized s using (path))""",
+      select path, string_split(path, '/')[-1], string_split(path, '/')[-1] || '/', '', size, '' from sized)""",
     # Index and search
     "postings_intersect": _with(LAKE)
     + f"""

@@ -126,6 +126,12 @@ def manifest_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return live.select("id", "name", "parent_id", "mime_type", "size", "md5")
 
 
+@query
+def manifest_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _drive_nodes(spark, sf_dir)
+    return nodes.select("id", F.coalesce(F.unix_micros("mtime"), F.lit(-1)).alias("micros"))
+
+
 @query
 def file_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _tree_on_disk(spark, sf_dir)
@@ -241,37 +247,66 @@ def patterns_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _index_on_disk(spark: SparkSession, sf_dir: str) -> str:
+    files = views.lake_files(spark, sf_dir)
+    postings = index.name_index(files)
+    return _written(
+        spark, "index", lambda p: writers.write_index_json(postings, p, block_size=POSTINGS_BLOCK, files=files)
+    )
+
+
 @query
 def index_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings = index.name_index(views.lake_files(spark, sf_dir))
-    path = _written(
-        spark, "index", lambda p: writers.write_index_json(postings, p, block_size=POSTINGS_BLOCK)
-    )
+    path = _index_on_disk(spark, sf_dir)
     back = spark.read.schema("token string, block bigint, paths array<string>").json(path)
     return back.select("token", "block", _joined("paths", "\n").alias("paths"))
 
 
 @query
-def tree_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def index_json_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _index_on_disk(spark, sf_dir)
+    return spark.read.schema("files bigint, tokens bigint, postings bigint").json(f"{path}_stats")
+
+
+def _json_tree_on_disk(spark: SparkSession, sf_dir: str) -> str:
+    """All documents with their directories, duplicate labels and times written as a tree."""
     docs = views.doc_files(spark, sf_dir)
-    files = _keyed_docs(spark, sf_dir)
+    mtime = F.timestamp_seconds(F.lit(1_600_000_000) + F.col("doc_id"))
+    times = docs.select("path", mtime.alias("mtime"))
+    files = dedup.tag_duplicates(_keyed_docs(spark, sf_dir)).join(times, "path")
     dirs = tree.dirs_of(docs, DOC_ROOT, include_all=True)
     sized = tree.dir_sizes(files, DOC_ROOT, dirs)
-    rows = files.withColumn("is_dir", F.lit(False)).unionByName(
+    none = F.lit(None).cast("string")
+    rows = files.select("path", "name", "size", "dedup_key", "dup_label", "mtime", F.lit(False).alias("is_dir"))
+    rows = rows.unionByName(
         sized.select(
             "path",
             names.base_name("path").alias("name"),
             "size",
-            F.lit(None).cast("string").alias("dedup_key"),
+            none.alias("dedup_key"),
+            none.alias("dup_label"),
+            none.cast("timestamp").alias("mtime"),
             F.lit(True).alias("is_dir"),
         )
     )
     nodes = rows.withColumn("parent", names.parent_path("path"))
-    path = _written(spark, "tree", lambda p: writers.write_tree_json(nodes, p))
-    return spark.read.schema(
+    return _written(spark, "tree", lambda p: writers.write_tree_json(nodes, p, root=DOC_ROOT))
+
+
+@query
+def tree_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = spark.read.schema(
         "path string, parent string, name string, is_dir boolean, size bigint, ext string, "
-        "type_label string, dedup_key string"
-    ).json(path)
+        "type_label string, dedup_key string, dup_label string, mtime timestamp"
+    ).json(_json_tree_on_disk(spark, sf_dir))
+    return back.withColumn("mtime", F.unix_seconds("mtime"))
+
+
+@query
+def tree_json_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _json_tree_on_disk(spark, sf_dir)
+    schema = "dup_groups bigint, wasted_size bigint, files bigint, dirs bigint, size bigint"
+    return spark.read.schema(schema).json(f"{path}_stats")
 
 
 @query

@@ -37,18 +37,19 @@ from (select *, concat('part_', cast(l_linenumber as {S}), '_', cast(l_orderkey
 DRIVE_MANIFEST = """
 select concat('R', cast(r_regionkey as {S})) as id, r_name as name, 'root' as parent_id,
   'application/vnd.google-apps.folder' as mime_type, cast(0 as bigint) as size,
-  cast(null as {S}) as md5, false as trashed from {region}
+  cast(null as {S}) as md5, false as trashed, cast(null as {S}) as modified_time from {region}
 union all select concat('N', cast(n_nationkey as {S})), n_name, concat('R', cast(n_regionkey as {S})),
-  'application/vnd.google-apps.folder', cast(0 as bigint), cast(null as {S}), false from {nation}
+  'application/vnd.google-apps.folder', cast(0 as bigint), cast(null as {S}), false, cast(null as {S}) from {nation}
 union all select concat('C', cast(c_custkey as {S})), c_name, concat('N', cast(c_nationkey as {S})),
-  'application/vnd.google-apps.folder', cast(0 as bigint), cast(null as {S}), c_custkey % 50 = 0 from {customer}
+  'application/vnd.google-apps.folder', cast(0 as bigint), cast(null as {S}), c_custkey % 50 = 0,
+  case when c_custkey % 3 = 0 then '2024-02-30T00:00:00Z' when c_custkey % 3 = 1 then '2024-02-29T23:59:59.5+01:00' else 'yesterday' end from {customer}
 union all select concat('O', cast(o_orderkey as {S})),
   concat('order_', cast(o_orderkey % 100 as {S}), case when o_orderkey % 4 = 0 then '' else '.pdf' end),
   concat('C', cast(o_custkey as {S})),
   case when o_orderkey % 4 = 0 then 'application/vnd.google-apps.document' else 'application/pdf' end,
   case when o_orderkey % 4 = 0 then cast(0 as bigint) else cast(round(o_totalprice * 100) as bigint) end,
   case when o_orderkey % 4 = 0 then cast(null as {S}) else md5(cast(o_orderkey % 500 as {S})) end,
-  o_orderkey % 97 = 0 from {orders}
+  o_orderkey % 97 = 0, concat(substr(cast(o_orderdate as {S}), 1, 10), 'T12:00:00Z') from {orders}
 """
 
 PAGE_FILES = """

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from filescape.operators.dedup import duplicate_groups
 from filescape.operators.index import POSTINGS_PER_BLOCK, posting_blocks
 from filescape.operators.ranking import rank_within
 from filescape.operators.scope import with_types
@@ -89,14 +90,35 @@ def write_patterns_json(patterns: DataFrame, path: str, mode: str = "errorifexis
     write_output(pattern_documents(patterns), path, "json", mode)
 
 
+def _write_counted(df: DataFrame, path: str, mode: str, more: dict[str, int], **counts: Column) -> None:
+    """Write `df` as json, and next to it, in `<path>_stats`, one row of figures: `more`, and
+    `counts`, which are taken in the same pass."""
+    seen = Observation()
+    write_output(df.observe(seen, *[value.alias(name) for name, value in counts.items()]), path, "json", mode)
+    figures = {**more, **{name: seen.get[name] or 0 for name in counts}}
+    schema = ", ".join(f"{name} bigint" for name in figures)
+    stats = df.sparkSession.createDataFrame([tuple(figures.values())], schema)
+    write_output(stats.coalesce(1), f"{path.rstrip('/')}_stats", "json", mode)
+
+
 def write_index_json(
     index: DataFrame,
     path: str,
     mode: str = "errorifexists",
     block_size: int = POSTINGS_PER_BLOCK,
+    files: DataFrame | None = None,
 ) -> None:
-    """{token, block, paths} per block of a posting list."""
-    write_output(posting_blocks(index, block_size), path, "json", mode)
+    """{token, block, paths} per block of a posting list, and the stats {files, tokens,
+    postings}. Files without tokens count too, where `files` are given."""
+    indexed = index.agg(F.count_distinct("id")) if files is None else files.agg(F.count("*"))
+    _write_counted(
+        posting_blocks(index, block_size),
+        path,
+        mode,
+        {"files": indexed.first()[0]},
+        tokens=F.count_if(F.col("block") == 0),
+        postings=F.sum(F.size("paths").cast("bigint")),
+    )
 
 
 def tree_rows(nodes: DataFrame) -> DataFrame:
@@ -116,5 +138,21 @@ def tree_rows(nodes: DataFrame) -> DataFrame:
     )
 
 
-def write_tree_json(nodes: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    write_output(tree_rows(nodes), path, "json", mode)
+def write_tree_json(nodes: DataFrame, path: str, mode: str = "errorifexists", root: str | None = None) -> None:
+    """The rows of `tree_rows`, and the stats {dup_groups, wasted_size, files, dirs, size}; the
+    row of the `root` is no directory below it. Duplicates need `dedup_key`."""
+    dups = {"dup_groups": 0, "wasted_size": 0}
+    if "dedup_key" in nodes.columns:
+        groups = duplicate_groups(nodes.where(~F.col("is_dir")).select("path", "size", "dedup_key"))
+        found = groups.agg(F.count("*"), F.coalesce(F.sum("wasted"), F.lit(0))).first()
+        dups = dict(zip(dups, found))
+    below = F.col("is_dir") if root is None else F.col("is_dir") & (F.col("path") != (root.rstrip("/") or "/"))
+    _write_counted(
+        tree_rows(nodes),
+        path,
+        mode,
+        dups,
+        files=F.count_if(~F.col("is_dir")),
+        dirs=F.count_if(below),
+        size=F.sum(F.when(~F.col("is_dir"), F.col("size"))),
+    )

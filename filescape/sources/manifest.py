@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from filescape.functions.names import drive_dedup_key, drive_ext, drive_type_lab
 from filescape.functions.sizes import modified_time
 from filescape.operators.skew import HOT_ROWS, attach
 from filescape.schema import MANIFEST
-from filescape.session import cut
+from filescape.session import cut, free
 
 
 def read_manifest(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -63,6 +61,34 @@ def resolve_folder(
     return hits[0][0], target
 
 
+def _climb(folders: DataFrame, root_id: str, hot_rows: int) -> DataFrame:
+    """(id, path, ids) of the folders below the root, path and ids from below the root on.
+
+    Every folder holds a pointer `up` and the way from below it to the folder. In a round
+    each takes over the pointer of the folder it points to and puts that one's way before
+    its own, so a way doubles, and depth d takes log2(d) rounds and one more. Folders
+    whose pointer leads nowhere, or whose way meets itself, drop out.
+    """
+    state = cut(folders.select("id", F.col("parent_id").alias("up"), F.col("name").alias("path"), F.array("id").alias("ids")))
+    while True:
+        climbing = state.where(F.col("up") != root_id)
+        if climbing.isEmpty():
+            return state.where(F.col("up") == root_id).select("id", "path", "ids")
+        asked = climbing.groupBy("up").agg(F.count("*").alias("_n"))
+        higher = state.select(
+            F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("ids").alias("_ids")
+        )
+        met = attach(climbing, higher.join(asked, "up"), "up", "_n", "id", "inner", hot_rows)
+        moved = met.select(
+            "id",
+            F.col("_up").alias("up"),
+            F.concat("_path", F.lit("/"), "path").alias("path"),
+            F.concat("_ids", "ids").alias("ids"),
+        ).where(F.size(F.array_distinct("ids")) == F.size("ids"))
+        before, state = state, cut(state.where(F.col("up") == root_id).unionByName(moved))
+        free(before)
+
+
 def manifest_nodes(
     listing: DataFrame,
     target: str = "",
@@ -72,65 +98,22 @@ def manifest_nodes(
     """Files and folders below a folder, with their paths.
 
     Paths start with the folder's name. Rows not reached from it through live folders are
-    left out. Folders are placed level by level, from the folder down; each row has one
-    parent, so every folder is reached once and the rounds end with the deepest one. Files
-    are joined to their folder once, at the end.
+    left out. Folders find their way up by pointer doubling; files are joined to their
+    folder once, at the end.
     """
     root_id, root_name = resolve_folder(listing, target, explicit_id)
     live = manifest_source(listing).where(F.col("id") != root_id)
     is_folder = F.coalesce(F.col("mime_type") == FOLDER_MIME, F.lit(False))
-    children = live.groupBy(F.col("parent_id").alias("id")).agg(
-        F.count("*").alias("children"), F.count_if(is_folder).alias("subfolders")
-    )
     zero = F.lit(0).cast("bigint")
-    top = listing.sparkSession.createDataFrame(
-        [(root_id, None, root_name)], "id string, parent string, name string"
-    )
-    folders = cut(
-        live.where(is_folder)
-        .select("id", F.col("parent_id").alias("parent"), "name")
-        .unionByName(top)
-        .join(children, "id", "left")
-        .withColumns(
-            {"children": F.coalesce("children", zero), "subfolders": F.coalesce("subfolders", zero)}
-        )
-    )
-    frontier = folders.where(F.col("id") == root_id).select(
-        "id", F.col("name").alias("path"), F.array("id").alias("ancestor_ids"), "children", "subfolders"
-    )
-    placed = [frontier]
-    while True:
-        above = frontier.where("subfolders > 0").select(
-            F.col("id").alias("parent"),
-            F.col("subfolders").alias("_n"),
-            F.col("path").alias("above"),
-            F.col("ancestor_ids").alias("above_ids"),
-        )
-        if above.isEmpty():
-            break
-        reached = attach(folders, above, "parent", "_n", "id", "inner", hot_rows)
-        # a folder listed below itself is not entered again
-        reached = reached.where(~F.array_contains("above_ids", F.col("id")))
-        frontier = cut(
-            reached.select(
-                "id",
-                F.concat("above", F.lit("/"), "name").alias("path"),
-                F.concat("above_ids", F.array("id")).alias("ancestor_ids"),
-                "children",
-                "subfolders",
-            )
-        )
-        placed.append(frontier)
-    parents = (
-        reduce(DataFrame.unionByName, placed)
-        .where("children > 0")
-        .select(
-            F.col("id").alias("parent"),
-            F.col("children").alias("_n"),
-            F.col("path").alias("above"),
-            F.col("ancestor_ids"),
-        )
+    children = live.groupBy("parent_id").agg(F.count("*").alias("_n"))
+    top = listing.sparkSession.createDataFrame([(root_id, root_name)], "parent string, above string")
+    below = _climb(live.where(is_folder), root_id, hot_rows).select(
+        F.col("id").alias("parent"),
+        F.concat(F.lit(f"{root_name}/"), "path").alias("above"),
+        F.concat(F.array(F.lit(root_id)), "ids").alias("ancestor_ids"),
     )
+    placed = top.withColumn("ancestor_ids", F.array("parent")).unionByName(below)
+    parents = placed.join(children, F.col("parent") == F.col("parent_id")).drop("parent_id")
     found = attach(
         live.withColumnRenamed("parent_id", "parent"), parents, "parent", "_n", "id", "inner", hot_rows
     )

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from filescape.operators.cleanup import cleanup_summary
@@ -25,7 +27,7 @@ def test_scan_listing_and_clean(spark, root):
     assert result.duplicates.collect()[0]["copies"] == 2
     assert [r["ext"] for r in result.ext_stats.collect()] == [".txt", ".go"]
     shown = [(r["shown"], r["dup_label"]) for r in commands.listing(result, root).collect()]
-    assert shown == [("a_1.txt", "D1"), ("sub/", ""), ("a_2.txt", "D1"), ("c.go", "")]
+    assert shown == [(f"{os.path.basename(root)}/", ""), ("a_1.txt", "D1"), ("sub/", ""), ("a_2.txt", "D1"), ("c.go", "")]
     assert tuple(cleanup_summary(commands.clean(result)).collect()[0]) == (1, 1, 18)
 
 

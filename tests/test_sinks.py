@@ -48,6 +48,18 @@ def test_search_index_and_tree(files, tmp_path, spark):
     assert {"path": "/r/x", "parent": "/r", "name": "x", "is_dir": False, "size": 1000, "ext": "", "type_label": "File (no extension)"} in documents(tmp_path / "t")
 
 
+def test_figures_next_to_the_rows(files, tmp_path, spark):
+    more = files.unionByName(spark.createDataFrame([("/r/---", "---", 5)], files.schema))
+    writers.write_index_json(index.name_index(more), str(tmp_path / "i"), block_size=10, files=more)
+    assert documents(tmp_path / "i_stats") == [{"files": 27, "tokens": 28, "postings": 76}]
+    writers.write_index_json(index.name_index(more.limit(0)), str(tmp_path / "e"))
+    assert documents(tmp_path / "e_stats") == [{"files": 0, "tokens": 0, "postings": 0}]
+    rows = [("/r", "r", True, 30, None), ("/r/d", "d", True, 20, None), ("/r/a", "a", False, 10, "k"), ("/r/d/b", "b", False, 10, "k"), ("/r/d/c", "c", False, 10, "m")]
+    nodes = spark.createDataFrame(rows, "path string, name string, is_dir boolean, size long, dedup_key string").selectExpr("*", "'' as parent")
+    writers.write_tree_json(nodes, str(tmp_path / "t"), root="/r")
+    assert documents(tmp_path / "t_stats") == [{"dup_groups": 1, "wasted_size": 10, "files": 3, "dirs": 1, "size": 30}]
+
+
 def test_grep_sinks(spark, tmp_path):
     table = spark.createDataFrame(
         [("/a:b", "a", 9, b"ok \xff one\ntwo\n")], "path string, name string, size long, raw binary"

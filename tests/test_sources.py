@@ -134,6 +134,25 @@ def test_drive_paths(spark):
     assert by_id["d1"]["size"] == 0 and by_id["s1"]["type_label"] == "Google Drive shortcut"
 
 
+def test_deep_folders_take_few_rounds(spark, monkeypatch):
+    """A chain of 1,000 folders, a cycle, and a folder listed twice, once below itself."""
+    depth = 1000
+    rows = [(f"d{i}", f"n{i}", "root" if i == 0 else f"d{i - 1}", FOLDER) for i in range(depth)]
+    rows += [("c1", "c1", "c3", FOLDER), ("c2", "c2", "c1", FOLDER), ("c3", "c3", "c2", FOLDER), ("in_c", "x", "c2", DOC)]
+    rows += [("twice", "t", "d0", FOLDER), ("below", "b", "twice", FOLDER), ("twice", "t", "below", FOLDER), ("leaf", "leaf", f"d{depth - 1}", DOC)]
+    from filescape.schema import MANIFEST
+
+    listed = spark.createDataFrame([(i, n, p, m, 1, None, None, False) for i, n, p, m in rows], MANIFEST)
+    rounds = []
+    monkeypatch.setattr(manifest, "cut", lambda df, cut=manifest.cut: rounds.append(1) or cut(df))
+    found = [(r["id"], r["path"]) for r in manifest.manifest_nodes(listed).select("id", "path").collect()]
+    assert len(rounds) <= 12  # the first state and 11 rounds
+    chain = "My Drive/" + "/".join(f"n{i}" for i in range(depth))
+    assert ("leaf", f"{chain}/leaf") in found and (f"d{depth - 1}", chain) in found
+    assert sorted(path for i, path in found if i in ("twice", "below")) == ["My Drive/n0/t", "My Drive/n0/t/b", "My Drive/n0/t/b/t"]
+    assert not {i for i, _ in found} & {"c1", "c2", "c3", "in_c"}
+
+
 def test_drive_groups_and_sizes(spark):
     nodes = manifest.manifest_nodes(listing(spark))
     groups = dedup.duplicate_groups(manifest.manifest_files(nodes)).collect()
