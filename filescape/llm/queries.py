@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +9,16 @@ from filescape.llm import chat, codebooks, jaccard, language, mixing, packing, p
 from filescape.llm.tables import table
 from filescape.session import cut, shared_path
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PROBE = "</s>[INST] ok [/INST]"
 
 
+def tokenizer() -> str:
+    """Place of the tokenizer file; other queries do without its package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path, cut)
@@ -51,7 +56,7 @@ def op4_lyndon_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, cut)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), cut)
 
 
 def op6_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
