@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filescape.llm import jaccard, language, mixing, packing, repeats
-from filescape.llm.queries import TOKENIZER
+from filescape.llm.queries import tokenizer
 from filescape.llm.tables import table
 from filescape.session import cut, shared_path
 
@@ -50,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
-    return packing.pack(docs, TOKENIZER, cut)
+    return packing.pack(docs, tokenizer(), cut)
 
 
 STAGES = [
