@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filescape.llm.graph import components
-from filescape.llm.tables import slices
+from filescape.llm.tables import slices, tidied
 from filescape.llm.words import distinct_in_rows, mix, shingle_hashes
 
 PERCENT, WORDS = 75, 5
@@ -85,7 +85,7 @@ def describe(documents: DataFrame, doc="doc_id", text="text", words: int = WORDS
             yield _shared(held)
 
     rows = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "kind int, doc_id bigint, n bigint, class bigint")
+    return rows.mapInArrow(tidied(run), "kind int, doc_id bigint, n bigint, class bigint")
 
 
 def _described(kind: int, first, n: np.ndarray, signs: np.ndarray) -> pa.RecordBatch:
@@ -136,7 +136,7 @@ def prefix_postings(documents: DataFrame, frequent, doc="doc_id", text="text", w
                 )
 
     rows = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "shingle bigint, salt bigint, class bigint, n int, rank int")
+    return rows.mapInArrow(tidied(run), "shingle bigint, salt bigint, class bigint, n int, rank int")
 
 
 def _several_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def class_sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
                 blobs = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([pa.array(signs), blobs], ["class", "shingles"]).filter(kept)
 
-    return texts.select("text", "wanted").mapInArrow(run, "class bigint, shingles binary")
+    return texts.select("text", "wanted").mapInArrow(tidied(run), "class bigint, shingles binary")
 
 
 def _verify(percent: int):

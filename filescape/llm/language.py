@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filescape.llm.tables import slices
+from filescape.llm.tables import slices, tidied
 from filescape.llm.words import mix, range_hashes, spans
 
 UNKNOWN = "und"
@@ -282,7 +282,7 @@ def identify(documents: DataFrame, field: Field | None, doc="doc_id", text="text
                 passed = [part.column("text" if name == text else f"_{name}") for name in keep]
                 yield pa.RecordBatch.from_arrays([*found.columns, *passed], [*found.schema.names, *keep])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def _identified(part: pa.RecordBatch, field: Field | None, with_spans: bool) -> pa.RecordBatch:

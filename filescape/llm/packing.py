@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filescape.llm.tables import lists, slices
+from filescape.llm.tables import lists, slices, tidied
 from filescape.llm.words import range_hashes, spans
 
 LENGTH = 4096
@@ -208,7 +208,7 @@ def tokenized(documents: DataFrame, tokenizer: str, doc="doc_id", text="text", d
         encoder.forget()  # the process may go on with another stage
 
     rows = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, curve bigint, tokens bigint, ids binary")
+    return rows.mapInArrow(tidied(run), "doc_id bigint, curve bigint, tokens bigint, ids binary")
 
 
 def pack(documents: DataFrame, tokenizer: str, cut, doc="doc_id", text="text", length: int = LENGTH,
@@ -224,7 +224,7 @@ def pack(documents: DataFrame, tokenizer: str, cut, doc="doc_id", text="text", l
     order = ["curve", "doc_id", "tokens"]
     sorted_rows = line.repartitionByRange(parts, *order).sortWithinPartitions(*order, "ids")
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return sorted_rows.mapInArrow(lambda batches: _pack(batches, length, with_ids), schema + (", ids array<int>" if with_ids else ""))
+    return sorted_rows.mapInArrow(tidied(lambda batches: _pack(batches, length, with_ids)), schema + (", ids array<int>" if with_ids else ""))
 
 
 def _pack(batches: Iterator[pa.RecordBatch], length: int, with_ids: bool) -> Iterator[pa.RecordBatch]:

@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filescape.llm.suffix import suffix_array
-from filescape.llm.tables import bytes_of, slices
-from filescape.llm.words import _codes, _powers, mix
+from filescape.llm.tables import bytes_of, slices, tidied
+from filescape.llm.words import mix, range_hashes, window_hashes
 
 LENGTH, GRAM = 50, 20
 _LONGEST_RUN = 128
@@ -38,16 +38,6 @@ SORT_BYTES, HOT_STRINGS = 1 << 16, 20_000
 _LAST = (1 << 63) - 1
 
 
-def _byte_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every run of `width` bytes; unlike words, upper and lower case differ."""
-    powers, inverses = _powers(1 << max(12, len(data).bit_length()))
-    codes = _codes().copy()
-    codes[65:91] = codes[97:123] ^ np.uint64(0x2545F4914F6CDD1D)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * powers[: len(data)], out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * inverses[: max(len(data) - width + 1, 0)])
-
-
 def runs(texts: pa.Array, length: int = LENGTH, gram: int = GRAM):
     """(document, start, windows, key) of runs of neighbouring windows with one key.
 
@@ -59,7 +49,7 @@ def runs(texts: pa.Array, length: int = LENGTH, gram: int = GRAM):
     none = np.zeros(0, np.int64)
     if count <= 0:
         return none, none, none, np.zeros(0, np.uint64), data, bounds
-    low = _byte_hashes(data, gram)
+    low = window_hashes(data, gram)
     span, width = length - gram + 1, 1
     while width * 2 <= span:
         low = np.minimum(low[:-width], low[width:])
@@ -130,7 +120,7 @@ def window_keys(documents: DataFrame, doc: str, text: str, length: int, gram: in
             yield flush(keys, docs)
 
     rows = documents.select(F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key bigint, salt bigint, known boolean, body bigint")
+    return rows.mapInArrow(tidied(run), "key bigint, salt bigint, known boolean, body bigint")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +189,7 @@ def occurrences(documents: DataFrame, firsts: DataFrame, shared: DataFrame, doc:
                     own = slice(ends[at], ends[at + 1])
                     kept[own] = np.isin(key[own].view(np.int64), wanted[at].values.to_numpy())
                 row, start, size, key = row[kept], start[kept], size[kept], key[kept]
-                content = _content(data, start, start + size + length - 1)
+                content = range_hashes(data, start, start + size + length - 1, fold=False)
                 place = part.column("doc").to_numpy()[row]
                 order = np.lexsort((place, content, key))
                 first = np.ones(len(order), bool)
@@ -220,16 +210,7 @@ def occurrences(documents: DataFrame, firsts: DataFrame, shared: DataFrame, doc:
     keys = shared.groupBy("body").agg(F.collect_set("key").alias("keys"))
     wanted = firsts.select("doc", "body").join(keys, "body")
     schema = "doc bigint, body bigint, start bigint, windows int, key bigint, content bigint, string binary"
-    return texts.join(wanted, ["doc", "body"]).mapInArrow(run, schema)
-
-
-def _content(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    powers, inverses = _powers(1 << max(12, len(data).bit_length()))
-    codes = _codes().copy()
-    codes[65:91] = codes[97:123] ^ np.uint64(0x2545F4914F6CDD1D)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * powers[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts] ^ mix((ends - starts).astype(np.uint64)))
+    return texts.join(wanted, ["doc", "body"]).mapInArrow(tidied(run), schema)
 
 
 def _windows(length: int):
@@ -262,7 +243,7 @@ def first_documents(strings: DataFrame, length: int, gram: int, hot_strings: int
         split = plain.join(hot, "key", "left_semi").select(*plain.columns).mapInArrow(_windows(length), schema)
         plain = plain.join(hot, "key", "left_anti").select(*plain.columns).unionAll(split)
     dealt = plain.repartition("dealt").sortWithinPartitions("dealt", "key", "content", "base")
-    return dealt.mapInArrow(_sort_strings(length, gram), "key bigint, content bigint, lo int, hi int, low bigint")
+    return dealt.mapInArrow(tidied(_sort_strings(length, gram)), "key bigint, content bigint, lo int, hi int, low bigint")
 
 
 def _sort_strings(length: int, gram: int):
@@ -333,9 +314,9 @@ def _may_share(data, bounds, dealt, key, length: int, gram: int) -> np.ndarray:
         return group
     side = -(-(length - gram) // 2)
     row = np.repeat(np.arange(len(key)), np.diff(bounds))
-    place = np.flatnonzero(_byte_hashes(data, gram) == key[row[: len(data) - gram + 1]])
+    place = np.flatnonzero(window_hashes(data, gram) == key[row[: len(data) - gram + 1]])
     place = place[group[row[place]] & (place + gram <= bounds[row[place] + 1])]
-    wide = _byte_hashes(data, gram + side) if len(data) >= gram + side else np.zeros(0, np.uint64)
+    wide = window_hashes(data, gram + side) if len(data) >= gram + side else np.zeros(0, np.uint64)
     right = place[place + gram + side <= bounds[row[place] + 1]]
     left = place[place - side >= bounds[row[place]]] - side
     at = np.concatenate([right, left])
@@ -414,7 +395,7 @@ def without_repeats(documents: DataFrame, cut, doc="doc_id", text="text", length
     schema = f"doc_id {documents.schema[doc].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     if keep:
         schema += ", kept_text string, " + ", ".join(f"`{name}` {documents.schema[name].dataType.simpleString()}" for name in keep)
-    return joined.mapInArrow(lambda batches: _cut_out(batches, keep), schema)
+    return joined.mapInArrow(tidied(lambda batches: _cut_out(batches, keep)), schema)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:

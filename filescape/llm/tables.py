@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,25 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         start = stop
 
 
+def tidied(run):
+    """`run`, a task function over record batches, that gives its memory back at the end: the
+    process goes on with other stages while its neighbours need the room."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can do it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lengths(texts: pa.Array) -> np.ndarray:
     """Bytes of every text; null counts as empty."""
     return np.diff(bytes_of(texts)[1])

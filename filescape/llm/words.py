@@ -29,9 +29,9 @@ def _codes(fold: bool = True) -> np.ndarray:
 
 
 @cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    base, inverse = np.full(size, _ODD, np.uint64), np.full(size, pow(_ODD, -1, 1 << 64), np.uint64)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2**64, and of its inverse, for the places of a block."""
+    base, inverse = np.full(_BLOCK + 1, _ODD, np.uint64), np.full(_BLOCK + 1, pow(_ODD, -1, 1 << 64), np.uint64)
     base[0] = inverse[0] = 1
     return np.cumprod(base, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
 
@@ -64,7 +64,7 @@ def spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A hash of data[start:end] for every pair; the ranges are in order and do not overlap.
+    """A hash of data[start:end] for every pair; starts and ends both ascend.
 
     Without `fold` A-Z are letters of their own. Ranges are worked on in blocks, so a text
     of any size needs one small table of powers.
@@ -79,18 +79,35 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: b
             low += 1
             continue
         block = data[begin : int(ends[high - 1])]
-        powers, inverses = _powers(1 << max(12, int(len(block)).bit_length()))
-        line = np.zeros(len(block) + 1, np.uint64)
-        np.cumsum(_codes(fold)[block] * powers[: len(block)], out=line[1:])
+        line, inverses = _running_sums(block, _codes(fold))
         first = starts[low:high] - begin
         sums[low:high] = (line[ends[low:high] - begin] - line[first]) * inverses[first]
         low = high
     return mix(sums ^ mix((ends - starts).astype(np.uint64)))
 
 
+def _running_sums(block: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums before every place of a block, what undoes the powers at every place)."""
+    powers, inverses = _powers()
+    line = np.zeros(len(block) + 1, np.uint64)
+    np.cumsum(codes[block] * powers[: len(block)], out=line[1:])
+    return line, inverses
+
+
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of `width` bytes, far fewer than a block; case counts."""
+    count = max(len(data) - width + 1, 0)
+    out = np.empty(count, np.uint64)
+    for low in range(0, count, _BLOCK - width):
+        high = min(low + _BLOCK - width, count)
+        line, inverses = _running_sums(data[low : high + width - 1], _codes(False))
+        out[low:high] = (line[width:] - line[:-width]) * inverses[: high - low]
+    return mix(out)
+
+
 def _long_sum(data: np.ndarray, codes: np.ndarray) -> np.uint64:
     """The sum behind the hash of one range longer than a block."""
-    total, powers = 0, _powers(_BLOCK)[0]
+    total, powers = 0, _powers()[0]
     for low in range(0, len(data), _BLOCK):
         block = data[low : low + _BLOCK]
         part = int((codes[block] * powers[: len(block)]).sum(dtype=np.uint64))
