@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from filescape.llm import jaccard, language, mixing, packing, repeats, seating, wand
-from filescape.llm.queries import tokenizer
+from filescape.llm import queries
 from filescape.llm.suffix import suffix_array
 from filescape.llm.words import mix, word_hashes
 from tests.llm import brute
@@ -156,14 +156,14 @@ def test_mixed_documents(spark, texts, cut):
 def test_packing(spark, texts, cut):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer())
+    own = Tokenizer.from_file(queries.tokenizer())
     rows = [(1, None), (2, ""), (3, "It's  a TEST, isn't it? 123.45!!\x0b<|endoftext|> x"), (4, "é.́ ,a."), (5, "don't!. 'S x.,;"), (5, "same"), (5, "same"), (None, "Ümlaut…")]
     rows += [(9, "long " * 3000 + "words. " * 3000)]
     want = {}
     for doc, text in rows:
-        ids = (*tokenizer.encode(text or "", add_special_tokens=False).ids, 2)
+        ids = (*own.encode(text or "", add_special_tokens=False).ids, 2)
         want[doc, len(ids)] = ids
-    out = packing.pack(texts(rows), tokenizer(), cut, length=64, partition_tokens=2000, with_ids=True).collect()
+    out = packing.pack(texts(rows), queries.tokenizer(), cut, length=64, partition_tokens=2000, with_ids=True).collect()
     assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length for r in out)
     pieces = {}
     for r in out:
@@ -179,7 +179,7 @@ def test_packing(spark, texts, cut):
     for r in out:
         sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
     assert all(n <= 64 and n & (n - 1) == 0 for n in sizes.values())
-    assert packing.pack(texts([]), tokenizer(), cut).count() == 0
+    assert packing.pack(texts([]), queries.tokenizer(), cut).count() == 0
 
 
 def test_hilbert_curve_steps():

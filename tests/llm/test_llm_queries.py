@@ -49,8 +49,8 @@ def test_repeats(spark, texts):
 
 
 def test_packing(spark, texts):
-    tokenizer = Tokenizer.from_file(queries.tokenizer())
-    expected = {doc: np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4") for doc, text in texts.items()}
+    own = Tokenizer.from_file(queries.tokenizer())
+    expected = {doc: np.array([*own.encode(text or "", add_special_tokens=False).ids, 2], "<u4") for doc, text in texts.items()}
     rows = queries.op5_curve_packing(spark, SF_DIR).collect()
     sequences, pieces = {}, {}
     for row in rows:
