@@ -126,6 +126,18 @@ def _pairs(texts: pa.Table, words: pa.Table):
     return kinds, total, order, u, w, n, (n > 1) | ~(here[u] | here[w]), here[u], place, counts
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Counts as the narrowest whole numbers that hold them, behind a byte with their width."""
+    most = int(values.max(initial=0))
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(buffer) -> np.ndarray:
+    width = np.frombuffer(buffer, np.uint8, 1)[0]
+    return np.frombuffer(buffer, f"<u{width}", offset=1)
+
+
 def _ask(buckets: int, hot: int):
     def run(key, texts: pa.Table, words: pa.Table) -> pa.Table:
         names = ["bucket", "chunk", "context", "contexts", "alone", "word", "words", "u", "w", "n", "role", "key", "tables"]
@@ -148,8 +160,8 @@ def _ask(buckets: int, hot: int):
                     alone = np.bincount(ui[lone[part]], minlength=len(us))
                     own = sent[part]
                     ws, wi = _group(w[part[own]])
-                    blobs = [kinds[us], total[us], alone.astype(np.uint32), kinds[ws], total[ws], ui[own].astype(np.uint32), wi.astype(np.uint32), n[part[own]].astype(np.uint32)]
-                    rows.append((int(deal[part[0]]), chunk, *(b.tobytes() for b in blobs), None, None, None))
+                    blobs = [kinds[us].tobytes(), _packed(total[us]), _packed(alone), kinds[ws].tobytes(), *map(_packed, (total[ws], ui[own], wi, n[part[own]]))]
+                    rows.append((int(deal[part[0]]), chunk, *blobs, None, None, None))
             for role, ends in ((0, u), (1, w)):
                 sums = np.bincount(ends[lone], minlength=len(kinds))
                 own = np.flatnonzero(sums)
@@ -169,14 +181,15 @@ def _seat_bucket(total_tokens: int, vocabulary: int):
     """Sample the restaurants of a bucket; answer every chunk's pairs with counts and tables."""
 
     def run(blobs: pa.Table) -> pa.Table:
-        read = lambda name, row, kind: np.frombuffer(blobs.column(name)[row].as_buffer(), kind)
+        keys_of = lambda name, row: np.frombuffer(blobs.column(name)[row].as_buffer(), np.uint64)
+        read = lambda name, row: _unpacked(blobs.column(name)[row].as_buffer()).astype(np.int64)
         contexts, words, parts = [], [], []
         order = np.argsort(blobs.column("chunk").to_numpy(), kind="stable").tolist()
         for row in order:
-            us, ws = read("context", row, np.uint64), read("word", row, np.uint64)
-            contexts.append((us, read("contexts", row, np.int64), read("alone", row, np.uint32)))
-            words.append((ws, read("words", row, np.int64)))
-            parts.append((us[read("u", row, np.uint32)], ws[read("w", row, np.uint32)], read("n", row, np.uint32).astype(np.int64)))
+            us, ws = keys_of("context", row), keys_of("word", row)
+            contexts.append((us, read("contexts", row), read("alone", row)))
+            words.append((ws, read("words", row)))
+            parts.append((us[read("u", row)], ws[read("w", row)], read("n", row)))
         context, at, own = np.unique(np.concatenate([c for c, _, _ in contexts]), return_index=True, return_inverse=True)
         customers = np.concatenate([n for _, n, _ in contexts])[at]
         alone = np.bincount(own, np.concatenate([n for _, _, n in contexts]), len(context))
@@ -204,7 +217,7 @@ def _seat_bucket(total_tokens: int, vocabulary: int):
             own = place[start : start + len(code)]
             start += len(code)
             chunk.append(blobs.column("chunk")[row].as_py())
-            answers.append(np.stack([count[own].astype(np.uint32), *(t[own] for t in kept)]).tobytes())
+            answers.append(_packed(np.concatenate([count[own], *(t[own] for t in kept)])))
         sums = [[np.bincount(ends, t, size).astype(np.int64) for t in kept] for ends, size in ((u, len(context)), (w, len(word)))]
         keys = np.concatenate([context, word]).view(np.int64)
         roles = np.repeat([0, 1], [len(context), len(word)]).astype(np.int32)
@@ -255,7 +268,7 @@ def _score(buckets: int, hot: int, totals: dict):
         count, tables = n.copy(), np.tile(np.where(sent, 0.0, n), (SAMPLES, 1))
         blobs = told.filter(told.column("answer").is_valid())
         sequence = np.argsort(blobs.column("bucket").to_numpy()).tolist()
-        answers = [np.frombuffer(blobs.column("answer")[i].as_buffer(), np.uint32).reshape(1 + SAMPLES, -1) for i in sequence]
+        answers = [_unpacked(blobs.column("answer")[i].as_buffer()).astype(np.int64).reshape(1 + SAMPLES, -1) for i in sequence]
         if answers:
             joined = np.concatenate(answers, axis=1)
             count[some], tables[:, some] = joined[0], joined[1:]
