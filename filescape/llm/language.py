@@ -36,7 +36,9 @@ BUCKETS = 1 << 15
 LEXICON = 4096
 _ROUNDS, _STEPS_WORDS, _PIECE = 6, 48, 12
 #: Text bytes whose words advance together in forward-backward.
-_TOGETHER = 4 << 20
+_TOGETHER = 2 << 20
+#: Text bytes whose different words are described at once.
+_DESCRIBED = 1 << 19
 _GRAMS, _PREFIXES, _SUFFIXES = (2, 3), (2, 3, 4), (1, 2, 3, 4)
 
 
@@ -291,7 +293,7 @@ def _identified(part: pa.RecordBatch, field: Field | None, with_spans: bool) ->
     found = [[] for _ in range(part.num_rows)]
     if field is not None and field.languages and part.num_rows:
         scores, counts, useful = [], [], []
-        for small in slices(part, "text"):
+        for small in slices(part, "text", _DESCRIBED):
             data, starts, ends, count = spans(small.column("text"))
             scores.append(field.emissions(data, starts, ends))
             counts.append(count)
