@@ -15,6 +15,7 @@ from filescape.operators.dedup import (
     wasted_size,
     with_content_key,
 )
+from filescape.operators.grams import gram_candidates, gram_index, grep_indexed, save_grams
 from filescape.operators.grep import (
     grep_counts,
     grep_files,
@@ -23,13 +24,17 @@ from filescape.operators.grep import (
     text_only,
 )
 from filescape.operators.index import (
+    StoredIndex,
     index_search,
     index_stats,
+    merged_sketch,
     name_index,
     name_search,
     posting_blocks,
     save_index,
     search_many,
+    sketch_stats,
+    token_sketch,
 )
 from filescape.operators.patterns import (
     name_patterns,
@@ -66,6 +71,7 @@ from filescape.operators.tree import (
 from filescape.session import build_session, release
 from filescape.sources.catalog import catalog_files, file_catalog
 from filescape.sources.content import (
+    catalog_grams,
     file_content,
     file_hashes,
     file_lines,

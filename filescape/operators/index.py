@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filescape.functions.names import fold, fold_text, name_tokens
-from filescape.operators.ranking import rank_within, sorted_once
+from filescape.operators.ranking import global_rank, rank_within, sorted_once
 from filescape.operators.skew import HOT_ROWS
 from filescape.session import cut
 
 POSTINGS_PER_BLOCK = 10_000
+#: Blocks of a token that share a slot; a token in more files goes on in further slots.
+BLOCKS_PER_SLOT = 16
+INDEX_BUCKETS = 64
+#: Sets of query tokens a task tests on the postings of one token.
+HOT_SETS = 1000
+#: Sketches of 2^16 registers: a standard error of about 0.4 %.
+SKETCH_BITS = 16
 
 
 def query_terms(query: str) -> list[str]:
@@ -49,6 +56,137 @@ def index_stats(files: DataFrame) -> DataFrame:
     )
 
 
+def token_sketch(files: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """One row (files, sketch): the files of a scan and a sketch of their distinct tokens.
+
+    It is a few hundred KB whatever the scan, so scans are kept and merged without their
+    names. A scan without tokens has an empty sketch.
+    """
+    tokens = F.explode_outer(F.array_distinct(name_tokens("name")))
+    rows = files.select(tokens.alias("token"), F.lit(None).cast("bigint").alias("files"))
+    counted = files.agg(F.count("*").alias("files")).select(F.lit(None).cast("string").alias("token"), "files")
+    return rows.unionByName(counted).agg(
+        F.sum("files").alias("files"), F.hll_sketch_agg("token", F.lit(bits)).alias("sketch")
+    )
+
+
+def merged_sketch(sketches: DataFrame) -> DataFrame:
+    """One row (files, sketch) for several scans together."""
+    return sketches.agg(
+        F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.hll_union_agg("sketch").alias("sketch")
+    )
+
+
+def sketch_stats(sketches: DataFrame) -> DataFrame:
+    """`index_stats` of every sketch, with the number of tokens estimated."""
+    return sketches.select("files", F.hll_sketch_estimate("sketch").alias("tokens"))
+
+
+class StoredIndex:
+    """A name index in three tables, for searches that read only what they need.
+
+    - `<name>_files` (number, id, path, name): files numbered by path, bucketed by number.
+    - `<name>_tokens` (token, files): bucketed by token.
+    - `<name>_blocks` (slot, block, first, last, offsets): posting lists as numbered blocks of
+      file numbers. `first` and `last` are the ends of a block, `offsets` the distances from
+      `first`. A slot holds `BLOCKS_PER_SLOT` blocks of one token, and blocks are bucketed
+      by slot, so a token found in most names is spread over the buckets.
+
+    The tables are bucketed, so joins shuffle only the other side, and a lookup reads the
+    buckets of its tokens.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.files, self.tokens, self.blocks = (spark.table(f"{name}_{part}") for part in ("files", "tokens", "blocks"))
+
+    @classmethod
+    def build(
+        cls, files: DataFrame, name: str, path: str, buckets: int = INDEX_BUCKETS, block_size: int = POSTINGS_PER_BLOCK,
+        per_slot: int = BLOCKS_PER_SLOT,
+    ) -> StoredIndex:
+        """Write the tables below the shared `path` and list them in the catalog as `name`_*.
+
+        The number of blocks in a slot is stored with every token.
+        """
+
+        def save(rows: DataFrame, part: str, key: str, *order: str) -> None:
+            placed = rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key, *order)
+            placed.option("path", f"{path}/{part}").saveAsTable(f"{name}_{part}")
+
+        listed = _identified(files).select("id", "path", "name")
+        save(global_rank(listed, ["path", "id"], "number"), "files", "number")
+        spark = files.sparkSession
+        numbered = spark.table(f"{name}_files")
+        postings = numbered.select(F.explode(F.array_distinct(name_tokens("name"))).alias("token"), "number")
+        ranked = cut(rank_within(postings, ["token"], ["number"], "_rank"))
+        counts = ranked.groupBy("token").agg(F.max("_rank").alias("files"))
+        save(counts.withColumn("per_slot", F.lit(block_size * per_slot).cast("bigint")), "tokens", "token")
+        block = F.floor((F.col("_rank") - 1) / F.lit(block_size)).cast("bigint")
+        numbers = F.sort_array(F.collect_list("number"))
+        grouped = ranked.groupBy("token", block.alias("block")).agg(numbers.alias("_numbers"))
+        offsets = F.transform("_numbers", lambda number: number - F.col("_numbers")[0])
+        blocks = grouped.select(
+            _slot(F.col("token"), F.floor(F.col("block") / F.lit(per_slot)).cast("bigint")).alias("slot"),
+            "block",
+            F.element_at("_numbers", 1).alias("first"),
+            F.element_at("_numbers", -1).alias("last"),
+            offsets.alias("offsets"),
+        )
+        save(blocks, "blocks", "slot", "block")
+        return cls(spark, name)
+
+    def _postings(self, blocks: DataFrame) -> DataFrame:
+        """Blocks with a row per file number."""
+        numbers = F.transform("offsets", lambda offset: F.col("first") + offset)
+        return blocks.withColumn("number", F.explode(numbers)).drop("offsets", "first", "last", "block")
+
+    def search(self, query: str) -> DataFrame:
+        """(id, path) of the files whose name holds every token of the query, by path.
+
+        Reads the buckets of the rarest token's slots; the other tokens are tested on names.
+        """
+        terms = query_terms(query)
+        nothing = self.files.where(F.lit(False)).select("id", "path")
+        if not terms:
+            return nothing
+        counts = {r["token"]: r for r in self.tokens.where(F.col("token").isin(terms)).collect()}
+        if len(counts) < len(terms):
+            return nothing
+        rarest = min(terms, key=lambda term: (counts[term]["files"], term))
+        row = counts[rarest]
+        slots = [f"{rarest}/{at}" for at in range(-(-row["files"] // row["per_slot"]))]
+        found = self._postings(self.blocks.where(F.col("slot").isin(slots))).select("number")
+        hits, folded = self.files.join(found, "number"), fold("name")
+        for term in terms:
+            if term != rarest:
+                hits = hits.where(_has_term(folded, term))
+        return hits.select("id", "path").orderBy("path", "id")
+
+    def search_many(self, queries: DataFrame) -> DataFrame:
+        """(query_id, id, path) for a table (query_id, query), one row per query_id.
+
+        Queries with the same tokens are searched once. Each set of tokens asks the slots of
+        its rarest token, so those of a frequent token meet in many tasks.
+        """
+        termed = cut(queries.select("query_id", F.array_sort(F.array_distinct(name_tokens("query"))).alias("terms")))
+        sets = termed.select("terms").distinct()
+        counted = sets.select("terms", F.explode("terms").alias("token")).join(self.tokens, "token", "left")
+        lead = F.min(F.struct(F.coalesce("files", F.lit(0)).alias("files"), "token", "per_slot"))
+        rarest = counted.groupBy("terms").agg(lead.alias("lead")).where("lead.files > 0")
+        last = F.floor((F.col("lead.files") - 1) / F.col("lead.per_slot")).cast("bigint")
+        asked = rarest.select(
+            "terms", F.col("lead.token").alias("token"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part")
+        ).select("terms", _slot(F.col("token"), F.col("part")).alias("slot"))
+        numbers = self._postings(self.blocks.join(asked, "slot")).select("terms", "number")
+        named = self.files.join(numbers, "number")
+        hits = named.where(F.size(F.array_except("terms", name_tokens("name"))) == 0)
+        return termed.join(hits.select("terms", "id", "path"), "terms").select("query_id", "id", "path")
+
+
+def _slot(token: Column, part: Column) -> Column:
+    return F.concat(token, F.lit("/"), part.cast("string"))
+
+
 def posting_blocks(index: DataFrame, block_size: int = POSTINGS_PER_BLOCK) -> DataFrame:
     """Posting lists by path, in numbered blocks of at most `block_size` paths.
 
@@ -99,35 +237,48 @@ def index_search(index: DataFrame, query: str) -> DataFrame:
     return hits.select("id", "path").orderBy("path", "id")
 
 
-def search_many(index: DataFrame, queries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def search_many(
+    index: DataFrame, queries: DataFrame, hot_rows: int = HOT_ROWS, hot_sets: int = HOT_SETS
+) -> DataFrame:
     """(query_id, id, path) for a table of queries (query_id, query), one row per query_id.
 
-    Each query looks up only its rarest token and tests the others on the names found, so
-    common tokens add no rows. Should even the rarest be common, its postings are split by
-    a salt that its queries are repeated for.
+    Queries with the same tokens are searched once. Each set of tokens looks up only its
+    rarest one and tests the others on the names found, so common tokens add no rows. Where
+    a rarest token has many postings or many sets, both are dealt over a grid of cells with
+    at most about `hot_rows` postings and `hot_sets` sets, so no task gets a whole token.
     """
     counts = cut(index.groupBy("token").agg(F.count("*").alias("_n")))
-    salts = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(hot_rows))).cast("int")
-    termed = queries.select("query_id", F.array_distinct(name_tokens("query")).alias("terms"))
-    rarest = (
-        termed.select("query_id", "terms", F.explode("terms").alias("token"))
-        .join(counts, "token", "left")
-        .groupBy("query_id")
-        .agg(
-            F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "token")).alias("_lead"),
-            F.first("terms").alias("terms"),
-        )
-        .select("query_id", "terms", "_lead.token", "_lead._n")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_n")
+    termed = cut(queries.select("query_id", F.array_sort(F.array_distinct(name_tokens("query"))).alias("terms")))
+    lead = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "token")).alias("_lead")
+    rarest = cut(
+        termed.select("terms").distinct().select("terms", F.explode("terms").alias("token"))
+        .join(counts, "token", "left").groupBy("terms").agg(lead)
+        .where("_lead._n > 0").select("terms", "_lead.token", "_lead._n")
+    )
+    grid = rarest.groupBy("token").agg(
+        F.ceil(F.first("_n") / F.lit(hot_rows)).cast("int").alias("_rows"),
+        F.ceil(F.count("*") / F.lit(hot_sets)).cast("int").alias("_columns"),
+    )
+    # At most postings / hot_rows and sets / hot_sets tokens are heavy.
+    heavy = F.broadcast(grid.where("_rows > 1 or _columns > 1"))
+    one = F.lit(1)
+    rows, columns = F.coalesce("_rows", one), F.coalesce("_columns", one)
+
+    def dealt(hashed: str, parts):
+        return F.pmod(F.xxhash64(hashed), parts).cast("int")
+
+    def every(parts):
+        return F.explode(F.sequence(F.lit(0), parts - 1))
+
+    postings = (
+        index.join(heavy, "token", "left")
+        .withColumn("_row", dealt("id", rows)).withColumn("_column", every(columns)).drop("_rows", "_columns")
     )
-    # At most postings / hot_rows tokens are hot.
-    hot = counts.where(F.col("_n") >= hot_rows).select("token", salts.alias("_salts"))
-    salted = index.join(F.broadcast(hot), "token", "left").withColumn(
-        "_salt",
-        F.pmod(F.xxhash64("id"), F.coalesce("_salts", F.lit(1))).cast("int"),
+    asked = (
+        rarest.drop("_n").join(heavy, "token", "left")
+        .withColumn("_column", dealt("terms", columns)).withColumn("_row", every(rows)).drop("_rows", "_columns")
     )
-    found = salted.join(rarest, ["token", "_salt"]).where(
+    found = postings.join(asked, ["token", "_row", "_column"]).where(
         F.size(F.array_except("terms", name_tokens("name"))) == 0
     )
-    return found.select("query_id", "id", "path")
+    return termed.join(found.select("terms", "id", "path"), "terms").select("query_id", "id", "path")

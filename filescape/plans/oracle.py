@@ -495,3 +495,20 @@ where n > 1 group by target having count(*) > 1""",
     "unique_files": _with(DOCS)
     + "select dedup_key, min(path) as path, arg_min(size, path) as size from files group by dedup_key",
 }
+
+# The same questions through other access paths.
+ORACLE["stored_search"] = ORACLE["postings_intersect"]
+ORACLE["stored_search_many"] = ORACLE["search_many"]
+ORACLE["grep_indexed"] = ORACLE["grep_pattern"]
+ORACLE["live_grep_indexed"] = (
+    _with(DOCS, LINES)
+    + f"select substr(path, 8) as path, line, {TEXT} as text from lines where contains({TEXT}, {_quoted(r.FIXED_TEXT)})"
+)
+ORACLE["token_sketch"] = (
+    _with(LAKE, PARTS)
+    + f"""
+select count(*) as files, (select count(distinct token) from (
+    select unnest({TOKENS}) as token from (select name, path from lake union all select name, path from parts))) as tokens,
+  true as within
+from (select path from lake union all select path from parts)"""
+)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filescape.functions import content as content_fn
 from filescape.functions import names, sizes
-from filescape.operators import cleanup, dedup, grep, index, patterns, ranking, scope, stats, tree
+from filescape.operators import cleanup, dedup, grams, grep, index, patterns, ranking, scope, stats, tree
 from filescape.plans import views
 from filescape.plans.views import DOC_ROOT, LAKE_ROOT, PAGE_ROOT
 from filescape.session import shared_path
@@ -31,6 +31,7 @@ LARGE_BYTES = 5000
 CHUNK_BYTES, RANGE_BYTES, EDGE_BYTES = 1024, 1000, 300
 PER_DOCUMENT = 50
 POSTINGS_BLOCK = 1000
+INDEX_BUCKET_COUNT = 8
 SEARCH_TEXT = "Ring small, DAT"
 INDEX_TEXT = "part 3 parquet"
 
@@ -171,6 +172,17 @@ def live_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(names.relative_path("path", root).alias("path"), "line", "text")
 
 
+@query
+def live_grep_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _tree_on_disk(spark, sf_dir)
+    files = catalog.catalog_files(catalog.file_catalog(spark, root, include_all=True))
+    path = _written(spark, "grams", lambda p: grams.save_grams(content.catalog_grams(files, range_bytes=RANGE_BYTES), p))
+    found = content.grep_catalog(
+        files, FIXED_TEXT, fixed=True, root=root, range_bytes=RANGE_BYTES, grams=spark.read.parquet(path)
+    )
+    return found.select(names.relative_path("path", root).alias("path"), "line", "text")
+
+
 @query
 def live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _tree_on_disk(spark, sf_dir)
@@ -538,6 +550,26 @@ def search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search_many(index.name_index(files), queries).select("query_id", "path")
 
 
+def _stored(spark: SparkSession, files: DataFrame, block_size: int) -> index.StoredIndex:
+    """A stored index below the shared folder, under a name of its own."""
+    path = shared_path(spark, "names")
+    return index.StoredIndex.build(files, f"names_{path.rsplit('-', 1)[-1]}", path, INDEX_BUCKET_COUNT, block_size, per_slot=2)
+
+
+@query
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _stored(spark, views.lake_files(spark, sf_dir), POSTINGS_BLOCK)
+    return stored.search(INDEX_TEXT).select("path")
+
+
+@query
+def stored_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = views.table(spark, sf_dir, "part").select(F.col("p_name").alias("query")).distinct()
+    queries = asked.select(F.col("query").alias("query_id"), "query")
+    stored = _stored(spark, views.part_files(spark, sf_dir), POSTINGS_BLOCK)
+    return stored.search_many(queries).select("query_id", "path")
+
+
 # Aggregations
 
 
@@ -591,6 +623,17 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.index_stats(views.lake_files(spark, sf_dir))
 
 
+@query
+def token_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of two scans, merged, next to the exact count of both."""
+    scans = [views.lake_files(spark, sf_dir), views.part_files(spark, sf_dir)]
+    sketches = index.token_sketch(scans[0]).unionByName(index.token_sketch(scans[1]))
+    merged = index.sketch_stats(index.merged_sketch(sketches)).withColumnRenamed("tokens", "estimate")
+    exact = index.index_stats(scans[0].select("path", "name").unionByName(scans[1].select("path", "name")))
+    within = F.abs(F.col("estimate") - F.col("tokens")) <= F.col("tokens") * 0.02
+    return merged.join(exact, "files").select("files", "tokens", within.alias("within"))
+
+
 @query
 def grep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
@@ -673,6 +716,13 @@ def grep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep.grep_files(docs, GREP_PATTERN, ignore_case=True, root=DOC_ROOT)
 
 
+@query
+def grep_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = views.page_files(spark, sf_dir)
+    path = _written(spark, "grams", lambda p: grams.save_grams(grams.gram_index(files), p))
+    return grams.grep_indexed(files, spark.read.parquet(path), PAGE_PATTERN, root=PAGE_ROOT)
+
+
 # Naming templates
 
 

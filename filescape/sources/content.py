@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from filescape.functions.content import without_cr
 from filescape.functions.regex import check_pattern, line_matches
+from filescape.operators.grams import GRAM, distinct_grams, gram_candidates
 from filescape.operators.grep import grep_candidates, in_file_order
 from filescape.operators.scope import ext_filter
 from filescape.operators.skew import HOT_ROWS, attach
@@ -309,6 +310,47 @@ def file_lines(
     )
 
 
+def catalog_grams(
+    files: DataFrame, skip_errors: bool = True, tasks: int | None = None, range_bytes: int = _RANGE_BYTES
+) -> DataFrame:
+    """(path, gram) of the files of a catalog, read by byte ranges; see `operators.grams`.
+
+    A file of several ranges has its common grams once for each.
+    """
+    chunk = _CHUNK
+
+    def pieces(path, start, stop):
+        """The bytes of a range in pieces that overlap, so that no gram is cut."""
+        with open(path, "rb") as stream:
+            stream.seek(start)
+            tail, left = b"", None if stop < 0 else stop - start + GRAM - 1
+            while block := stream.read(chunk if left is None else min(chunk, left)):
+                yield tail + block
+                tail = (tail + block)[-(GRAM - 1) :]
+                left = None if left is None else left - len(block)
+
+    def read(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, start, stop in zip(*(column.to_pylist() for column in batch.columns)):
+                found = np.zeros(0, np.int32)
+                try:
+                    for piece in pieces(path, start, stop):
+                        found = np.union1d(found, distinct_grams(piece)).astype(np.int32)
+                except OSError:
+                    if not skip_errors:
+                        raise
+                    continue
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(found), pa.string()), pa.array(found, pa.int32())], ["path", "gram"]
+                )
+
+    ranges = _ranges(files, range_bytes).repartition(_task_count(files, tasks))
+    return ranges.mapInArrow(read, "path string, gram int")
+
+
 def grep_catalog(
     files: DataFrame,
     pattern: str,
@@ -320,17 +362,23 @@ def grep_catalog(
     max_line_bytes: int | None = None,
     tasks: int | None = None,
     range_bytes: int = _RANGE_BYTES,
+    grams: DataFrame | None = None,
 ) -> DataFrame:
     """Matching lines (path, line, text) of the files of a catalog.
 
     Extension and size filters come first, so files they refuse are never opened. Files
     that cannot be opened are passed over. Files are read once, by byte ranges: only
     matching lines and a row of counts per range are kept, and the counts of the ranges
-    before it give a match its line number.
+    before it give a match its line number. With `grams`, an index of the files as they are,
+    files that cannot match by it are not opened.
     """
     if not fixed:
         check_pattern(files.sparkSession, pattern, ignore_case)
     wanted = grep_candidates(ext_filter(files, exts), max_bytes)
+    candidates = None if grams is None else gram_candidates(grams, pattern, ignore_case, fixed)
+    if candidates is not None:
+        # read for the number of tasks and for the ranges
+        wanted = cut(wanted.join(candidates, "path", "left_semi"))
     limit = -1 if max_line_bytes is None else max_line_bytes
     asked = _ranges(wanted, range_bytes).select(
         "path", "start", "stop", F.lit(0).cast("bigint").alias("base"), F.lit(None).cast("bigint").alias("last")

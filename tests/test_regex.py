@@ -21,6 +21,8 @@ TEXTS = [
     "^start",
     "x{,3}",
     "αβγ",
+    "\u212a",
+    "\u017f!",
 ]
 PATTERNS = [
     "TODO|FIXME",
@@ -65,6 +67,20 @@ PATTERNS = [
     "(a|b|)c",
     r"[\d-]+-",
     r"[[:word:]]+ x",
+    r"(?i)^\w$",
+    r"(?i)^[\w]!",
+    r"(?i)^\W$",
+    r"(?i)^[^\W]",
+    r"(?i)^[[:upper:]]$",
+    r"(?i)^[[:lower:]]!",
+    r"(?i)^[[:^alpha:]]$",
+    r"(?i:[[:word:]])!",
+    r"(?i:a)\w!|^\w$",
+    r"(?i)(?-i:^\w$)",
+    r"^\w$",
+    r"\p{Any}x",
+    r"^\P{Any}*$",
+    r"[\p{Any}]\d",
 ]
 BAD = [
     "(",
