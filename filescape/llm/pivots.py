@@ -33,6 +33,8 @@ from filescape.llm.graph import components
 COSINE = 0.98
 PIVOTS, NEAR, SHARED, SAMPLE = 128, 12, 7, 4096
 BLOCK = 1024
+#: Pairs whose cosine is taken at once.
+_VERIFIED = 1 << 16
 
 
 def vector_classes(vectors: DataFrame, vec="vec_id", embedding="embedding", label="label") -> DataFrame:
@@ -69,11 +71,15 @@ def permutations(classes: DataFrame, chosen: dict[int, np.ndarray], near: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("embedding")
-            top = []
-            for row in column:
-                values = row.values.to_numpy()
-                points = chosen.get(len(values))
-                top.append([-1] if points is None else np.argsort(-(points @ values), kind="stable")[:near].tolist())
+            flat, ends = column.flatten().to_numpy(), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+            widths = np.diff(ends)
+            top: list = [[-1]] * len(widths)
+            for width in set(widths.tolist()) & set(chosen):
+                rows = np.flatnonzero(widths == width)
+                values = flat[ends[rows][:, None] + np.arange(width)]
+                nearest = np.argsort(-(values @ chosen[width].T), axis=1, kind="stable")[:, :near]
+                for row, own in zip(rows.tolist(), nearest.tolist()):
+                    top[row] = own
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top, pa.list_(pa.int32()))], [*batch.schema.names, "top"])
 
     schema = ", ".join(f"`{name}` {kind}" for name, kind in classes.dtypes)
@@ -81,7 +87,10 @@ def permutations(classes: DataFrame, chosen: dict[int, np.ndarray], near: int) -
 
 
 def _meet(near: int, shared: int, cosine: float):
-    """Counts and links of the vectors of one block with those of another, or of one block."""
+    """Counts and links of the vectors of one block with those of another, or of one block.
+
+    Shared pivots are counted first; the cosine is taken of the pairs that have enough.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rank = table.column("rank")[0].as_py()
@@ -98,17 +107,27 @@ def _meet(near: int, shared: int, cosine: float):
             listed[row, own[: max(1, len(own) - shared + 1)]] = 1
         needed = np.array([min(shared, len(own)) for own in ranks], np.float32)
         before = listed[:, :rank]
-        linked = (member @ member.T >= np.minimum(needed[:, None], needed[None, :])) & (before @ before.T == 0)
-        linked &= points @ points.T >= cosine
-        side, one = table.column("side").to_numpy(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        side = table.column("side").to_numpy()
+        left = np.arange(len(node)) if one else np.flatnonzero(side == 1)
+        right = left if one else np.flatnonzero(side == 0)
+        candidate = member[left] @ member[right].T >= np.minimum(needed[left][:, None], needed[right][None, :])
+        candidate &= before[left] @ before[right].T == 0
         if one:
-            np.fill_diagonal(linked, False)
-        else:
-            linked &= side[:, None] != side[None, :]
-        links = linked @ size
-        label = node
+            candidate = np.triu(candidate, 1)
+        a, b = np.nonzero(candidate)
+        a, b = left[a], right[b]
+        linked = np.zeros(len(a), bool)
+        for at in range(0, len(a), _VERIFIED):
+            own = slice(at, at + _VERIFIED)
+            linked[own] = np.einsum("ij,ij->i", points[a[own]], points[b[own]]) >= cosine
+        a, b = a[linked], b[linked]
+        links = np.bincount(a, size[b], len(node)) + np.bincount(b, size[a], len(node))
+        label = node.copy()
         while True:
-            lower = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+            lower = label.copy()
+            np.minimum.at(lower, a, label[b])
+            np.minimum.at(lower, b, label[a])
             if (lower == label).all():
                 break
             label = lower
