@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+SPACED_WORD = rf"[\x20\x09-\x0D]*{WORD}"
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2
 BLOCK_WORDS = 512
@@ -181,28 +182,33 @@ def schedule(quota: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
 
 
 def taken_words(line: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, source, size, body, start, taken): the words the slots take of each document."""
-    empty = line.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    """(doc_id, source, size, body, start, taken, first_slot): the words the slots take of each
+    document, and the first slot that takes one; null where none with a point does."""
+    empty = line.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("first_slot", F.lit(None).cast("long"))
     first, last = F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}")
     pieces = line.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     # a block is taken whole by all its slots but at most one
     takes = slots.groupBy("source", "block").agg(
-        F.count("*").alias("times"), F.min("words").alias("least"), F.max("words").alias("most")
+        F.count("*").alias("times"), F.min("words").alias("least"), F.max("words").alias("most"), F.min("slot").alias("slot")
     )
-    takes = takes.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "times", "least", "most")
+    takes = takes.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "times", "least", "most", "slot")
     low = F.greatest(F.col("start") - F.col("block") * block_words, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block_words, F.lit(block_words))
     part = lambda words: F.greatest(F.least(high, words) - low, F.lit(0))
     joined = pieces.join(takes, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")), "left")
     words = F.when(F.col("times").isNull(), 0).otherwise((F.col("times") - 1) * part(F.col("most")) + part(F.col("least")))
-    full = joined.groupBy("doc_id", "source", "size", "body", "start").agg(F.sum(words).cast("long").alias("taken"))
+    # the first slot of a block is one that takes it whole, if any does
+    slot = F.min(F.when(part(F.col("most")) > 0, F.col("slot")))
+    full = joined.groupBy("doc_id", "source", "size", "body", "start").agg(
+        F.sum(words).cast("long").alias("taken"), slot.cast("long").alias("first_slot")
+    )
     return full.unionByName(empty.select(*full.columns))
 
 
 def mix_sources(documents: DataFrame, cut, doc="doc_id", source="source", text="text", seed="mix", block_words: int = BLOCK_WORDS):
     """(documents with their taken words, schedule, targets); `cut` writes a frame that is read again.
 
-    The first frame has doc_id, source, size, body, start, source_size, target and taken.
+    The first frame has doc_id, source, size, body, start, source_size, target, taken and first_slot.
     """
     sized = cut(shuffled_line(documents, doc, source, text, seed))
     goals = cut(quotas(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), block_words))
@@ -217,14 +223,16 @@ def mix_sources(documents: DataFrame, cut, doc="doc_id", source="source", text="
 
 def mixed_documents(documents: DataFrame, cut, doc="doc_id", source="source", text="text", chars="n_chars", **options) -> DataFrame:
     """The rows of the mixture with the columns of `documents`: a document once for every time
-    it is taken whole, and its first words where a part is taken."""
+    its blocks are taken whole. In the last pass over a source the blocks end inside one
+    document, which gives its words up to there, with what stands between them."""
     mixed, _, _ = mix_sources(documents, cut, doc, source, text, **options)
     taken = mixed.filter("taken > 0").select(
         F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("body").alias("_body"), F.col("size").alias("_size"), F.col("taken").alias("_taken")
     )
     rows = documents.withColumn("_text_body", F.xxhash64(F.col(text))).dropDuplicates([doc, source, "_text_body"])
     same = F.col(doc).eqNullSafe(F.col("_doc")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_text_body") == F.col("_body"))
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), 1, F.expr("cast(_taken % _size as int)")), " ")
+    spaced = F.regexp_extract_all(F.col(text), F.lit(SPACED_WORD), F.lit(0))
+    part = F.array_join(F.slice(spaced, 1, F.expr("cast(_taken % _size as int)")), "")
     whole = F.expr("cast(_taken div _size as int)")
     texts = F.concat(F.array_repeat(F.col(text), whole), F.when(F.expr("_taken % _size > 0"), F.array(part)).otherwise(F.array().cast("array<string>")))
     out = rows.join(taken, same).withColumn(text, F.explode(texts))

@@ -61,7 +61,7 @@ def op5_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, _, _ = mixing.mix_sources(table(spark, sf_dir, "documents"), cut)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op7_pivot_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,6 +135,10 @@ m{i} as (select part, e, place, floor(sum(x)::double / count(*))::bigint as m
 n{i} as materialized (select part, e, list(m order by place) as x from m{i} group by part, e),
 c{i + 1} as materialized (select * from n{i} union all select c.* from c{i} c anti join n{i} n on c.part = n.part and c.e = n.e),""" for i in range(4))
 
+_COMPONENTS = """e as materialized (select a, b from l union all select b, a from l),
+reach as (select {0} as node, {0} as root from v union select e.b, reach.root from reach join e on reach.node = e.a where reach.root < e.b),
+groups as (select node, min(root) as component_id from reach group by node)"""
+
 ORACLE = {
     "op1_warc_chunks": f"""
 with p as (select page_id, coalesce(html, '') as h, sha1(coalesce(html, '')) as d from pages),
@@ -169,14 +173,57 @@ l as (select *, (sum(source_size) over ()::double * 1.5 - coalesce(sum(lim) over
     / (sum(weight) over () - coalesce(sum(weight) over (order by source_size / weight, n rows between unbounded preceding and 1 preceding), 0)) as level from w),
 g as (select source, source_size, case when lim <= level * weight then lim else
     (select arg_min(level, (source_size / weight, n)) from l where lim > level * weight) * weight end as target from l),
-q as (select *, least(round(target)::bigint, 2 * source_size) as words from g),
+q as (select *, least(round(target)::bigint, 2 * source_size) as words, (source_size + 511) // 512 as blocks from g),
 x as (select d.*, q.source_size, q.target, q.words, coalesce(sum(size) over (partition by d.source order by place, doc_id, size
     rows between unbounded preceding and 1 preceding), 0)::bigint as start
-  from d join q on d.source is not distinct from q.source)
-select doc_id, size, source_size, target,
+  from d join q on d.source is not distinct from q.source),
+y as (select *, words // source_size * blocks + (words % source_size + 511) // 512 as slots from q where source_size > 0),
+z as (select source, blocks, slots, coalesce(sum(slots) over (order by source nulls last rows between unbounded preceding and 1 preceding), 0)
+    / sum(slots) over () as low, sum(slots) over (order by source nulls last rows unbounded preceding) / sum(slots) over () as high from y where slots > 0),
+o as (select range as slot, (range * '0.6180339887498949'::double) % 1::double as point from range((select coalesce(sum(slots), 0)::bigint from y))),
+k as (select z.source, slot, blocks, slots, row_number() over (partition by z.source order by slot) - 1 as rank from o join z on point >= low and point < high),
+b as (select source, rank % blocks as block, min(slot) as slot from k where rank < slots group by source, rank % blocks),
+e as (select x.*, unnest(range(start // 512, (start + size - 1) // 512 + 1)) as block from x where size > 0),
+f as (select e.doc_id, e.source, e.start, min(b.slot) as first_slot from e join b on e.source is not distinct from b.source and e.block = b.block
+  where words >= source_size or greatest(start, e.block * 512) < words group by e.doc_id, e.source, e.start)
+select x.doc_id, size, source_size, target,
   (case when source_size = 0 then 0 else (words // source_size) * size
-    + greatest(least(start + size, words % source_size) - start, 0) end)::bigint as taken
-from x""",
+    + greatest(least(x.start + size, words % source_size) - x.start, 0) end)::bigint as taken, first_slot
+from x left join f on size > 0 and x.doc_id is not distinct from f.doc_id and x.source is not distinct from f.source and x.start = f.start""",
+    "op4_lyndon_groups": """
+with d as materialized (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as materialized (select r, doc_id, i, substr(h, 2 * i + 1, 100) as s from (select *, unnest(range(length(h) // 2 - 49)) as i from d)),
+f as (select s, min(doc_id) as head from w group by s having count(*) > 1),
+c as (select r, i, case when i - lag(i) over (partition by r order by i) <= 50 then 0 else 1 end as fresh
+  from w join f using (s) where head < doc_id),
+n as (select r, i, sum(fresh) over (partition by r order by i) as span from c),
+p as (select r, min(i) as lo, max(i) + 50 as hi from n group by r, span),
+g as (select r, lo, hi, coalesce(lag(hi) over (partition by r order by lo), 0) as before from p),
+k as (select g.r, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' order by lo) as kept, max(hi) as final, sum(hi - lo) as removed, count(*) as spans
+  from g join d using (r) group by g.r)
+select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+  sha256(unhex(case when k.r is null then h else kept || substr(h, 2 * final + 1) end)) as kept_sha256
+from d left join k using (r)""",
+    "op7_pivot_lists": f"""
+with recursive v as materialized (select vec_id, label, embedding::double[] as x from embeddings),
+s as materialized (select * from v where label is not null and len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0
+  and len(list_filter(x, lambda c: c <> 0)) > 0),
+l as materialized (select p.vec_id as a, q.vec_id as b from s p join s q on p.label = q.label and p.vec_id < q.vec_id and len(p.x) = len(q.x)
+  where list_cosine_similarity(p.x, q.x) >= 0.98),
+{_COMPONENTS.format("vec_id")}
+select vec_id, (select count(*) from e where a = vec_id)::bigint as n_links, component_id, vec_id = component_id as kept
+from v join groups on vec_id = node""",
+    "op10_prefix_join": f"""
+with recursive v as materialized (select doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as materialized (select distinct doc_id, array_to_string(w[i + 1:i + 5], ' ') as g
+  from (select *, unnest(range(greatest(len(w) - 4, least(len(w), 1)))) as i from v)),
+n as materialized (select doc_id, count(*) as n from s group by doc_id),
+m as (select p.doc_id as a, q.doc_id as b, count(*) as c from s p join s q on p.g = q.g and p.doc_id < q.doc_id group by p.doc_id, q.doc_id),
+l as materialized (select a, b from m join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 75 * (x.n + y.n - c)),
+{_COMPONENTS.format("doc_id")}
+select v.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id
+from v join groups on v.doc_id = node left join n on v.doc_id = n.doc_id""",
     "op11_lyndon_runs": f"""
 with t as (select {_CRC_TABLE} as steps),
 d as (select row_number() over () as r, doc_id, {_CRC} as h,

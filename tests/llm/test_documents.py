@@ -146,8 +146,28 @@ def test_mixing(spark, texts, cut):
     assert mixing.mix_sources(texts([]), cut)[0].count() == 0
 
 
+def test_another_sequence_gives_other_slots(spark, texts, cut, monkeypatch):
+    rows = {i: sentence(random.Random(i), 5 + i) for i in range(60)}
+    docs = texts(rows, sources={i: "abc"[i % 3] for i in rows})
+
+    def slots():
+        mixed, plan, _ = mixing.mix_sources(docs, cut, block_words=16)
+        plan = plan.collect()
+        found = {r.doc_id: (r.start, r["size"], r.source, r.taken, r.first_slot) for r in mixed.collect()}
+        for start, size, source, taken, slot in found.values():
+            own = [s for s in plan if s.source == source and s.block * 16 < start + size and start < s.block * 16 + s.words]
+            assert taken > 0 or not own
+            assert slot == min((s.slot for s in own if s.slot is not None), default=None)
+        return found
+
+    first = slots()
+    monkeypatch.setattr(mixing, "GOLDEN", 2**0.5 - 1)
+    second = slots()
+    assert {d: f[:4] for d, f in first.items()} == {d: f[:4] for d, f in second.items()} and first != second
+
+
 def test_mixed_documents(spark, texts, cut):
-    rows = {i: sentence(random.Random(i), 10 + i) for i in range(40)}
+    rows = {i: sentence(random.Random(i), 10 + i).replace(" ", "\n \t", 3) for i in range(40)}
     out = mixing.mixed_documents(texts(rows, sources={i: "ab"[i % 2] for i in rows}), cut).collect()
     assert sum(len(brute.words(r.text)) for r in out) == round(1.5 * sum(len(brute.words(t)) for t in rows.values()))
     assert all(rows[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in out)
