@@ -3,11 +3,11 @@
 0. A text that an earlier document has too is covered altogether and stands aside.
 1. Every window of `length` bytes has a key that depends on its bytes alone, and neighbours
    with one key form a run. Only keys that occur in several texts go on.
-2. The strings of runs with one key meet in one task, equal strings once. Those that may
-   share a window with another one are sorted by `suffix.suffix_array`; suffixes that agree
-   in `length` bytes lie next to each other there, and the smallest document of each such
-   group is known. A key with very many different strings is dealt out by the windows
-   themselves.
+2. The strings of runs with one key meet in one task, equal strings once. Their stretches of
+   windows that another string may have are sorted by `suffix.suffix_array`, equal ones once;
+   suffixes that agree in `length` bytes lie next to each other there, and the smallest
+   document of each such group is known. A key with very many different strings is dealt out
+   by the windows themselves.
 3. Every occurrence compares its document with the smallest one of its windows, and the
    bytes of the windows that came earlier are cut out.
 
@@ -33,8 +33,9 @@ from filescape.llm.words import mix, range_hashes, window_hashes
 LENGTH, GRAM = 50, 20
 _LONGEST_RUN = 128
 _CHUNK_KEYS = 1_000_000
-#: Bytes sorted at once, and strings of one key from which its windows are dealt out.
-SORT_BYTES, HOT_STRINGS = 1 << 16, 20_000
+#: Bytes sorted at once, bytes whose windows are compared before, and strings of one key from
+#: which its windows are dealt out.
+SORT_BYTES, MARK_BYTES, HOT_STRINGS = 1 << 16, 1 << 18, 20_000
 _LAST = (1 << 63) - 1
 
 
@@ -283,16 +284,81 @@ def _groups(rows: pa.Table, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     while start < len(todo):
         # whole groups only
         filled = np.cumsum(np.diff(bounds)[todo[start:]])
-        stop = start + max(1, int(np.searchsorted(filled, SORT_BYTES, side="right")))
+        stop = start + max(1, int(np.searchsorted(filled, MARK_BYTES, side="right")))
         while stop < len(todo) and dealt[todo[stop]] == dealt[todo[stop - 1]]:
             stop += 1
-        some = todo[start:stop]
-        owner, lo, hi, least = _smallest(data, bounds, some, low[some], length)
-        own = some[owner]
-        yield _firsts(key[own], content[own], base[own] + lo.astype(np.int32), base[own] + hi.astype(np.int32), least)
+        at, lo, hi, least = _first_windows(data, bounds, todo[start:stop], dealt.view(np.uint64), low, length)
+        yield _firsts(key[at], content[at], base[at] + lo, base[at] + hi, least)
         start = stop
 
 
+def _first_windows(data, bounds, todo, dealt, low, length: int):
+    """(string, lo, hi, low) runs of windows of the strings `todo` with their first document.
+
+    Windows whose hash no other string of the group has belong to their string alone. What is
+    left are stretches of windows; equal ones of a group are sorted once, and where a group
+    has several, the order of their suffixes tells which windows are the same.
+    """
+    size = np.diff(bounds)[todo]
+    begins = np.cumsum(size) - size
+    data = data[np.repeat(bounds[todo] - begins, size) + np.arange(size.sum())]
+    windows = size - length + 1
+    owner = np.repeat(np.arange(len(todo)), windows)
+    at = np.arange(len(owner)) + np.repeat(begins - (np.cumsum(windows) - windows), windows)
+    group = mix(dealt[todo])
+    mark = mix(window_hashes(data, length)[at] ^ group[owner])
+    order = np.argsort(mark, kind="stable")
+    starts = np.flatnonzero(np.append(True, mark[order][1:] != mark[order][:-1]))
+    several = np.minimum.reduceat(owner[order], starts) != np.maximum.reduceat(owner[order], starts)
+    shared = np.empty(len(at), bool)
+    shared[order] = np.repeat(several, np.diff(np.append(starts, len(at))))
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (shared[1:] != shared[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(fresh)
+    count = np.diff(np.append(first, len(at)))
+    who, met = owner[first], shared[first]
+    lo = at[first] - begins[who]
+    alone = (todo[who[~met]], lo[~met], (lo + count)[~met], low[todo[who[~met]]])
+    who, lo, count, begin = who[met], lo[met], count[met], at[first][met]
+    if not len(who):
+        return alone
+    body = mix(range_hashes(data, begin, begin + count + length - 1, fold=False) ^ group[who])
+    _, head, same = np.unique(body, return_index=True, return_inverse=True)
+    place = np.argsort(np.argsort(head))  # different stretches in the order of their groups
+    head, same = np.sort(head), place[same]
+    least = np.full(len(head), _LAST)
+    np.minimum.at(least, same, low[todo[who]])
+    found = _judged(data, begin[head], count[head] + length - 1, dealt[todo[who[head]]], least, length)
+    # every copy of a stretch takes over what was found for it
+    runs_of = np.bincount(found[0], minlength=len(head))
+    many = runs_of[same]
+    copy = np.repeat(np.arange(len(same)), many)
+    run = np.arange(len(copy)) + np.repeat((np.cumsum(runs_of) - runs_of)[same] - (np.cumsum(many) - many), many)
+    copies = (todo[who[copy]], lo[copy] + found[1][run], lo[copy] + found[2][run], found[3][run])
+    return tuple(np.concatenate(pair) for pair in zip(alone, copies))
+
+
+def _judged(data, begin, size, group, low, length: int):
+    """(stretch, lo, hi, low) of different stretches, by stretch; equal groups lie together."""
+    bounds = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    members = np.diff(np.append(bounds, len(group)))
+    lone = bounds[members == 1]
+    found = [(lone, np.zeros(len(lone), np.int64), size[lone] - length + 1, low[lone])]
+    some, held = [], 0
+    several = [(start, start + n) for start, n in zip(bounds.tolist(), members.tolist()) if n > 1]
+    for last, (start, stop) in enumerate(several, 1):
+        some.append(np.arange(start, stop))
+        held += int(size[start:stop].sum())
+        if held >= SORT_BYTES or last == len(several):
+            own = np.concatenate(some)
+            at, lo, hi, least = _smallest(data, begin[own], size[own], low[own], length)
+            found.append((own[at], lo, hi, least))
+            some, held = [], 0
+    joined = [np.concatenate(parts) for parts in zip(*found)]
+    order = np.argsort(joined[0], kind="stable")
+    return [column[order] for column in joined]
+
+
 def _firsts(key, content, lo, hi, low) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(key), pa.array(content), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(low)],
@@ -331,16 +397,15 @@ def _may_share(data, bounds, dealt, key, length: int, gram: int) -> np.ndarray:
     return found
 
 
-def _smallest(data, bounds, some, low, length: int):
-    """(string, lo, hi, low) runs of windows of the strings `some` with their first document."""
-    sizes = np.diff(bounds)[some]
+def _smallest(data, begin, sizes, low, length: int):
+    """(string, lo, hi, low) runs of windows of the strings at `begin` with their first document."""
     ends = np.cumsum(sizes + 1)
     symbols = np.zeros(ends[-1], np.int64)
     inside = np.ones(len(symbols), bool)
     inside[ends - 1] = False
-    source = np.repeat(bounds[some] - (ends - sizes - 1), sizes) + np.flatnonzero(inside)
+    source = np.repeat(begin - (ends - sizes - 1), sizes) + np.flatnonzero(inside)
     symbols[inside] = data[source].astype(np.int64) + 1
-    owner = np.repeat(np.arange(len(some)), sizes + 1)
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
     whole = np.arange(len(symbols)) + length <= (ends - 1)[owner]
     order = suffix_array(symbols)
     order = order[whole[order]]
