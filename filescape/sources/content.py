@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from filescape.functions.content import without_cr
 from filescape.functions.regex import check_pattern, line_matches
-from filescape.operators.grams import GRAM, distinct_grams, gram_candidates
+from filescape.operators.grams import GRAM, SEGMENTS, distinct_grams, gram_candidates, segments
 from filescape.operators.grep import grep_candidates, in_file_order
 from filescape.operators.scope import ext_filter
 from filescape.operators.skew import HOT_ROWS, attach
@@ -313,9 +313,9 @@ def file_lines(
 def catalog_grams(
     files: DataFrame, skip_errors: bool = True, tasks: int | None = None, range_bytes: int = _RANGE_BYTES
 ) -> DataFrame:
-    """(path, gram) of the files of a catalog, read by byte ranges; see `operators.grams`.
+    """The gram segments of the files of a catalog, read by byte ranges; see `operators.grams`.
 
-    A file of several ranges has its common grams once for each.
+    The ranges of a file follow each other in one task, up to `_TASK_BYTES` of them.
     """
     chunk = _CHUNK
 
@@ -329,26 +329,23 @@ def catalog_grams(
                 tail = (tail + block)[-(GRAM - 1) :]
                 left = None if left is None else left - len(block)
 
-    def read(batches):
+    def found(batches):
         import numpy as np
-        import pyarrow as pa
 
         for batch in batches:
             for path, start, stop in zip(*(column.to_pylist() for column in batch.columns)):
-                found = np.zeros(0, np.int32)
                 try:
-                    for piece in pieces(path, start, stop):
-                        found = np.union1d(found, distinct_grams(piece)).astype(np.int32)
+                    grams = [distinct_grams(piece) for piece in pieces(path, start, stop)]
                 except OSError:
                     if not skip_errors:
                         raise
                     continue
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(found), pa.string()), pa.array(found, pa.int32())], ["path", "gram"]
-                )
+                own = grams[0] if len(grams) == 1 else np.unique(np.concatenate([np.zeros(0, np.int32), *grams]))
+                yield path, own, not start and stop < 0
 
-    ranges = _ranges(files, range_bytes).repartition(_task_count(files, tasks))
-    return ranges.mapInArrow(read, "path string, gram int")
+    far = F.floor(F.col("start") / F.lit(_TASK_BYTES))
+    ranges = _ranges(files, range_bytes).repartition(_task_count(files, tasks), "path", far)
+    return ranges.mapInArrow(lambda batches: segments(found(batches)), SEGMENTS)
 
 
 def grep_catalog(
