@@ -18,6 +18,9 @@ from filescape.operators.ranking import global_rank
 from filescape.operators.scope import with_types
 from filescape.session import cut
 
+#: Files whose directories one task adds up, and the tasks that share a directory of very many.
+TASK_ROWS, _PIECES = 250_000, 64
+
 
 def _slashes(path) -> F.Column:
     return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
@@ -48,14 +51,22 @@ def dirs_of(files: DataFrame, root: str, include_all: bool = False) -> DataFrame
     return dirs.withColumn("name", base_name("path"))
 
 
-def dir_sizes(files: DataFrame, root: str, dirs: DataFrame | None = None) -> DataFrame:
+def dir_sizes(
+    files: DataFrame, root: str, dirs: DataFrame | None = None, task_rows: int = TASK_ROWS
+) -> DataFrame:
     """Bytes and files below each directory at any depth.
 
     With `dirs` (a `path` column), directories without files are listed with 0. Files are
-    first added up per directory, so only directories are multiplied by their depth.
+    first added up per directory, so only directories are multiplied by their depth. For that
+    they are dealt into tasks of about `task_rows` files, so the directories a task holds do
+    not grow with the listing; those of one directory first meet in up to `_PIECES` tasks.
     """
-    own = files.groupBy(parent_path("path").alias("path")).agg(
-        F.sum("size").alias("size"), F.count("*").alias("files")
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-files.count() // task_rows))
+    piece = F.pmod(F.xxhash64("path"), F.lit(_PIECES))
+    dealt = files.select(parent_path("path").alias("path"), "size", piece.alias("_piece")).repartition(tasks, "path", "_piece")
+    pieces = dealt.groupBy("path", "_piece").agg(F.sum("size").alias("size"), F.count("*").alias("files"))
+    own = pieces.drop("_piece").repartition(tasks, "path").groupBy("path").agg(
+        F.sum("size").alias("size"), F.sum("files").alias("files")
     )
     # a name of its own below each directory makes the directory an ancestor of that
     below = own.withColumn("path", F.concat(F.when(F.col("path") == "/", "").otherwise(F.col("path")), F.lit("/")))

@@ -124,3 +124,14 @@ def test_tree_listing(spark):
         ("/root/sub", 1, True, "sub/", "", "5 B", ""),
         ("/root/sub/b.txt", 2, True, "b.txt", "Text document", "5 B", "D1"),
     ]
+
+
+def test_largest_task_of_dir_sizes(spark):
+    """Directories are added up in tasks of so many files, whatever the listing's size."""
+    files = spark.range(400).selectExpr("concat('/r/', id % 7, '/', id % 90, '/f', id) as path", "id as size")
+    sized = tree.dir_sizes(files, "/r", task_rows=10)
+    assert "REPARTITION_BY_NUM" in (plan := sized._jdf.queryExecution().executedPlan().toString()) and ", 40)" in plan
+    found = {r["path"]: (r["size"], r["files"]) for r in sized.collect()}
+    assert found["/r"] == (sum(range(400)), 400)
+    assert found["/r/3"] == (sum(range(3, 400, 7)), len(range(3, 400, 7)))
+    assert sum(files for path, (_, files) in found.items() if path.count("/") == 3) == 400
