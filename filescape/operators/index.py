@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filescape.functions.names import fold, fold_text, name_tokens
-from filescape.operators.ranking import global_rank, rank_within, sorted_once
+from filescape.operators.ranking import global_rank, sorted_once
 from filescape.operators.skew import HOT_ROWS
 from filescape.session import cut
 
@@ -16,6 +16,8 @@ POSTINGS_PER_BLOCK = 10_000
 #: Blocks of a token that share a slot; a token in more files goes on in further slots.
 BLOCKS_PER_SLOT = 16
 INDEX_BUCKETS = 64
+#: Postings of a token that one task collects.
+HOT_POSTINGS = 10_000
 #: Sets of query tokens a task tests on the postings of one token.
 HOT_SETS = 1000
 #: Sketches of 2^16 registers: a standard error of about 0.4 %.
@@ -111,19 +113,16 @@ class StoredIndex:
 
         def save(rows: DataFrame, part: str, key: str, *order: str) -> None:
             placed = rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key, *order)
-            placed.option("path", f"{path}/{part}").saveAsTable(f"{name}_{part}")
+            placed.option("path", f"{path}/{part}").option("compression", "zstd").saveAsTable(f"{name}_{part}")
 
         listed = _identified(files).select("id", "path", "name")
         save(global_rank(listed, ["path", "id"], "number"), "files", "number")
         spark = files.sparkSession
         numbered = spark.table(f"{name}_files")
         postings = numbered.select(F.explode(F.array_distinct(name_tokens("name"))).alias("token"), "number")
-        ranked = cut(rank_within(postings, ["token"], ["number"], "_rank"))
-        counts = ranked.groupBy("token").agg(F.max("_rank").alias("files"))
+        counts = cut(postings.groupBy("token").agg(F.count("*").alias("files")))
         save(counts.withColumn("per_slot", F.lit(block_size * per_slot).cast("bigint")), "tokens", "token")
-        block = F.floor((F.col("_rank") - 1) / F.lit(block_size)).cast("bigint")
-        numbers = F.sort_array(F.collect_list("number"))
-        grouped = ranked.groupBy("token", block.alias("block")).agg(numbers.alias("_numbers"))
+        grouped = _blocked(postings, counts, "number", block_size).withColumnRenamed("items", "_numbers")
         offsets = F.transform("_numbers", lambda number: number - F.col("_numbers")[0])
         blocks = grouped.select(
             _slot(F.col("token"), F.floor(F.col("block") / F.lit(per_slot)).cast("bigint")).alias("slot"),
@@ -187,19 +186,106 @@ def _slot(token: Column, part: Column) -> Column:
     return F.concat(token, F.lit("/"), part.cast("string"))
 
 
-def posting_blocks(index: DataFrame, block_size: int = POSTINGS_PER_BLOCK) -> DataFrame:
+def posting_blocks(
+    index: DataFrame, block_size: int = POSTINGS_PER_BLOCK, hot_postings: int = HOT_POSTINGS
+) -> DataFrame:
     """Posting lists by path, in numbered blocks of at most `block_size` paths.
 
     A token found in most names gets many blocks instead of one list without bound.
     """
-    ranked = rank_within(index.select("token", "path", "id"), ["token"], ["path", "id"], "_rank")
-    block = F.floor((F.col("_rank") - 1) / F.lit(block_size)).cast("bigint")
-    listed = F.sort_array(F.collect_list(F.struct("_rank", "path")))
-    return (
-        ranked.groupBy("token", block.alias("block"))
-        .agg(listed.alias("_listed"))
-        .select("token", "block", F.col("_listed.path").alias("paths"))
+    postings = index.select("token", "path")
+    counts = postings.groupBy("token").agg(F.count("*").alias("files"))
+    return _blocked(postings, counts, "path", block_size, hot_postings).withColumnRenamed("items", "paths")
+
+
+def _blocked(
+    postings: DataFrame, counts: DataFrame, value: str, block_size: int, hot_postings: int = HOT_POSTINGS
+) -> DataFrame:
+    """(token, block, items): the values of each token in order, `block_size` to a block.
+
+    `counts` has the postings of each token in `files`. The list of a token with up to
+    `hot_postings` is collected in one task and cut. The others are too few to matter, and
+    their postings are dealt by ranges of the value: the blocks of a token are collected
+    where its values lie in order, and only those that reach into the next range meet again.
+    """
+    hot = cut(counts.where(F.col("files") > hot_postings).select("token", F.col("files").alias("_files")))
+    cold = (
+        postings.join(F.broadcast(hot), "token", "left_anti").repartition("token")
+        .groupBy("token").agg(F.sort_array(F.collect_list(F.struct(value)))[value].alias("_all"))
+    )
+    starts = F.sequence(F.lit(0), F.size("_all") - 1, F.lit(block_size))
+    cold = cold.select("token", "_all", F.posexplode(starts).alias("block", "_start")).select(
+        "token", F.col("block").cast("bigint").alias("block"), F.slice("_all", F.col("_start") + 1, block_size).alias("items")
+    )
+    if hot.isEmpty():
+        return cold
+    ranges = cut(
+        postings.join(F.broadcast(hot.select("token")), "token").repartitionByRange(value)
+        .sortWithinPartitions("token", value).withColumn("_seq", F.monotonically_increasing_id())
+        .withColumn("_range", F.shiftright("_seq", 33))
+    )
+    before = Window.partitionBy("token").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.groupBy("token", "_range").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first")).select(
+        "token", "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
+    # at most tokens with many postings times ranges; with its size known it is broadcast if small
+    placed = cut(placed.join(F.broadcast(hot), "token"))
+    ranked = ranges.join(placed, ["token", "_range"]).select("token", (F.col("_seq") + F.col("_shift")).alias("_at"), "_files", value)
+    kind = postings.schema[value].dataType.simpleString()
+    pieces = cut(ranked.mapInArrow(_gather(block_size), f"token string, block bigint, _at bigint, whole boolean, items array<{kind}>"))
+    parts = F.sort_array(F.collect_list(F.struct("_at", "items")))
+    met = pieces.where("not whole").groupBy("token", "block").agg(F.flatten(parts["items"]).alias("items"))
+    return cold.unionByName(pieces.where("whole").select("token", "block", "items")).unionByName(met)
+
+
+def _gather(block_size: int):
+    """Task function over rows (token, place, files of the token, value): neighbours of a block
+    as one list, marked as whole if nothing of the block is missing."""
+
+    def gather(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["token", "block", "_at", "whole", "items"]
+
+        def listed(table, closed):
+            """Lists of the rows, and the rows of the last one unless it is closed."""
+            if not table.num_rows:
+                return None, table
+            token = table.column(0).combine_chunks().dictionary_encode()
+            token = token.indices.to_numpy(zero_copy_only=False)
+            at = table.column(1).to_numpy()
+            block = at // block_size
+            new = (np.diff(token) != 0) | (np.diff(block) != 0) | (np.diff(at) != 1)
+            cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [table.num_rows]])
+            if not closed:
+                cuts, rest = cuts[:-1], table.slice(cuts[-2])
+            else:
+                rest = table.slice(table.num_rows)
+            if len(cuts) < 2:
+                return None, rest
+            first, size = cuts[:-1], np.diff(cuts)
+            files = table.column(2).to_numpy()[first]
+            whole = (at[first] % block_size == 0) & ((size == block_size) | (at[first] + size == files))
+            values = table.column(3).slice(0, cuts[-1]).combine_chunks()
+            columns = [
+                table.column(0).take(pa.array(first)).combine_chunks(), pa.array(block[first]), pa.array(at[first]),
+                pa.array(whole), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names), rest
+
+        left = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            found, left = listed(table if left is None else pa.concat_tables([left, table]), False)
+            if found is not None:
+                yield found
+        if left is not None:
+            found, _ = listed(left, True)
+            if found is not None:
+                yield found
+
+    return gather
 
 
 def _has_term(name: Column, term: str) -> Column:

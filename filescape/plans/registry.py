@@ -195,7 +195,8 @@ def live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, label: str, write: Callable[[str], None]) -> str:
-    path = shared_path(spark, label)
+    # in a folder of its own, so that what a sink writes next to the rows is released with them
+    path = f"{shared_path(spark, label)}/rows"
     write(path)
     return path
 
@@ -263,7 +264,9 @@ def _index_on_disk(spark: SparkSession, sf_dir: str) -> str:
     files = views.lake_files(spark, sf_dir)
     postings = index.name_index(files)
     return _written(
-        spark, "index", lambda p: writers.write_index_json(postings, p, block_size=POSTINGS_BLOCK, files=files)
+        spark,
+        "index",
+        lambda p: writers.write_index_json(postings, p, block_size=POSTINGS_BLOCK, files=files, compression="gzip"),
     )
 
 

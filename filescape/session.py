@@ -66,7 +66,7 @@ def cut(df: DataFrame) -> DataFrame:
     before = spark.conf.get(_FILE_CLEANUP, None)
     spark.conf.set(_FILE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
     finally:
         if before is None:
             spark.conf.unset(_FILE_CLEANUP)

@@ -16,13 +16,14 @@ FILES_PER_DOCUMENT = 10_000
 
 
 def write_output(
-    df: DataFrame, path: str, format: str = "json", mode: str = "errorifexists"
+    df: DataFrame, path: str, format: str = "json", mode: str = "errorifexists", **options: str
 ) -> None:
-    """Write a result as json, parquet, csv or text. Bad UTF-8 is replaced in json."""
+    """Write a result as json, parquet, csv or text. Bad UTF-8 is replaced in json. The
+    `options` are those of the format, such as `compression`."""
     if format == "json":
         text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
         df = df.withColumns({name: F.make_valid_utf8(name) for name in text})
-    df.write.mode(mode).format(format).save(path)
+    df.write.mode(mode).format(format).options(**options).save(path)
 
 
 def _documents(
@@ -90,11 +91,11 @@ def write_patterns_json(patterns: DataFrame, path: str, mode: str = "errorifexis
     write_output(pattern_documents(patterns), path, "json", mode)
 
 
-def _write_counted(df: DataFrame, path: str, mode: str, more: dict[str, int], **counts: Column) -> None:
+def _write_counted(df: DataFrame, path: str, mode: str, more: dict[str, int], compression: str = "none", **counts: Column) -> None:
     """Write `df` as json, and next to it, in `<path>_stats`, one row of figures: `more`, and
     `counts`, which are taken in the same pass."""
     seen = Observation()
-    write_output(df.observe(seen, *[value.alias(name) for name, value in counts.items()]), path, "json", mode)
+    write_output(df.observe(seen, *[value.alias(name) for name, value in counts.items()]), path, "json", mode, compression=compression)
     figures = {**more, **{name: seen.get[name] or 0 for name in counts}}
     schema = ", ".join(f"{name} bigint" for name in figures)
     stats = df.sparkSession.createDataFrame([tuple(figures.values())], schema)
@@ -107,6 +108,7 @@ def write_index_json(
     mode: str = "errorifexists",
     block_size: int = POSTINGS_PER_BLOCK,
     files: DataFrame | None = None,
+    compression: str = "none",
 ) -> None:
     """{token, block, paths} per block of a posting list, and the stats {files, tokens,
     postings}. Files without tokens count too, where `files` are given."""
@@ -116,6 +118,7 @@ def write_index_json(
         path,
         mode,
         {"files": indexed.first()[0]},
+        compression,
         tokens=F.count_if(F.col("block") == 0),
         postings=F.sum(F.size("paths").cast("bigint")),
     )

@@ -144,3 +144,17 @@ def test_letters_fold_one_by_one(spark):
     files = files_of(spark, "/x/\u0130stanbul.txt", "/x/\u039f\u0394\u039f\u03a3\u0391.txt")
     assert found(index.name_search(files, "istanbul")) == ["/x/\u0130stanbul.txt"]
     assert found(scope.name_contains(files, "\u039f\u0394\u039f\u03a3")) == ["/x/\u039f\u0394\u039f\u03a3\u0391.txt"]
+
+
+def test_blocks_of_frequent_tokens_are_not_shuffled_whole(spark):
+    """Frequent and rare tokens give the same blocks; null and equal paths stay."""
+    paths = [f"/d{i % 13}/{'hot' if i % 3 else 'cold'} n{i % 40}.txt" for i in range(700)]
+    rows = [(p, p.rsplit("/", 1)[-1]) for p in paths] + [(None, "hot x.txt")] * 2
+    postings = index.name_index(spark.createDataFrame(rows, "path string, name string"))
+    lists = {}
+    for name in {t for _, n in rows for t in index.query_terms(n)}:
+        own = sorted((p for p, n in rows if name in index.query_terms(n)), key=lambda p: (p is not None, p or ""))
+        lists |= {(name, at // 30): own[at : at + 30] for at in range(0, len(own), 30)}
+    for hot in (5, 100, 10_000):
+        blocks = index.posting_blocks(postings, 30, hot_postings=hot).collect()
+        assert {(b["token"], b["block"]): b["paths"] for b in blocks} == lists and len(blocks) == len(lists)
