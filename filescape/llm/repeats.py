@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from filescape.llm.suffix import suffix_array
 from filescape.llm.tables import bytes_of, slices, tidied
 from filescape.llm.words import mix, range_hashes, window_hashes
+from filescape.session import free
 
 LENGTH, GRAM = 50, 20
 _LONGEST_RUN = 128
@@ -171,12 +172,12 @@ def texts_of(documents: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def occurrences(documents: DataFrame, firsts: DataFrame, shared: DataFrame, doc: str, text: str, length: int, gram: int) -> DataFrame:
-    """(doc, body, start, windows, key, content, string): runs whose key is shared, of the
+    """(doc, body, start, windows, key, content, string, last): runs whose key is shared, of the
     first document of each text, as listed in `firsts` (doc, body).
 
     `body` tells texts of one id apart, `content` is a hash of the run's bytes, and `string`
-    holds the bytes where they are the first of their content in a run of documents, with
-    the smallest document there as `low`.
+    holds the bytes where they are the first of their content in a run of documents, whose
+    largest document with that content is `last`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,20 +198,24 @@ def occurrences(documents: DataFrame, firsts: DataFrame, shared: DataFrame, doc:
                 first[1:] = (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])
                 told = np.zeros(len(order), bool)
                 told[order[first]] = True
+                last = place.copy()
+                if len(order):
+                    last[order[first]] = np.maximum.reduceat(place[order], np.flatnonzero(first))
                 raw = data.tobytes()
                 strings = [raw[a:b] if t else None for a, b, t in zip(start.tolist(), (start + size + length - 1).tolist(), told.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(place), pa.array(part.column("body").to_numpy()[row]), pa.array((start - bounds[row]).astype(np.int64)),
                         pa.array(size.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), pa.array(strings, pa.binary()),
+                        pa.array(last, mask=~told),
                     ],
-                    ["doc", "body", "start", "windows", "key", "content", "string"],
+                    ["doc", "body", "start", "windows", "key", "content", "string", "last"],
                 )
 
     texts = documents.select(_order(doc).alias("doc"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
     keys = shared.groupBy("body").agg(F.collect_set("key").alias("keys"))
     wanted = firsts.select("doc", "body").join(keys, "body")
-    schema = "doc bigint, body bigint, start bigint, windows int, key bigint, content bigint, string binary"
+    schema = "doc bigint, body bigint, start bigint, windows int, key bigint, content bigint, string binary, last bigint"
     return texts.join(wanted, ["doc", "body"]).mapInArrow(tidied(run), schema)
 
 
@@ -222,11 +227,11 @@ def _windows(length: int):
                 pieces = [string[i : i + length] for i in range(len(string) - length + 1)]
                 count = len(pieces)
                 dealt = [int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "big", signed=True) for piece in pieces]
-                same = {name: [batch.column(name)[at].as_py()] * count for name in ("key", "content", "low")}
+                same = {name: [batch.column(name)[at].as_py()] * count for name in ("key", "content", "low", "last")}
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(dealt, pa.int64()), pa.array(same["key"], pa.int64()), pa.array(same["content"], pa.int64()),
-                     pa.array(list(range(count)), pa.int32()), pa.array(same["low"], pa.int64()), pa.array(pieces, pa.binary())],
-                    ["dealt", "key", "content", "base", "low", "string"],
+                     pa.array(list(range(count)), pa.int32()), pa.array(same["low"], pa.int64()), pa.array(same["last"], pa.int64()), pa.array(pieces, pa.binary())],
+                    ["dealt", "key", "content", "base", "low", "last", "string"],
                 )
 
     return run
@@ -235,10 +240,12 @@ def _windows(length: int):
 def first_documents(strings: DataFrame, length: int, gram: int, hot_strings: int = HOT_STRINGS) -> DataFrame:
     """(key, content, lo, hi, low): the windows lo..hi-1 of a content start first in document `low`.
 
-    `strings` has key, content, low and string.
+    `strings` has key, content, low, last and string: the smallest and the largest document
+    known to have the content. Windows that start in no document before the largest one with
+    their content have nothing to remove and are left out.
     """
-    schema = "dealt bigint, key bigint, content bigint, base int, low bigint, string binary"
-    plain = strings.select(F.col("key").alias("dealt"), "key", "content", F.lit(0).alias("base"), "low", "string")
+    schema = "dealt bigint, key bigint, content bigint, base int, low bigint, last bigint, string binary"
+    plain = strings.select(F.col("key").alias("dealt"), "key", "content", F.lit(0).alias("base"), "low", "last", "string")
     hot = strings.groupBy("key").count().filter(F.col("count") > hot_strings).select("key")
     if not hot.isEmpty():
         split = plain.join(hot, "key", "left_semi").select(*plain.columns).mapInArrow(_windows(length), schema)
@@ -265,18 +272,18 @@ def _sort_strings(length: int, gram: int):
 
 
 def _groups(rows: pa.Table, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    names = ("dealt", "key", "content", "base", "low")
-    dealt, key, content, base, low = (rows.column(name).to_numpy() for name in names)
+    names = ("dealt", "key", "content", "base", "low", "last")
+    dealt, key, content, base, low, last = (rows.column(name).to_numpy() for name in names)
     fresh = np.ones(len(key), bool)
     fresh[1:] = (dealt[1:] != dealt[:-1]) | (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (base[1:] != base[:-1])
     at = np.flatnonzero(fresh)
-    low = np.minimum.reduceat(low, at)
+    low, last = np.minimum.reduceat(low, at), np.maximum.reduceat(last, at)
     strings = rows.column("string").combine_chunks().take(pa.array(at))
     strings = strings.combine_chunks() if isinstance(strings, pa.ChunkedArray) else strings
     dealt, key, content, base = dealt[at], key[at], content[at], base[at]
     data, bounds = bytes_of(strings)
     mates = _may_share(data, bounds, dealt, key.view(np.uint64), length, gram)
-    alone = np.flatnonzero(~mates)
+    alone = np.flatnonzero(~mates & (low < last))
     size = (np.diff(bounds) - length + 1).astype(np.int32)
     yield _firsts(key[alone], content[alone], base[alone], base[alone] + size[alone], low[alone])
     todo = np.flatnonzero(mates)
@@ -288,6 +295,8 @@ def _groups(rows: pa.Table, length: int, gram: int) -> Iterator[pa.RecordBatch]:
         while stop < len(todo) and dealt[todo[stop]] == dealt[todo[stop - 1]]:
             stop += 1
         at, lo, hi, least = _first_windows(data, bounds, todo[start:stop], dealt.view(np.uint64), low, length)
+        some = least < last[at]
+        at, lo, hi, least = at[some], lo[some], hi[some], least[some]
         yield _firsts(key[at], content[at], base[at] + lo, base[at] + hi, least)
         start = stop
 
@@ -434,13 +443,20 @@ def repeated_spans(documents: DataFrame, cut, doc="doc_id", text="text", length:
     heads = cut(bodies.groupBy("body", "sum").agg(F.min("doc").alias("head")))
     shared = cut(shared_keys(window_keys(documents, doc, text, length, gram)))
     found = cut(occurrences(documents, heads.select(F.col("head").alias("doc"), "body"), shared, doc, text, length, gram))
-    strings = found.filter("string is not null").select("key", "content", F.col("doc").alias("low"), "string")
-    earlier = found.drop("string").join(first_documents(strings, length, gram, hot_strings), ["key", "content"]).filter("low < doc")
-    spans = earlier.select("doc", "body", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + (length - 1)).alias("hi")).alias("span"))
+    free(shared)
+    strings = found.filter("string is not null").select("key", "content", F.col("doc").alias("low"), "last", "string")
+    # written, so that the dealt strings are gone before the occurrences are dealt
+    firsts = cut(first_documents(strings, length, gram, hot_strings))
+    earlier = found.drop("string", "last").join(firsts, ["key", "content"]).filter("low < doc")
+    spans = earlier.select("doc", "body", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + (length - 1)).alias("hi"))
     # a copy of an earlier text is covered altogether
     copies = bodies.join(heads, ["body", "sum"]).filter((F.col("head") < F.col("doc")) & (F.col("bytes") >= length))
-    whole = copies.select("doc", "body", F.struct(F.lit(0).cast("long").alias("lo"), F.col("bytes").alias("hi")).alias("span"))
-    return cut(spans.unionAll(whole).groupBy("doc", "body").agg(F.collect_list("span").alias("spans")))
+    whole = copies.select("doc", "body", F.lit(0).cast("long").alias("lo"), F.col("bytes").alias("hi"))
+    # dealt as plain rows: lists begun before they are dealt hold a span or two and take far more room
+    dealt = spans.unionAll(whole).repartition("doc", "body")
+    spans = cut(dealt.groupBy("doc", "body").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
+    free(bodies, heads, found, firsts)
+    return spans
 
 
 def without_repeats(documents: DataFrame, cut, doc="doc_id", text="text", length: int = LENGTH, gram: int = GRAM,

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from filescape import session
 from filescape.llm import jaccard, language, mixing, packing, repeats, seating, wand
 from filescape.llm import queries
 from filescape.llm.suffix import suffix_array
@@ -106,6 +107,23 @@ def test_repeats_null_and_equal_ids(spark, texts, cut):
     assert repeats.without_repeats(texts([]), cut).count() == 0
 
 
+def test_repeats_leave_one_table_and_pass_on_what_counts(spark, texts, cut):
+    tables = []
+
+    def counted(df):
+        tables.append(cut(df))
+        return tables[-1]
+
+    line = "a passage of well over fifty bytes that two of the documents hold. "
+    rows = {1: line + "first one", 2: "another start " + line, 3: line + "first one"}
+    spans = repeats.repeated_spans(texts(rows), counted)
+    assert {r.doc for r in spans.collect()} == {2, 3}
+    assert [t for t in tables if t in session._tables] == [spans]
+
+    strings = spark.createDataFrame([(1, 11, 5, 9, b"x" * 60), (2, 12, 6, 6, b"y" * 60)], "key long, content long, low long, last long, string binary")
+    assert {r.content for r in repeats.first_documents(strings, 50, 20).collect()} == {11}
+
+
 def test_repeats_keep_whole_characters(spark, texts, cut):
     rows = {0: "ä" * 40 + "é", 1: "x" + "ä" * 40 + "é" + "ö"}
     kept = {r.doc_id: r.kept_text for r in repeats.without_repeats(texts(rows), cut, keep=("source", "score")).collect()}
