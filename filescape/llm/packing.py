@@ -11,7 +11,8 @@ are cut wherever a sequence ends. Rows with the same id are packed as documents
 own; an empty table gives no rows. Other columns are not looked at.
 
 Words are encoded once per task process and reused: the tokenizer splits at white space
-anyway, so the ids of a text are those of its words.
+anyway, so the ids of a text are those of its words. Words of letters are encoded many at a
+time where the last id of every word can be told from the others.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ END = 2
 DIMENSIONS, BITS, VECTOR = 3, 16, 256
 PARTITION_TOKENS = 8_000_000
 _KNOWN_WORDS = 1_500_000
-_TAIL = np.isin(np.arange(256), list(b".,;:!?"))
+_TAIL = np.isin(np.arange(256), [c for c in range(33, 127) if chr(c) != "'" and not chr(c).isalnum()])
 
 
 class Encoder:
@@ -46,7 +47,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as file:
-            self.marks = [token["content"].encode() for token in json.load(file).get("added_tokens", [])]
+            parts = json.load(file)
+        self.marks = [token["content"].encode() for token in parts.get("added_tokens", [])]
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.last = None
+        if suffix:
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[place for token, place in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.separator = self.marks[0].decode() if self.marks else None
         self.separator_id = self.tokenizer.token_to_id(self.separator) if self.separator else None
         self.forget()
@@ -64,7 +71,7 @@ class Encoder:
             return self._plain(texts)
         starts, ends, counts = _split_tails(data, starts, ends, counts)
         keys = range_hashes(data, starts, ends)
-        distinct, at = np.unique(keys, return_index=True)
+        distinct, at, own = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys):
             place = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
             fresh = self.keys[place] != distinct
@@ -72,7 +79,7 @@ class Encoder:
             fresh = np.ones(len(distinct), bool)
         if fresh.any():
             self._learn(data, starts[at[fresh]], ends[at[fresh]], distinct[fresh])
-        place = np.searchsorted(self.keys, keys)
+        place = np.searchsorted(self.keys, distinct)[own]
         sizes = self.count[place]
         text = np.repeat(np.arange(len(counts)), counts)
         flat = self.ids[_runs(self.first[place], sizes)]
@@ -88,17 +95,13 @@ class Encoder:
 
     def _learn(self, data, starts, ends, keys) -> None:
         raw = data.tobytes()
-        words = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist())]
-        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
-        between = f" {self.separator} "
-        ids = [
-            np.array(one.ids, np.uint32)
-            for one in self.tokenizer.encode_batch_fast([between.join(g) + between for g in groups], add_special_tokens=False)
-        ]
-        flat = np.concatenate(ids)
-        stops = np.flatnonzero(flat == self.separator_id)
-        first = np.concatenate([[0], stops[:-1] + 1]) + len(self.ids)
-        count = np.diff(np.concatenate([[-1], stops])) - 1
+        plain = _of_letters(data, starts, ends)
+        order = np.argsort(~plain, kind="stable")
+        words = [raw[a:b].decode() for a, b in zip(starts[order].tolist(), ends[order].tolist())]
+        keys, known = keys[order], int(plain.sum())
+        found = [self._spaced(words[:known]), self._separated(words[known:])]
+        flat, count = (np.concatenate(pair) for pair in zip(*found))
+        first = np.cumsum(count) - count + len(self.ids)
         merged = np.concatenate([self.keys, keys])
         order = np.argsort(merged, kind="stable")
         self.keys = merged[order]
@@ -106,18 +109,53 @@ class Encoder:
         self.count = np.concatenate([self.count, count])[order]
         self.ids = np.concatenate([self.ids, flat])
 
+    def _together(self, words: list[str], between: str) -> np.ndarray:
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        found = self.tokenizer.encode_batch_fast([between.join(g) + between for g in groups], add_special_tokens=False)
+        return np.concatenate([*(np.array(one.ids, np.uint32) for one in found), np.zeros(0, np.uint32)])
+
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per word) of words that end with the only id that may end a word."""
+        if self.last is None:
+            return self._separated(words)
+        flat = self._together(words, " ")
+        stops = np.flatnonzero(self.last[flat])
+        if len(stops) != len(words):  # the tokenizer takes words of letters apart
+            return self._separated(words)
+        return flat, np.diff(stops, prepend=-1)
+
+    def _separated(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat = self._together(words, f" {self.separator} ")
+        ends = flat == self.separator_id
+        return flat[~ends], np.diff(np.flatnonzero(ends), prepend=-1) - 1
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters from A to ÿ."""
+    found = ((data | 32) >= 97) & ((data | 32) <= 122)
+    if len(data):
+        pair = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        found[:-1] |= pair
+        found[1:] |= pair
+    return found
+
+
+def _of_letters(data, starts, ends) -> np.ndarray:
+    others = np.concatenate([[0], np.cumsum(~_letters(data))])
+    return others[ends] == others[starts]
+
 
 def _split_tails(data, starts, ends, counts):
-    """Cut the . , ; : ! ? at the end of a word off where an ASCII letter or digit precedes
-    them: there the tokenizer always splits, and far fewer different words remain."""
+    """Cut the ASCII marks other than ' at the end of a word off where a letter or an ASCII
+    digit precedes them: there the tokenizer always splits, and far fewer different words
+    remain."""
     cut = ends.copy()
     inside = np.flatnonzero(_TAIL[data[np.maximum(ends - 1, 0)]]) if len(ends) else np.zeros(0, np.int64)
     while len(inside):
         cut[inside] -= 1
         inside = inside[(cut[inside] > starts[inside])]
         inside = inside[_TAIL[data[cut[inside] - 1]]]
-    before = data[np.maximum(cut - 1, 0)] if len(ends) else np.zeros(0, np.uint8)
-    plain = ((before | 32) >= 97) & ((before | 32) <= 122) | (before >= 48) & (before <= 57)
+    plain = (_letters(data) | (data >= 48) & (data <= 57))[np.maximum(cut - 1, 0)] if len(ends) else np.zeros(0, bool)
     split = (cut < ends) & (cut > starts) & plain
     pieces = 1 + split.astype(np.int64)
     at = np.cumsum(pieces) - pieces

@@ -107,6 +107,23 @@ def test_repeats_null_and_equal_ids(spark, texts, cut):
     assert repeats.without_repeats(texts([]), cut).count() == 0
 
 
+def test_words_of_letters_are_encoded_together():
+    encoder = packing.Encoder(queries.tokenizer())
+    rng = random.Random(7)
+    letters = "abZÀéßÿ×÷'’.,!&*<>|_-0٣…·ñ\u0338 \n"
+    rows = pa.array(["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["don't&&", "É!!", "é…,", "×,", None, ""])
+    ids, counts = encoder.encode(rows)
+    plain_ids, plain_counts = encoder._plain(rows)
+    assert ids.tolist() == plain_ids.tolist() and counts.tolist() == plain_counts.tolist()
+    # words that differ in the marks behind a letter only are one
+    encoder.forget()
+    encoder.encode(pa.array(["wörter wörter&& wörter*** wörté wörté, wörté!!"]))
+    assert len(encoder.keys) == 6
+    words = ["straße", "élan", "plain", "unbelievably"]
+    ids, counts = encoder._spaced(words)
+    assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == [encoder.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_repeats_leave_one_table_and_pass_on_what_counts(spark, texts, cut):
     tables = []
 
