@@ -26,6 +26,7 @@ are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ from filescape.session import free
 DISCOUNT, STRENGTH = 0.75, 1.0
 BURN_IN, SAMPLES = 2, 2
 CHUNK_BYTES, BUCKET_BYTES, HOT_CONTEXT = 6 << 20, 12 << 20, 2_000_000
+#: Buckets are seated in so many rounds, each of which has its share of the pairs on the way.
+_ROUNDS = 4
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0xEB44ACCAB455D165)
 
 
@@ -314,9 +317,11 @@ def score_documents(documents: DataFrame, held_out, cut, doc="doc_id", text="tex
     known = cut(words.drop("n").join(counts, "word"))
     free(words, counts)
     asked = cut(rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_ask(buckets, hot_context), _ASKED))
-    answered = cut(
-        asked.filter("bucket is not null").drop("role", "key", "tables").groupBy("bucket").applyInArrow(_seat_bucket(size, vocabulary), _ANSWERED)
-    )
+    pairs = asked.drop("role", "key", "tables")
+    answered = reduce(DataFrame.unionAll, [
+        cut(pairs.filter(F.col("bucket") % _ROUNDS == turn).groupBy("bucket").applyInArrow(_seat_bucket(size, vocabulary), _ANSWERED))
+        for turn in range(min(_ROUNDS, buckets))
+    ])
     ts = [f"t{s}" for s in range(SAMPLES)]
     sums = answered.filter("key is not null").select("role", "key", *ts).unionAll(
         asked.filter("key is not null").select("role", "key", *[F.col("tables").alias(t) for t in ts])
@@ -331,9 +336,10 @@ def score_documents(documents: DataFrame, held_out, cut, doc="doc_id", text="tex
     whole = sums.agg(*[F.coalesce(F.sum(f"w{s}"), F.lit(0)) for s in range(SAMPLES)]).first()
     seats = tables.agg(*[F.coalesce(F.sum(p), F.lit(0)) for p in ps]).first()
     totals = {"tokens": size, "vocabulary": vocabulary} | {f"w{s}": whole[s] for s in range(SAMPLES)} | {f"p{s}": seats[s] for s in range(SAMPLES)}
-    facts = known.join(sums.join(tables, "word"), "word", "left").select(
+    facts = cut(known.join(sums.join(tables, "word"), "word", "left").select(
         "chunk", "word", "count", "chunks", *[F.coalesce(n, F.lit(0)).alias(n) for n in names + ps]
-    )
+    ))
+    free(known, sums, tables)
     told = facts.withColumn("bucket", F.lit(None).cast("int")).withColumn("answer", F.lit(None).cast("binary")).unionByName(
         answered.filter("answer is not null").select("chunk", "bucket", "answer"), allowMissingColumns=True
     )

@@ -107,6 +107,24 @@ def test_repeats_null_and_equal_ids(spark, texts, cut):
     assert repeats.without_repeats(texts([]), cut).count() == 0
 
 
+def test_seating_in_rounds_keeps_what_scores_need(spark, texts, cut):
+    tables = []
+
+    def counted(df):
+        tables.append(cut(df))
+        return tables[-1]
+
+    rng = random.Random(11)
+    rows = texts({i: sentence(rng, 30, 60) for i in range(40)})
+    held_out = F.col("doc_id") % 4 == 0
+    plain = {r.doc_id: r.score for r in seating.score_documents(rows, held_out, cut).collect()}
+    scored = seating.score_documents(rows, held_out, counted, chunk_bytes=1000, bucket_bytes=600)
+    assert {r.doc_id: r.score for r in scored.collect()} == pytest.approx(plain)
+    left = [t for t in tables if t in session._tables]
+    assert sum("answer" in t.columns for t in left) == 4
+    assert sum("word" in t.columns for t in left) == 1
+
+
 def test_words_of_letters_are_encoded_together():
     encoder = packing.Encoder(queries.tokenizer())
     rng = random.Random(7)
