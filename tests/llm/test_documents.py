@@ -451,6 +451,31 @@ def test_seats():
     assert tables[0] == 1 and tables == pytest.approx(np.array(expected), rel=0.08)
 
 
+def test_search_keeps_the_best_of_all_shards_of_a_cell():
+    """However many shards pass by in a task, k rows of a query leave it, the best in order."""
+    words = [f"w{i}" for i in range(30)]
+    rng = random.Random(5)
+    docs = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(900)]
+    hashes = np.sort(word_hashes(pa.array(words))[0])
+    terms, weights = pa.array([hashes[:20].view(np.int64)]), pa.array([[0.1 * (i + 1) for i in range(20)]])
+    asked = {"part": pa.array([3], pa.int32()), "role": pa.array([0], pa.int32()), "query_id": pa.array([7]), "body": pa.array([1]),
+             "terms": terms, "weights": weights, "doc_id": pa.array([None], pa.int64()), "text": pa.array([None], pa.string())}
+    passed = {"part": pa.array([3] * 900, pa.int32()), "role": pa.array([1] * 900, pa.int32()), "query_id": pa.nulls(900, pa.int64()), "body": pa.nulls(900, pa.int64()),
+              "terms": pa.nulls(900, terms.type), "weights": pa.nulls(900, weights.type), "doc_id": pa.array(range(900)), "text": pa.array(docs)}
+    batches = [pa.RecordBatch.from_pydict(rows) for rows in (asked, passed)]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    found = [pa.Table.from_batches(list(wand._search(20.0, 5, 1.2, 0.75, size, kinds)(iter(batches)))) for size in (2_000, 1 << 20)]
+    assert [t.num_rows for t in found] == [5, 5]
+    assert found[0].equals(found[1])
+    expected = []
+    weight = dict(zip(hashes[:20].tolist(), weights[0].as_py()))
+    for doc, text in enumerate(docs):
+        counts = collections.Counter(word_hashes(pa.array([text]))[0].tolist())
+        length = sum(counts.values())
+        expected.append((-sum(weight.get(w, 0) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / 20)) for w, n in counts.items()), doc))
+    assert found[0].column("doc_id").to_pylist() == [doc for _, doc in sorted(expected)[:5]]
+
+
 def test_search(spark, texts, cut, copies):
     docs = texts(copies)
     queries = docs.filter("doc_id % 5 = 0")
