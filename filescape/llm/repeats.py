@@ -237,19 +237,25 @@ def _windows(length: int):
     return run
 
 
-def first_documents(strings: DataFrame, length: int, gram: int, hot_strings: int = HOT_STRINGS) -> DataFrame:
+def hot_keys(strings: DataFrame, hot_strings: int = HOT_STRINGS) -> DataFrame:
+    """(key): at most one for every `hot_strings` strings, which is what is sent to all tasks."""
+    return strings.groupBy("key").count().filter(F.col("count") > hot_strings).select("key")
+
+
+def first_documents(strings: DataFrame, length: int, gram: int, hot_strings: int = HOT_STRINGS, hot: DataFrame | None = None) -> DataFrame:
     """(key, content, lo, hi, low): the windows lo..hi-1 of a content start first in document `low`.
 
     `strings` has key, content, low, last and string: the smallest and the largest document
     known to have the content. Windows that start in no document before the largest one with
-    their content have nothing to remove and are left out.
+    their content have nothing to remove and are left out. `hot` are the
+    `hot_keys`, where they are known; no string is dealt only to be told from theirs.
     """
     schema = "dealt bigint, key bigint, content bigint, base int, low bigint, last bigint, string binary"
     plain = strings.select(F.col("key").alias("dealt"), "key", "content", F.lit(0).alias("base"), "low", "last", "string")
-    hot = strings.groupBy("key").count().filter(F.col("count") > hot_strings).select("key")
+    hot = hot_keys(strings, hot_strings) if hot is None else hot
     if not hot.isEmpty():
-        split = plain.join(hot, "key", "left_semi").select(*plain.columns).mapInArrow(_windows(length), schema)
-        plain = plain.join(hot, "key", "left_anti").select(*plain.columns).unionAll(split)
+        split = plain.join(F.broadcast(hot), "key", "left_semi").select(*plain.columns).mapInArrow(_windows(length), schema)
+        plain = plain.join(F.broadcast(hot), "key", "left_anti").select(*plain.columns).unionAll(split)
     dealt = plain.repartition("dealt").sortWithinPartitions("dealt", "key", "content", "base")
     return dealt.mapInArrow(tidied(_sort_strings(length, gram)), "key bigint, content bigint, lo int, hi int, low bigint")
 
@@ -446,7 +452,9 @@ def repeated_spans(documents: DataFrame, cut, doc="doc_id", text="text", length:
     free(shared)
     strings = found.filter("string is not null").select("key", "content", F.col("doc").alias("low"), "last", "string")
     # written, so that the dealt strings are gone before the occurrences are dealt
-    firsts = cut(first_documents(strings, length, gram, hot_strings))
+    hot = cut(hot_keys(strings, hot_strings))
+    firsts = cut(first_documents(strings, length, gram, hot_strings, hot))
+    free(hot)
     earlier = found.drop("string", "last").join(firsts, ["key", "content"]).filter("low < doc")
     spans = earlier.select("doc", "body", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi") + (length - 1)).alias("hi"))
     # a copy of an earlier text is covered altogether

@@ -159,6 +159,20 @@ def test_repeats_leave_one_table_and_pass_on_what_counts(spark, texts, cut):
     assert {r.content for r in repeats.first_documents(strings, 50, 20).collect()} == {11}
 
 
+def test_strings_are_not_dealt_to_find_those_of_hot_keys(spark, capsys):
+    rows = [(7, at, at, at + 1, b"%02d" % at + b"x" * 60) for at in range(4)] + [(8, 9, 1, 2, b"y" * 60)]
+    strings = spark.createDataFrame(rows, "key bigint, content bigint, low bigint, last bigint, string binary")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = repeats.first_documents(strings, 50, 20, hot_strings=2)
+        found.explain()
+        plan = capsys.readouterr().out
+        assert {r.content for r in found.collect()} == {0, 1, 2, 3, 9}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_repeats_keep_whole_characters(spark, texts, cut):
     rows = {0: "ä" * 40 + "é", 1: "x" + "ä" * 40 + "é" + "ö"}
     kept = {r.doc_id: r.kept_text for r in repeats.without_repeats(texts(rows), cut, keep=("source", "score")).collect()}
