@@ -11,8 +11,6 @@ constant in a group are not looked at again in its parts.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +20,8 @@ from filescape.operators.skew import HOT_ROWS, attach
 from filescape.session import cut, free
 
 DEFAULT_MIN_GROUP = 2
+#: Groups of all rounds that are sent to all tasks; with more, files are dealt by name instead.
+SENT_GROUPS = 50_000
 
 
 def _least(min_group: int) -> int:
@@ -92,22 +92,35 @@ def _named(files: DataFrame, fold_ext_case: bool) -> DataFrame:
     return cut(spread.select("path", "ext", name_stem("name", "ext", fold_ext_case).alias("stem")))
 
 
+def _in_word(value: Column) -> Column:
+    first = F.ascii(value)
+    return first.between(48, 57) | first.between(65, 90) | first.between(97, 122)
+
+
+def _shape(segments: Column) -> Column:
+    """`shape_key` of the stem with these segments, which are at hand."""
+
+    def piece(value: Column) -> Column:
+        return F.when(_in_word(value), F.when(F.ascii(value) < 58, F.lit("D")).otherwise(F.lit("A"))).otherwise(value)
+
+    return F.array_join(F.transform(segments, piece), "")
+
+
 def _classes(named: DataFrame) -> DataFrame:
     """One row per different name: ext, stem, n (files), parent and part (its group), and in
     `rest` the letter and digit segments that may still vary in the group."""
-    segments = F.transform(
-        segment_values("stem"), lambda value, at: F.struct(at.alias("pos"), value.alias("value"))
-    )
+    segments = F.transform("segs", lambda value, at: F.struct(at.alias("pos"), value.alias("value")))
     return (
         named.groupBy("ext", "stem")
         .agg(F.count("*").alias("n"))
+        .withColumn("segs", segment_values("stem"))
         .select(
             "ext",
             "stem",
             "n",
-            F.concat("ext", F.lit("|"), shape_key("stem")).alias("parent"),
+            F.concat("ext", F.lit("|"), _shape(F.col("segs"))).alias("parent"),
             F.lit("").alias("part"),
-            F.filter(segments, lambda s: segment_kind(s["value"]) != "S").alias("rest"),
+            F.filter(segments, lambda s: _in_word(s["value"])).alias("rest"),
         )
     )
 
@@ -158,36 +171,90 @@ def _named_groups(decisions: DataFrame, above: DataFrame | None, round_: int) ->
     return numbered.join(parents, "parent").withColumn("group_key", step).drop("_above", "_at")
 
 
+def _tree(classes: DataFrame, least: int, hot_rows: int) -> list[DataFrame]:
+    """The decisions of every round, each written on its own.
+
+    A round reads the names of groups that were split, less the segments found constant, and
+    writes no more of them than their number and the segments that may still vary.
+    """
+    active, tree = classes.select("n", "parent", "part", "rest"), []
+    while True:
+        above = tree[-1] if tree else None
+        tree.append(cut(_named_groups(_decisions(active, least), above, len(tree))))
+        split = tree[-1].where("split is not null").select("parent", "part", "_n", "id", "split", "varying")
+        if split.isEmpty():
+            free(active)
+            return tree
+        decided = attach(active, split, ["parent", "part"], "_n", "rest", "inner", hot_rows)
+        at = F.filter("rest", lambda s: s["pos"] == F.col("split"))
+        rest = F.filter(
+            "rest", lambda s: (s["pos"] != F.col("split")) & F.array_contains("varying", s["pos"])
+        )
+        below = cut(decided.select("n", F.col("id").alias("parent"), at[0]["value"].alias("part"), rest.alias("rest")))
+        free(active)
+        active = below
+
+
+def _led(rows: DataFrame, tree: list[DataFrame], join) -> DataFrame:
+    """Rows with a name (ext, stem), its segments `segs` and their final group: group_key, files,
+    varying. `join` adds the decisions of a round to rows with parent and part."""
+    kept = [*rows.columns, "segs"]
+    led = rows.withColumn("segs", segment_values("stem")).withColumns({
+        "parent": F.concat("ext", F.lit("|"), _shape(F.col("segs"))),
+        "part": F.lit(""),
+        "leaf": F.lit(None).cast("struct<group_key: string, files: bigint, varying: array<int>>"),
+    })
+    for decisions in tree:
+        met = join(led, decisions.select("parent", "part", "_n", "id", "split", "group_key", "files", "varying"))
+        ended = F.col("id").isNotNull() & F.col("split").isNull()
+        led = met.select(
+            *kept,
+            F.when(F.col("split").isNotNull(), F.col("id")).alias("parent"),
+            F.get("segs", F.col("split")).alias("part"),
+            F.when(ended, F.struct("group_key", "files", "varying")).otherwise(F.col("leaf")).alias("leaf"),
+        )
+    return led.where("leaf is not null").select(*kept, "leaf.*")
+
+
 def refined_names(
     named: DataFrame, min_group: int = DEFAULT_MIN_GROUP, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Different names with their final group: ext, stem, n, group_key, files, varying.
 
-    Rounds run on different names, each with its number of files, and write only the names
-    of groups that were split, less the segments found constant. The decisions of a round
+    Rounds run on different names, each with its number of files. The decisions of a round
     are written out on their own, so that the planner knows their size and leaves the
     names where they are while the decisions are small.
     """
-    least = _least(min_group)
-    active = cut(_classes(named))
-    leaves, above, round_ = [], None, 0
-    while True:
-        decisions = cut(_named_groups(_decisions(active, least), above, round_))
-        decided = attach(active, decisions, ["parent", "part"], "_n", "stem", "inner", hot_rows)
-        found = ["ext", "stem", "n", "group_key", "files", "varying"]
-        if decisions.where("split is not null").isEmpty():
-            return reduce(DataFrame.unionByName, [*leaves, decided.select(*found)])
-        decided = cut(decided)
-        free(active)
-        leaves.append(decided.where("split is null").select(*found))
-        at = F.filter("rest", lambda s: s["pos"] == F.col("split"))
-        rest = F.filter(
-            "rest", lambda s: (s["pos"] != F.col("split")) & F.array_contains("varying", s["pos"])
-        )
-        active = decided.where("split is not null").select(
-            "ext", "stem", "n", F.col("id").alias("parent"), at[0]["value"].alias("part"), rest.alias("rest")
+    classes = cut(_classes(named))
+    return _led_names(classes, _tree(classes, _least(min_group), hot_rows), hot_rows)
+
+
+def _led_names(classes: DataFrame, tree: list[DataFrame], hot_rows: int) -> DataFrame:
+    led = _led(
+        classes.select("ext", "stem", "n"),
+        tree,
+        lambda rows, decisions: attach(rows, decisions, ["parent", "part"], "_n", "stem", "left", hot_rows),
+    )
+    return led.drop("segs")
+
+
+def _grouped_files(
+    files: DataFrame, min_group: int, hot_rows: int, fold_ext_case: bool, sent_groups: int = SENT_GROUPS
+) -> DataFrame:
+    """`refined_files` with `segs`, the segments of the stem."""
+    named = _named(files, fold_ext_case)
+    classes = cut(_classes(named))
+    tree = _tree(classes, _least(min_group), hot_rows)
+    if sum(decisions.count() for decisions in tree) <= sent_groups:
+        free(classes)
+        return _led(
+            named,
+            tree,
+            lambda rows, decisions: rows.join(F.broadcast(decisions.drop("_n")), ["parent", "part"], "left"),
         )
-        above, round_ = decisions, round_ + 1
+    groups = _led_names(classes, tree, hot_rows)
+    found = attach(named, groups, ["ext", "stem"], "n", "path", "inner", hot_rows)
+    return found.withColumn("segs", segment_values("stem"))
 
 
 def refined_files(
@@ -198,15 +265,14 @@ def refined_files(
 ) -> DataFrame:
     """Files with the final group each belongs to.
 
-    Columns: path, ext, stem, group_key, files (in the group), varying (positions). Files
-    shuffle once, by name, when their group is known.
+    Columns: path, ext, stem, group_key, files (in the group), varying (positions). While all
+    groups together are at most `SENT_GROUPS`, their decisions go to the files, which stay
+    where they are; beyond that files shuffle once, by name, when their group is known.
     """
-    named = _named(files, fold_ext_case)
-    groups = refined_names(named, min_group, hot_rows)
-    return attach(named, groups, ["ext", "stem"], "n", "path", "inner", hot_rows)
+    return _grouped_files(files, min_group, hot_rows, fold_ext_case).drop("segs")
 
 
-def _template() -> Column:
+def _template(segments: Column) -> Column:
     """Constant segments and numbered slots, from the columns of `refined_files`."""
 
     def piece(value: Column, at: Column) -> Column:
@@ -214,7 +280,7 @@ def _template() -> Column:
         slot = F.concat(F.lit("{"), number.cast("string"), F.lit("}"))
         return F.when(number > 0, slot).otherwise(value)
 
-    return F.concat(F.array_join(F.transform(segment_values("stem"), piece), ""), "ext")
+    return F.concat(F.array_join(F.transform(segments, piece), ""), "ext")
 
 
 def refine_patterns(
@@ -223,7 +289,7 @@ def refine_patterns(
     """One row per final group: group_key, template, count."""
     refined = refined_names(_named(files, False), min_group, hot_rows)
     # All names of a group have one template, so it can be a grouping key.
-    return refined.groupBy("group_key", _template().alias("template")).agg(F.sum("n").alias("count"))
+    return refined.groupBy("group_key", _template(segment_values("stem")).alias("template")).agg(F.sum("n").alias("count"))
 
 
 def name_patterns(
@@ -238,12 +304,12 @@ def name_patterns(
     Columns: group_key, template, count, path, fields. Ordered by count, largest first,
     then template and path.
     """
-    varying = F.filter(segment_values("stem"), lambda _, at: F.array_contains("varying", at))
-    found = refined_files(files, min_group, hot_rows, fold_ext_case).select(
+    found = _grouped_files(files, min_group, hot_rows, fold_ext_case).select(
         "group_key",
-        _template().alias("template"),
+        _template(F.col("segs")).alias("template"),
         F.col("files").alias("count"),
         "path",
-        varying.alias("fields"),
+        F.transform("varying", lambda at: F.get("segs", at)).alias("fields"),
     )
-    return found.orderBy(F.desc("count"), "template", "path") if ordered else found
+    # written, so that sampling for the order does not take the names apart a second time
+    return cut(found).orderBy(F.desc("count"), "template", "path") if ordered else found
